@@ -1,18 +1,50 @@
-"""Every operator as a named query over the sample star schema."""
+"""Every operator as a named query over the sample star schema.
+
+Forecasting queries work on one revenue series per customer segment and region.
+Doubles that are quotients or roots are rounded; sums are exact decimals until
+the last step.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recurring_metrics.operators import lifecycle
-from recurring_metrics.plans import summary as summary_plan
-from recurring_metrics.sources import star
+from recurring_metrics.functions.dates import calendar_parts
+from recurring_metrics.operators import (
+    baselines,
+    calendar,
+    evaluate,
+    features,
+    filters,
+    lifecycle,
+    quality,
+    trees,
+)
+from recurring_metrics.operators import forecast as forecasts
+from recurring_metrics.operators import revenue as revenue_ops
+from recurring_metrics.operators.activity import opportunity_block, usage_block
+from recurring_metrics.operators.snapshots import mrr_block
+from recurring_metrics.plans import adhoc, dashboard, forecasting
+from recurring_metrics.plans import summary as summaries
+from recurring_metrics.sources import io, star
+from recurring_metrics.sources.schema import RAW_TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+SERIES = ("segment", "region")
+CHOICE = filters.DashboardFilter(
+    start_month=dt.date(1996, 2, 1),
+    end_month=dt.date(1998, 11, 1),
+    segments=("BUILDING", "MACHINERY"),
+    regions=("ASIA", "EUROPE"),
+    families=("ECONOMY", "PROMO", "STANDARD"),
+)
+
 
 def query(run: Query) -> Query:
     """Registers a function under its own name."""
@@ -20,6 +52,529 @@ def query(run: Query) -> Query:
     return run
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.select(
+        *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns]
+    )
+
+
+# --- sources and sinks ----------------------------------------------------------
+
+
+@query
+def csv_roundtrip(spark, folder):
+    path = io.scratch_path(spark, "csv")
+    io.write_csv_table(star.raw_tables(spark, folder)["raw_fact_subscription"], path)
+    return io.read_csv_table(spark, path, RAW_TABLES["raw_fact_subscription"])
+
+
+@query
+def scan_project(spark, folder):
+    columns = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
+    return io.read_columns(spark, f"{folder}/lineitem.parquet", columns)
+
+
+@query
+def scan_ordered(spark, folder):
+    return io.read_ordered(spark, f"{folder}/orders.parquet", ["o_orderdate", "o_orderkey"])
+
+
+def _customers_written(spark, folder, again) -> DataFrame:
+    path = io.scratch_path(spark, "table")
+    customers = star.processed_tables(spark, folder)["dim_customer"]
+    io.write_table(customers, path)
+    again(customers, path)
+    return spark.read.parquet(path)
+
+
+@query
+def sink_overwrite(spark, folder):
+    return _customers_written(spark, folder, io.write_table)
+
+
+@query
+def sink_append(spark, folder):
+    return _customers_written(spark, folder, io.append_rows)
+
+
+# --- data quality ---------------------------------------------------------------
+
+
+@query
+def dq_row_counts(spark, folder):
+    raw = star.raw_tables(spark, folder)
+    sources = {
+        "raw_dim_customer": "customer",
+        "raw_dim_product_plan": "part",
+        "raw_fact_subscription": "orders",
+        "raw_fact_revenue": "lineitem",
+        "raw_fact_sales_pipeline": "orders",
+    }
+    return quality.reconcile_counts(
+        {raw_name: star.source(spark, folder, name) for raw_name, name in sources.items()}, raw
+    )
+
+
+@query
+def dq_null_counts(spark, folder):
+    return quality.null_counts(star.raw_tables(spark, folder))
+
+
+@query
+def dq_duplicate_keys(spark, folder):
+    raw = star.raw_tables(spark, folder)
+    keyed = {
+        name: (raw[name], RAW_TABLES[name].key) for name in raw if name != "raw_fact_revenue"
+    }
+    keyed["lineitem"] = (star.source(spark, folder, "lineitem"), ("l_orderkey", "l_linenumber"))
+    return quality.duplicate_keys(keyed)
+
+
+@query
+def dq_orphans(spark, folder):
+    return quality.orphans(star.raw_tables(spark, folder))
+
+
+@query
+def dq_date_ranges(spark, folder):
+    return quality.date_ranges(star.raw_tables(spark, folder))
+
+
+@query
+def dq_revenue_reconcile(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    attributed = revenue_ops.attribute_revenue(
+        tables["fact_revenue"], tables["fact_subscription"], by_customer=False
+    )
+    return quality.reconcile_revenue(attributed, tables["fact_revenue"])
+
+
+@query
+def table_row_counts(spark, folder):
+    return quality.row_counts(star.processed_tables(spark, folder))
+
+
+# --- conforming -----------------------------------------------------------------
+
+
+def _conformed(name: str) -> Query:
+    return lambda spark, folder: star.processed_tables(spark, folder)[name]
+
+
+QUERIES |= {
+    "conform_customers": _conformed("dim_customer"),
+    "conform_plans": _conformed("dim_product_plan"),
+    "conform_subscriptions": _conformed("fact_subscription"),
+    "conform_revenue": _conformed("fact_revenue"),
+    "conform_usage": _conformed("fact_customer_usage"),
+    "conform_churn": _conformed("fact_churn"),
+    "conform_opportunities": _conformed("fact_sales_pipeline"),
+    "conform_tickets": _conformed("fact_support_ticket"),
+}
+
+
+@query
+def date_scalars(spark, folder):
+    parts = calendar_parts("o_orderdate")
+    return star.source(spark, folder, "orders").select(
+        "o_orderkey", *[c.alias(n) for n, c in parts.items()]
+    )
+
+
+# --- revenue, customers, months -------------------------------------------------
+
+
+@query
+def revenue_attribution(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    attributed = revenue_ops.attribute_revenue(tables["fact_revenue"], tables["fact_subscription"])
+    return attributed.withColumn("net_revenue", F.col("net_revenue").cast("double"))
+
+
+def _company(tables, *blocks) -> DataFrame:
+    return calendar.roll_up(blocks, calendar.revenue_spine(tables["fact_revenue"]))
+
+
+@query
+def revenue_by_type(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    block = revenue_ops.revenue_block(tables["fact_revenue"], tables["fact_subscription"])
+    return _company(tables, block).select("month", *summaries.revenue_columns())
+
+
+@query
+def monthly_revenue(spark, folder):
+    return summaries.revenue_series(star.processed_tables(spark, folder))
+
+
+@query
+def churned_revenue(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    rolled = _company(tables, revenue_ops.churn_block(tables["fact_churn"]))
+    return rolled.select("month", summaries.double("churn_revenue", "churn_revenue"))
+
+
+@query
+def usage_monthly(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    rolled = _company(tables, usage_block(tables["fact_customer_usage"]))
+    return rounded(
+        rolled.select("month", *summaries.usage_columns()), avg_active_users=6, avg_feature_usage=6
+    )
+
+
+@query
+def opportunities_monthly(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    rolled = _company(tables, opportunity_block(tables["fact_sales_pipeline"]))
+    return rounded(rolled.select("month", *summaries.opportunity_columns()), win_rate=6)
+
+
+@query
+def customer_lifecycle(spark, folder):
+    return lifecycle.customer_lifecycle(star.processed_tables(spark, folder)["fact_subscription"])
+
+
+@query
+def fully_churned_count(spark, folder):
+    return lifecycle.fully_churned_count(star.processed_tables(spark, folder)["fact_subscription"])
+
+
+@query
+def first_subscription(spark, folder):
+    flagged = lifecycle.flag_first_subscription(
+        star.processed_tables(spark, folder)["fact_subscription"]
+    )
+    return flagged.select("subscription_id", "customer_id", "start_date", "is_first")
+
+
+@query
+def month_spine(spark, folder):
+    return summaries.revenue_series(star.processed_tables(spark, folder), SERIES)
+
+
+@query
+def mrr_snapshot(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    rolled = _company(tables, mrr_block(tables["fact_subscription"]))
+    return rolled.select("month", *summaries.mrr_columns())
+
+
+@query
+def customer_status(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    rolled = _company(tables, summaries.status_block(tables["fact_subscription"]))
+    return rolled.select("month", *summaries.status_columns())
+
+
+MEANS = {"avg_active_users": 6, "avg_feature_usage": 6, "win_rate": 6}
+
+
 @query
 def monthly_summary(spark, folder):
-    return summary_plan.monthly_summary(star.processed_tables(spark, folder))
+    return rounded(summaries.monthly_summary(star.processed_tables(spark, folder)), **MEANS)
+
+
+@query
+def series_summary(spark, folder):
+    return rounded(_series_summary(spark, folder), **MEANS)
+
+
+@query
+def latest_months(spark, folder):
+    summary = summaries.monthly_summary(star.processed_tables(spark, folder))
+    return summaries.latest_months(summary).select(
+        "month", "total_revenue", "new_revenue", "expansion_revenue", "renewal_revenue",
+        "churn_revenue", "mrr", "arr", "active_customers",
+    )
+
+
+# --- dashboard ------------------------------------------------------------------
+
+
+def _selection(spark, folder) -> dict[str, DataFrame]:
+    return dashboard.select_dashboard(star.processed_tables(spark, folder), CHOICE)
+
+
+@query
+def filtered_star(spark, folder):
+    chosen = filters.apply_filters(star.processed_tables(spark, folder), CHOICE)
+
+    def facts(table: str, label: str, day: str, amount: str) -> DataFrame:
+        return chosen[table].select(
+            F.lit(label).alias("fact"),
+            "customer_id",
+            "subscription_id",
+            F.col(day).alias("fact_date"),
+            F.col(amount).alias("amount"),
+        )
+
+    return (
+        facts("fact_revenue", "revenue", "revenue_date", "net_revenue")
+        .unionByName(facts("fact_churn", "churn", "churn_date", "mrr_lost"))
+        .unionByName(facts("fact_subscription", "subscription", "start_date", "mrr"))
+    )
+
+
+@query
+def filter_options(spark, folder):
+    tables = star.processed_tables(spark, folder)
+    return filters.filter_options(
+        tables["dim_customer"], tables["dim_product_plan"], tables["fact_revenue"]
+    )
+
+
+@query
+def tier_catalog(spark, folder):
+    return filters.tier_catalog(star.processed_tables(spark, folder)["dim_product_plan"])
+
+
+def _filtered_series(spark, folder) -> DataFrame:
+    return dashboard.monthly_series(_selection(spark, folder), CHOICE)
+
+
+@query
+def monthly_series(spark, folder):
+    return _filtered_series(spark, folder)
+
+
+@query
+def kpi_summary(spark, folder):
+    return rounded(
+        dashboard.kpi_summary(_filtered_series(spark, folder)),
+        total_revenue=2, current_mrr=2, current_arr=2, churned_revenue=2,
+    )
+
+
+@query
+def kpi_trends(spark, folder):
+    return rounded(dashboard.kpi_trends(_filtered_series(spark, folder)), pct_change=6)
+
+
+@query
+def revenue_by_segment(spark, folder):
+    return dashboard.revenue_by_segment(_selection(spark, folder))
+
+
+@query
+def revenue_by_product(spark, folder):
+    return dashboard.revenue_by_product(_selection(spark, folder))
+
+
+# --- features -------------------------------------------------------------------
+
+
+def _series(spark, folder) -> DataFrame:
+    return summaries.revenue_series(star.processed_tables(spark, folder), SERIES)
+
+
+def _series_summary(spark, folder) -> DataFrame:
+    return summaries.monthly_summary(star.processed_tables(spark, folder), SERIES)
+
+
+def _features(spark, folder) -> DataFrame:
+    return features.build_features(_series_summary(spark, folder), SERIES)
+
+
+def _aliased(columns) -> list:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+DEVIATIONS = {f"revenue_rolling_std_{n}": 2 for n in features.ROLLING}
+ROLLING_DIGITS = {f"revenue_rolling_mean_{n}": 6 for n in features.ROLLING} | DEVIATIONS
+RATIO_DIGITS = dict.fromkeys(
+    (
+        "revenue_growth_mom_prev", "revenue_growth_yoy_prev", "churn_rate_prev",
+        "avg_active_users_prev", "avg_feature_usage_prev", "win_rate_prev",
+    ),
+    6,
+)
+
+
+@query
+def revenue_lags(spark, folder):
+    columns = features.lag_columns(features.by_month(SERIES))
+    return _series(spark, folder).select(*SERIES, "month", "total_revenue", *_aliased(columns))
+
+
+@query
+def revenue_rolling(spark, folder):
+    columns = features.rolling_columns(features.by_month(SERIES))
+    return rounded(
+        _series(spark, folder).select(*SERIES, "month", *_aliased(columns)), **ROLLING_DIGITS
+    )
+
+
+@query
+def revenue_growth(spark, folder):
+    columns = features.growth_columns(features.by_month(SERIES))
+    return rounded(
+        _series(spark, folder).select(*SERIES, "month", *_aliased(columns)), **RATIO_DIGITS
+    )
+
+
+@query
+def feature_table(spark, folder):
+    return rounded(_features(spark, folder), **ROLLING_DIGITS, **RATIO_DIGITS)
+
+
+@query
+def leak_correlation(spark, folder):
+    table = rounded(_features(spark, folder), **ROLLING_DIGITS)
+    return rounded(features.strongest_correlations(table, SERIES), abs_correlation=6)
+
+
+@query
+def ffill_horizon(spark, folder):
+    extended = features.append_horizon(_features(spark, folder), forecasts.HORIZON, SERIES)
+    predictors = features.feature_columns(extended, (*SERIES, "step"))
+    carried = features.carried_columns(predictors)
+    future = extended.where(F.col("step") > 0)
+    return rounded(
+        future.select(*SERIES, "step", "month", "calendar_month", "time_index", *carried),
+        **RATIO_DIGITS,
+    )
+
+
+# --- back-tests and forecasts ---------------------------------------------------
+
+
+def _backtests(spark, folder, *models) -> DataFrame:
+    chosen = models or forecasting.WINDOW_MODELS
+    return forecasting.walk_forward(_series(spark, folder), SERIES, chosen)
+
+
+def _backtest_query(model: str) -> Query:
+    return lambda spark, folder: rounded(_backtests(spark, folder, model), predicted=4)
+
+
+QUERIES |= {
+    "bt_naive": _backtest_query("naive"),
+    "bt_seasonal_naive": _backtest_query("seasonal_naive"),
+    "bt_moving_avg_3": _backtest_query("moving_avg_3"),
+    "bt_drift": _backtest_query("drift"),
+    "bt_holt": _backtest_query("holt_linear"),
+    "walk_forward": lambda spark, folder: rounded(_backtests(spark, folder), predicted=4),
+}
+
+
+def _tree_query(model: trees.TreeModel) -> Query:
+    # A small budget: five rounds, and a new fit every six test months.
+    small = model.with_budget(rounds=5, refit_every=6)
+    return lambda spark, folder: trees.backtest_trees(
+        io.materialize(_features(spark, folder)), small, SERIES
+    )
+
+
+QUERIES |= {"bt_gbt": _tree_query(trees.GBT), "bt_gbt_min5": _tree_query(trees.GBT_MIN5)}
+
+
+@query
+def eligible_series(spark, folder):
+    return baselines.eligible_series(_series(spark, folder), SERIES)
+
+
+@query
+def backtest_metrics(spark, folder):
+    return rounded(
+        evaluate.backtest_metrics(_backtests(spark, folder), SERIES),
+        mae=4, rmse=4, mape=6, residual_std=4,
+    )
+
+
+def _board(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    backtests = forecasting.walk_forward(series, SERIES)
+    return backtests, evaluate.leaderboard(backtests, SERIES)
+
+
+@query
+def leaderboard(spark, folder):
+    _, board = _board(_series(spark, folder))
+    return rounded(board.drop("residual_std", "evaluated_at"), mae=4, rmse=4, mape=6)
+
+
+@query
+def accuracy_table(spark, folder):
+    _, board = _board(_series(spark, folder))
+    return evaluate.accuracy_table(board, SERIES)
+
+
+@query
+def hist_vs_predicted(spark, folder):
+    backtests, board = _board(_series(spark, folder))
+    return rounded(
+        evaluate.historical_vs_predicted(backtests, board, SERIES), predicted_revenue=4
+    )
+
+
+@query
+def forecast_points(spark, folder):
+    return rounded(forecasting.future_points(_series(spark, folder), SERIES), predicted=4)
+
+
+def _forecast(series: DataFrame) -> DataFrame:
+    _, board = _board(series)
+    points = forecasting.future_points(series, SERIES)
+    result = forecasts.revenue_forecast(points, board, series, SERIES)
+    return rounded(
+        result.drop("created_at"),
+        predicted_revenue=4, lower_bound=2, upper_bound=2, forecast_growth=6,
+    )
+
+
+@query
+def revenue_forecast(spark, folder):
+    return _forecast(_series(spark, folder))
+
+
+@query
+def actual_plus_forecast(spark, folder):
+    series = _series(spark, folder)
+    return forecasts.actual_plus_forecast(series, _forecast(series), SERIES)
+
+
+@query
+def forecast_drivers(spark, folder):
+    return rounded(
+        forecasts.forecast_drivers(_series_summary(spark, folder), SERIES),
+        current_value=4, prior_value=4, pct_change=6,
+    )
+
+
+# --- ad-hoc SQL -----------------------------------------------------------------
+
+
+@query
+def adhoc_sql(spark, folder):
+    sql = """
+        SELECT customer_id, segment, CAST(SUM(net_revenue) AS DOUBLE) AS net_revenue
+        FROM fact_revenue JOIN dim_customer USING (customer_id)
+        GROUP BY customer_id, segment
+        ORDER BY net_revenue DESC, customer_id"""
+    return adhoc.run_safe_query(spark, sql, star.processed_tables(spark, folder))
+
+
+@query
+def saved_questions(spark, folder):
+    processed = star.processed_tables(spark, folder)
+    tables = {
+        "fact_revenue": processed["fact_revenue"],
+        "dim_customer": processed["dim_customer"],
+        "fact_churn": processed["fact_churn"],
+        "monthly_revenue_summary": summaries.monthly_summary(processed),
+    }
+    answers = [
+        adhoc.saved_question(spark, question, tables).select(
+            F.lit(question).alias("question"), "item", "amount"
+        )
+        for question in (
+            "What is the current revenue?",
+            "Which customer segment generates the most revenue?",
+            "How many customers churned in the last 12 months?",
+            "Why do customers cancel?",
+        )
+    ]
+    result = answers[0]
+    for answer in answers[1:]:
+        result = result.unionByName(answer)
+    return result

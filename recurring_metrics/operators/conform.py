@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recurring_metrics.sources.tables import LazyTables
+
 # Rank of each plan tier.
 TIER_ORDER = {"Starter": 1, "Professional": 2, "Business": 3, "Enterprise": 4}
 
@@ -143,8 +145,12 @@ CONFORMED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def conform_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def conform_all(raw: Mapping[str, DataFrame]) -> LazyTables:
     """Processed tables for every raw table that is present."""
-    return {
-        name: step(raw[source]) for name, (source, step) in CONFORMED.items() if source in raw
-    }
+    return LazyTables(
+        {
+            name: lambda step=step, source=source: step(raw[source])
+            for name, (source, step) in CONFORMED.items()
+            if source in raw
+        }
+    )

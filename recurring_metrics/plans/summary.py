@@ -11,7 +11,7 @@ from recurring_metrics.functions.numbers import ratio
 from recurring_metrics.operators.activity import opportunity_block, usage_block
 from recurring_metrics.operators.calendar import revenue_spine, roll_up
 from recurring_metrics.operators.lifecycle import customer_changes
-from recurring_metrics.operators.revenue import CATEGORIES, churn_block, revenue_block
+from recurring_metrics.operators.revenue import CATEGORIES, churn_block, revenue_block, total_block
 from recurring_metrics.operators.snapshots import mrr_block
 
 Tables = Mapping[str, DataFrame]
@@ -109,6 +109,19 @@ def monthly_summary(tables: Tables, series_keys: Sequence[str] = ()) -> DataFram
     )
 
 
+def revenue_series(tables: Tables, series_keys: Sequence[str] = ()) -> DataFrame:
+    """Total net revenue per series and month of the spine."""
+    revenue = tables["fact_revenue"]
+    customers = tables["dim_customer"] if series_keys else None
+    rolled = roll_up(
+        [total_block(revenue, bool(series_keys))],
+        revenue_spine(revenue, customers, series_keys),
+        customers,
+        series_keys,
+    )
+    return rolled.select(*series_keys, "month", double("total_revenue", "total_revenue"))
+
+
 def latest_months(summary: DataFrame, months: int = 6) -> DataFrame:
     """The last rows of the summary by month."""
     return summary.orderBy(F.col("month").desc()).limit(months)

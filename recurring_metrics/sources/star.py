@@ -7,10 +7,14 @@ Keys stay 64-bit integers; nothing downstream depends on their type.
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recurring_metrics.operators.conform import conform_all
+from recurring_metrics.sources.tables import LazyTables
 
 MONEY = "decimal(12,2)"
 
@@ -30,8 +34,16 @@ CATEGORIES = (
 )
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+@lru_cache(maxsize=256)
+def _schema(path: str) -> T.StructType:
+    """Footer schema of a file, read once per process instead of once per use."""
+    return SparkSession.active().read.parquet(path).schema
+
+
+def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of the sample schema."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
@@ -40,10 +52,10 @@ def _pick(values: tuple[str, ...], key: Column) -> Column:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    customer, nation = _table(spark, folder, "customer"), _table(spark, folder, "nation")
-    region = _table(spark, folder, "region")
+    customer, nation = source(spark, folder, "customer"), source(spark, folder, "nation")
+    region = source(spark, folder, "region")
     acquired = (
-        _table(spark, folder, "orders")
+        source(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.min(F.col("o_orderdate").cast("date")).alias("acquisition_date"))
     )
@@ -69,7 +81,7 @@ def plans(spark: SparkSession, folder: str) -> DataFrame:
         .when(size <= 38, "Business")
         .otherwise("Enterprise")
     )
-    return _table(spark, folder, "part").select(
+    return source(spark, folder, "part").select(
         F.col("p_partkey").alias("plan_id"),
         F.col("p_brand").alias("product_id"),
         F.concat_ws(" - ", F.col("p_type"), tier).alias("plan_name"),
@@ -101,11 +113,11 @@ def _order_terms(orders: DataFrame) -> DataFrame:
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     plan_of_order = (
-        _table(spark, folder, "lineitem")
+        source(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("subscription_id"))
         .agg(F.min("l_partkey").alias("plan_id"))
     )
-    terms = _order_terms(_table(spark, folder, "orders"))
+    terms = _order_terms(source(spark, folder, "orders"))
     return terms.join(plan_of_order, "subscription_id", "left").select(
         "subscription_id", "customer_id", "plan_id", "start_date", "end_date",
         "renewal_date", "status", "mrr", "arr",
@@ -114,7 +126,7 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 def revenue(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line item; an order's first ship month bills as 'New'."""
-    lines = _table(spark, folder, "lineitem").select(
+    lines = source(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("subscription_id"),
         F.col("l_shipdate").cast("date").alias("revenue_date"),
         F.col("l_extendedprice").cast(MONEY).alias("gross_revenue"),
@@ -125,7 +137,7 @@ def revenue(spark: SparkSession, folder: str) -> DataFrame:
     first_month = lines.groupBy("subscription_id").agg(
         F.min(F.trunc("revenue_date", "MM")).alias("first_month")
     )
-    owner = _table(spark, folder, "orders").select(
+    owner = source(spark, folder, "orders").select(
         F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("customer_id")
     )
     gross = F.col("gross_revenue")
@@ -158,7 +170,7 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
         return F.count_if(kind.isin(*kinds)).cast("int")
 
     return (
-        _table(spark, folder, "events")
+        source(spark, folder, "events")
         .groupBy(
             F.col("user_id").alias("customer_id"),
             F.add_months(F.lit("1995-03-01").cast("date"), months_on).alias("usage_date"),
@@ -175,7 +187,7 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def churn(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        _order_terms(_table(spark, folder, "orders"))
+        _order_terms(source(spark, folder, "orders"))
         .where(F.col("end_date").isNotNull())
         .select(
             "customer_id",
@@ -189,7 +201,7 @@ def churn(spark: SparkSession, folder: str) -> DataFrame:
 
 def opportunities(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return _table(spark, folder, "orders").select(
+    return source(spark, folder, "orders").select(
         key.alias("opportunity_id"),
         F.col("o_custkey").alias("customer_id"),
         F.date_add(F.col("o_orderdate").cast("date"), 60).alias("expected_close_date"),
@@ -203,7 +215,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     key, created = F.col("event_id"), F.col("ts").cast("date")
     resolved = key % 9 != 0
     return (
-        _table(spark, folder, "events")
+        source(spark, folder, "events")
         .where(F.col("event_type") == "error")
         .select(
             key.alias("ticket_id"),
@@ -217,18 +229,21 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {
-        "raw_dim_customer": customers(spark, folder),
-        "raw_dim_product_plan": plans(spark, folder),
-        "raw_fact_subscription": subscriptions(spark, folder),
-        "raw_fact_revenue": revenue(spark, folder),
-        "raw_fact_customer_usage": usage(spark, folder),
-        "raw_fact_churn": churn(spark, folder),
-        "raw_fact_sales_pipeline": opportunities(spark, folder),
-        "raw_fact_support_ticket": tickets(spark, folder),
-    }
+MAKERS = {
+    "raw_dim_customer": customers,
+    "raw_dim_product_plan": plans,
+    "raw_fact_subscription": subscriptions,
+    "raw_fact_revenue": revenue,
+    "raw_fact_customer_usage": usage,
+    "raw_fact_churn": churn,
+    "raw_fact_sales_pipeline": opportunities,
+    "raw_fact_support_ticket": tickets,
+}
+
+
+def raw_tables(spark: SparkSession, folder: str) -> LazyTables:
+    return LazyTables({name: partial(make, spark, folder) for name, make in MAKERS.items()})
 
 
-def processed_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def processed_tables(spark: SparkSession, folder: str) -> LazyTables:
     return conform_all(raw_tables(spark, folder))
