@@ -79,41 +79,43 @@ def carried_columns(predictors: Sequence[str]) -> list[str]:
 
 
 def append_horizon(features: DataFrame, horizon: int, series_keys: Sequence[str] = ()) -> DataFrame:
-    """The feature rows plus `horizon` future months per series.
+    """The feature rows plus `horizon` future months per series, told apart by `step`.
 
     Future months know their calendar; carried columns hold the last observed
-    value; what depends on future revenue stays NULL until it is forecast.
+    value; what depends on future revenue stays NULL until it is forecast. The
+    last row of each series spawns its future rows, so the table is read once.
     """
     predictors = feature_columns(features, series_keys)
-    last = features.groupBy(*series_keys).agg(
-        F.max("month").alias("last_month"), F.max("time_index").alias("last_index")
-    )
-    future = last.select(
-        *series_keys,
-        "last_month",
-        "last_index",
-        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"),
-    ).select(
-        *series_keys,
-        F.add_months("last_month", F.col("step")).alias("month"),
-        F.month(F.add_months("last_month", F.col("step"))).alias("calendar_month"),
-        (F.col("last_index") + F.col("step")).cast("int").alias("time_index"),
-        "step",
-    )
-    history = features.withColumn("step", F.lit(0))
-    so_far = by_month(series_keys).rowsBetween(Window.unboundedPreceding, 0)
     carried = set(carried_columns(predictors))
-    return history.unionByName(future, allowMissingColumns=True).select(
+    window = by_month(series_keys)
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    is_last = F.lead("month", 1).over(window).isNull()
+    steps = F.when(is_last, F.sequence(F.lit(0), F.lit(horizon))).otherwise(F.array(F.lit(0)))
+    spawned = features.select(
+        "*",
+        F.struct(
+            *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in sorted(carried)]
+        ).alias("held"),
+        steps.alias("steps"),
+    ).select("*", F.explode("steps").alias("step"))
+    step, future = F.col("step"), F.col("step") > 0
+    month = F.add_months("month", step)
+
+    def predictor(name: str) -> Column:
+        if name in carried:
+            return F.when(future, F.col("held")[name]).otherwise(F.col(name))
+        if name == "calendar_month":
+            return F.month(month)
+        if name == "time_index":
+            return F.col(name) + step
+        return F.when(~future, F.col(name))
+
+    return spawned.select(
         *series_keys,
-        "month",
+        month.alias("month"),
         "step",
-        TARGET,
-        *[
-            F.when(F.col("step") > 0, F.last(c, ignorenulls=True).over(so_far)).otherwise(F.col(c)).alias(c)
-            if c in carried
-            else F.col(c)
-            for c in predictors
-        ],
+        F.when(~future, F.col(TARGET)).alias(TARGET),
+        *[predictor(c).alias(c) for c in predictors],
     )
 
 
