@@ -119,6 +119,15 @@ def append_horizon(features: DataFrame, horizon: int, series_keys: Sequence[str]
     )
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL when either is constant.
+
+    `corr` itself raises on a constant column.
+    """
+    paired_x, paired_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(paired_x) * F.stddev_pop(paired_y))
+
+
 def strongest_correlations(
     features: DataFrame, series_keys: Sequence[str] = (), top: int = 5
 ) -> DataFrame:
@@ -128,11 +137,12 @@ def strongest_correlations(
     left out, as are constant columns, which have no correlation.
     """
     predictors = feature_columns(features, series_keys)
+    target = F.col(TARGET)
     table = features.groupBy(*series_keys).agg(
-        *[F.abs(F.corr(F.col(c).cast("double"), F.col(TARGET))).alias(c) for c in predictors]
+        *[F.abs(correlation(F.col(c).cast("double"), target)).alias(c) for c in predictors]
     )
     long = table.unpivot(list(series_keys), predictors, "feature", "abs_correlation").where(
-        F.col("abs_correlation").isNotNull() & ~F.isnan("abs_correlation")
+        F.col("abs_correlation").isNotNull()
     )
     strongest = Window.partitionBy(*series_keys).orderBy(F.col("abs_correlation").desc(), "feature")
     return (
