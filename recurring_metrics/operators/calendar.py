@@ -55,6 +55,25 @@ def fixed_spine(
     return series_list(customers, series_keys).select(*series_keys, months)
 
 
+def _per_series(
+    block: DataFrame, series_of: DataFrame | None, series_keys: Sequence[str]
+) -> DataFrame:
+    """One block summed to series and month, by way of customer and month if it has them.
+
+    Summing per customer first leaves the customer join a row per customer and
+    month at most, so a customer with a large share of all facts is no hot key.
+    """
+    block = block.where(F.col("month").isNotNull())
+    measures = [c for c in block.columns if c not in ("customer_id", "month")]
+    if "customer_id" in block.columns:
+        block = block.groupBy("customer_id", "month").agg(
+            *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in measures]
+        )
+    if series_of is not None:
+        block = block.join(series_of, "customer_id")
+    return block.groupBy(*series_keys, "month").agg(*[F.sum(m).alias(m) for m in measures])
+
+
 def roll_up(
     blocks: Sequence[DataFrame],
     spine: DataFrame,
@@ -63,34 +82,25 @@ def roll_up(
 ) -> DataFrame:
     """Sums all contribution blocks per series and month of the spine.
 
-    The blocks are stacked, not joined: one shuffle on (customer, month) with
-    partial sums on the map side, one customer join of at most a row per
-    customer and month, and one small shuffle per series and month, however
-    many blocks there are. Months without a contribution get zero; months
-    outside the spine only feed the running sums.
+    Every block is reduced to a row per series and month on its own, with
+    partial sums before each shuffle; only these small results are stacked and
+    brought together with the spine. Months without a contribution get zero;
+    months outside the spine only feed the running sums.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
-    measures = [c for c in stacked.columns if c not in ("customer_id", "month")]
-    by_customer = [c for c in ("customer_id",) if c in stacked.columns]
-
-    totals = stacked.where(F.col("month").isNotNull())
-    if by_customer:
-        totals = totals.groupBy("customer_id", "month").agg(
-            *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in measures]
-        )
-    if series_keys:
-        series_of = customers.select("customer_id", *series_keys).dropna(subset=list(series_keys))
-        totals = totals.join(series_of, "customer_id")
-
+    series_of = (
+        customers.select("customer_id", *series_keys).dropna(subset=list(series_keys))
+        if series_keys
+        else None
+    )
     marked = spine.select(*series_keys, "month", F.lit(True).alias("on_spine"))
-    filled = (
-        totals.select(*series_keys, "month", *measures)
-        .unionByName(marked, allowMissingColumns=True)
-        .groupBy(*series_keys, "month")
-        .agg(
-            *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures],
-            F.bool_or("on_spine").alias("on_spine"),
-        )
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [*(_per_series(block, series_of, series_keys) for block in blocks), marked],
+    )
+    measures = [c for c in stacked.columns if c not in (*series_keys, "month", "on_spine")]
+    filled = stacked.groupBy(*series_keys, "month").agg(
+        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures],
+        F.bool_or("on_spine").alias("on_spine"),
     )
     so_far = (
         Window.partitionBy(*series_keys)

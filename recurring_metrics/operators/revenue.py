@@ -29,10 +29,10 @@ def compact_revenue(revenue: DataFrame) -> DataFrame:
     )
 
 
-def attribute_revenue(
+def categorize_revenue(
     revenue: DataFrame, subscriptions: DataFrame, by_customer: bool = True
 ) -> DataFrame:
-    """Net revenue by month and category (and customer).
+    """Partial sums of net revenue with month and category (and customer).
 
     A row of type 'New' is `new` on the customer's first subscription and
     `expansion` on any other, also on one that is unknown. Every other type,
@@ -48,7 +48,7 @@ def attribute_revenue(
         is_new.alias("is_new"),
         F.when(is_new, F.col("subscription_id")).alias("subscription_id"),
     ).agg(F.sum("net_revenue").alias("net_revenue"))
-    summed = summed.withColumn(
+    summed = summed.where(F.col("month").isNotNull()).withColumn(
         "spread",
         F.when(
             F.col("subscription_id").isNull(), F.pmod(F.hash(*customer, "month"), F.lit(1024))
@@ -60,10 +60,19 @@ def attribute_revenue(
     category = (
         F.when(~F.col("is_new"), "renewal").when(F.col("is_first"), "new").otherwise("expansion")
     )
+    return summed.join(first, ["subscription_id", "spread"], "left").select(
+        *customer, "month", category.alias("category"), "net_revenue"
+    )
+
+
+def attribute_revenue(
+    revenue: DataFrame, subscriptions: DataFrame, by_customer: bool = True
+) -> DataFrame:
+    """Net revenue by month and category (and customer), one row each."""
+    customer = ["customer_id"] if by_customer else []
     return (
-        summed.join(first, ["subscription_id", "spread"], "left")
-        .where(F.col("month").isNotNull())
-        .groupBy(*customer, "month", category.alias("category"))
+        categorize_revenue(revenue, subscriptions, by_customer)
+        .groupBy(*customer, "month", "category")
         .agg(F.sum("net_revenue").alias("net_revenue"))
     )
 
@@ -71,13 +80,14 @@ def attribute_revenue(
 def revenue_block(
     revenue: DataFrame, subscriptions: DataFrame, by_customer: bool = False
 ) -> DataFrame:
-    """attribute_revenue with one column per category, all always present."""
-    attributed = attribute_revenue(revenue, subscriptions, by_customer)
+    """categorize_revenue with one column per category, all always present."""
     amounts = [
         F.when(F.col("category") == c, F.col("net_revenue")).alias(f"{c}_revenue")
         for c in CATEGORIES
     ]
-    return attributed.select(*(["customer_id"] if by_customer else []), "month", *amounts)
+    return categorize_revenue(revenue, subscriptions, by_customer).select(
+        *(["customer_id"] if by_customer else []), "month", *amounts
+    )
 
 
 def total_block(revenue: DataFrame, by_customer: bool = False) -> DataFrame:
