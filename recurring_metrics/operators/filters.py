@@ -27,7 +27,8 @@ def _only(df: DataFrame, column: str, chosen: Sequence[str]) -> DataFrame:
     return df.where(F.col(column).isin(list(chosen))) if chosen else df
 
 
-def _within(df: DataFrame, column: str, choice: DashboardFilter) -> DataFrame:
+def within_months(df: DataFrame, column: str, choice: DashboardFilter) -> DataFrame:
+    """Rows dated from the first day of the start month to the last of the end month."""
     day = F.col(column).cast("date")
     return df.where(day.between(F.lit(choice.start_month), F.last_day(F.lit(choice.end_month))))
 
@@ -54,7 +55,7 @@ def apply_filters(tables: Mapping[str, DataFrame], choice: DashboardFilter) -> d
 
     def facts(name: str, day: str) -> DataFrame:
         return (
-            _within(tables[name], day, choice)
+            within_months(tables[name], day, choice)
             .join(customer_ids, "customer_id", "left_semi")
             .join(subscription_ids, "subscription_id", "left_semi")
         )

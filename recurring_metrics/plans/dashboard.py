@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recurring_metrics.functions.numbers import classify_trend, percent_change_abs
 from recurring_metrics.operators.calendar import fixed_spine, roll_up
-from recurring_metrics.operators.filters import DashboardFilter, apply_filters
+from recurring_metrics.operators.filters import DashboardFilter, apply_filters, within_months
 from recurring_metrics.operators.revenue import churn_block, compact_revenue, revenue_block
 from recurring_metrics.operators.snapshots import mrr_block
 from recurring_metrics.plans.summary import (
@@ -35,12 +35,14 @@ GOOD_IS_UP = {
 def select_dashboard(tables: Mapping[str, DataFrame], choice: DashboardFilter) -> dict[str, DataFrame]:
     """The filtered selection behind one dashboard page.
 
-    Revenue is summed to customer, subscription, month and type before the
-    filter joins, which is exact because the filter works on whole months.
+    The date range goes to the scan of the revenue rows. What passes is summed
+    to customer, subscription, month and type before the filter joins, which is
+    exact because the filter works on whole months.
     """
     needed = ("dim_customer", "dim_product_plan", "fact_subscription", "fact_churn")
     frames = {name: tables[name] for name in needed}
-    frames["fact_revenue"] = compact_revenue(tables["fact_revenue"])
+    billed = within_months(tables["fact_revenue"], "revenue_date", choice)
+    frames["fact_revenue"] = compact_revenue(billed)
     return apply_filters(frames, choice)
 
 
