@@ -137,9 +137,13 @@ def reconcile_revenue(attributed: DataFrame, revenue: DataFrame) -> DataFrame:
             amount.alias("billed_revenue"),
         ).where(F.col("month").isNotNull())
     )
-    totals = sides.rollup("month").agg(
+    monthly = sides.groupBy("month").agg(
         F.sum("attributed_revenue").alias("attributed"), F.sum("billed_revenue").alias("billed")
     )
+    # the total is taken over the months, not over the rows a second time
+    totals = monthly.rollup("month").agg(
+        F.sum("attributed").alias("attributed"), F.sum("billed").alias("billed")
+    )
     return totals.select(
         "month",
         F.col("attributed").cast("double").alias("attributed_revenue"),

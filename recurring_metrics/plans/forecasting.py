@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame
 from recurring_metrics.operators import baselines, trees
 from recurring_metrics.operators.evaluate import historical_vs_predicted, leaderboard
 from recurring_metrics.operators.forecast import HORIZON, forecast_drivers, revenue_forecast
+from recurring_metrics.sources.io import materialize
 
+# Columns of the stored metrics table, after the series keys.
+METRIC_COLUMNS = (
+    "model_name", "mae", "rmse", "mape", "model_version", "backtest_start", "backtest_end",
+    "is_best", "evaluated_at",
+)
 MODELS = (*baselines.BASELINES, baselines.SMOOTHING, *trees.TREE_MODELS)
 WINDOW_MODELS = (*baselines.BASELINES, baselines.SMOOTHING)
 
@@ -79,12 +85,15 @@ def forecast_outputs(
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
     as_of: dt.datetime | None = None,
 ) -> dict[str, DataFrame]:
-    """The four output tables. Pass materialised inputs; several results read them."""
-    backtests = walk_forward(summary, series_keys, models, features, tree_models)
+    """The four output tables. Pass materialised inputs; several results read them.
+
+    The back-tests feed three of the tables and are written once in between.
+    """
+    backtests = materialize(walk_forward(summary, series_keys, models, features, tree_models))
     board = leaderboard(backtests, series_keys, as_of)
     points = future_points(summary, series_keys, models, features, tree_models)
     return {
-        "model_evaluation_metrics": board,
+        "model_evaluation_metrics": board.select(*series_keys, *METRIC_COLUMNS),
         "historical_vs_predicted": historical_vs_predicted(backtests, board, series_keys),
         "revenue_forecast": revenue_forecast(points, board, summary, series_keys, as_of),
         "forecast_drivers": forecast_drivers(summary, series_keys),
