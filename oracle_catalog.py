@@ -264,7 +264,8 @@ SUBQUERIES |= {
                                             INTERVAL 1 MONTH)) AS m)""",
     **monthly("f_", (), "f_rev", "f_sub", "f_churn", "f_spine"),
     "f_series": """
-        SELECT month, total_revenue, new_revenue, renewal_revenue, expansion_revenue, mrr, arr,
+        SELECT month, total_revenue, new_revenue AS new, renewal_revenue AS renewal,
+               expansion_revenue AS expansion, mrr, arr,
                active_customers, new_customers, churned_customers,
                churn_revenue AS churned_revenue
         FROM f_core""",

@@ -14,7 +14,10 @@ from recurring_metrics.functions.dates import month_floor
 
 @dataclass(frozen=True)
 class DashboardFilter:
-    """Months from start_month to end_month inclusive; an empty list filters nothing."""
+    """Months from start_month to end_month inclusive; an empty list filters nothing.
+
+    Months are given by their first day.
+    """
 
     start_month: dt.date
     end_month: dt.date
@@ -22,6 +25,10 @@ class DashboardFilter:
     regions: Sequence[str] = field(default_factory=tuple)
     families: Sequence[str] = field(default_factory=tuple)
 
+    def __post_init__(self) -> None:
+        if self.start_month.day != 1 or self.end_month.day != 1:
+            raise ValueError("start_month and end_month must be the first day of a month")
+
 
 def _only(df: DataFrame, column: str, chosen: Sequence[str]) -> DataFrame:
     return df.where(F.col(column).isin(list(chosen))) if chosen else df

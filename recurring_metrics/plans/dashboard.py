@@ -60,7 +60,7 @@ def monthly_series(selection: Mapping[str, DataFrame], choice: DashboardFilter)
     )
     return rolled.select(
         "month",
-        *revenue_columns(),
+        *revenue_columns("{}"),
         *mrr_columns(),
         *status_columns(),
         double("churn_revenue", "churned_revenue"),

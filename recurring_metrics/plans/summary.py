@@ -27,13 +27,14 @@ def double(column: str | Column, name: str) -> Column:
     return value.cast("double").alias(name)
 
 
-def revenue_columns() -> list[Column]:
+def revenue_columns(pattern: str = "{}_revenue") -> list[Column]:
+    """Total revenue, and each category under the name the pattern gives it."""
     new, expansion, renewal = (F.col(f"{c}_revenue") for c in CATEGORIES)
     return [
         double(new + expansion + renewal, "total_revenue"),
-        double(new, "new_revenue"),
-        double(renewal, "renewal_revenue"),
-        double(expansion, "expansion_revenue"),
+        double(new, pattern.format("new")),
+        double(renewal, pattern.format("renewal")),
+        double(expansion, pattern.format("expansion")),
     ]
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from recurring_metrics.functions import numbers
@@ -73,9 +74,9 @@ def test_a_filter_can_turn_expansion_into_new(make):
         series = dashboard.monthly_series(dashboard.select_dashboard(t, choice), choice)
         return series.where("month = '2024-02-01'").first()
 
-    assert (february(YEAR).new_revenue, february(YEAR).expansion_revenue) == (0.0, 5.0)
+    assert (february(YEAR).new, february(YEAR).expansion) == (0.0, 5.0)
     only = DashboardFilter(YEAR.start_month, YEAR.end_month, families=("Add-on",))
-    assert (february(only).new_revenue, february(only).expansion_revenue) == (5.0, 0.0)
+    assert (february(only).new, february(only).expansion) == (5.0, 0.0)
 
 
 def test_segment_and_region_choices_combine(make):
@@ -105,8 +106,14 @@ def test_unfiltered_series_equals_the_summary(make):
     t["dim_product_plan"] = make.plans(("P1", "Core"))
     choice = DashboardFilter(dt.date(2024, 1, 1), dt.date(2024, 4, 1))
     series = dashboard.monthly_series(dashboard.select_dashboard(t, choice), choice)
-    shared = [c for c in series.columns if c != "churned_revenue"]
-    assert rows(series, *shared) == rows(monthly_summary(t), *shared)
+    names = {"new": "new_revenue", "expansion": "expansion_revenue", "renewal": "renewal_revenue",
+             "churned_revenue": "churn_revenue"}
+    assert rows(series) == rows(monthly_summary(t), *[names.get(c, c) for c in series.columns])
+
+
+def test_months_are_first_days():
+    with pytest.raises(ValueError, match="first day"):
+        DashboardFilter(dt.date(2024, 1, 2), dt.date(2024, 2, 1))
 
 
 def test_kpi_trend_badges(spark, make):
