@@ -42,7 +42,7 @@ def main() -> None:
         """The whole result, without moving it to the driver."""
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
 
-    run("monthly_revenue")
+    run("monthly_summary")
     timings = {
         name: round(statistics.median(seconds(lambda n=name: run(n)) for _ in range(repeats)), 3)
         for name in names
