@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,4 +23,14 @@ def local_session(cores: int | str = 8, memory: str = "8g", **settings: str) ->
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    use_shared_folder(session)
     return session
+
+
+def use_shared_folder(spark: SparkSession) -> None:
+    """Gives a one-process session a temporary shared folder if none is configured."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    one_process = context.master == "local" or context.master.startswith("local[")
+    if one_process and not configured:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="recurring-metrics-"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -92,20 +91,11 @@ def require_rows(**tables: DataFrame) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, taken from spark.checkpoint.dir.
-
-    Only a local-mode session, where every task shares the driver's disk, may
-    fall back to a temporary folder.
-    """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured:
-        return configured
-    if not context.master.startswith("local"):
+    """The folder all executors can reach, taken from spark.checkpoint.dir."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise DataUnavailableError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="recurring-metrics-")
-    context.setCheckpointDir(folder)
-    return folder
+    return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
