@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurring_metrics.llm import exact_dedup, minhash_dedup
+import corpus_pipeline
+from recurring_metrics.llm import (
+    exact_dedup,
+    language_id,
+    minhash_dedup,
+    packing,
+    secret_forest,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,14 +29,39 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document in its training window."""
+    return packing.pack(_table(spark, folder, "documents"))
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = _table(spark, folder, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    # The held-out mark depends on the id alone and joins nothing.
+    return language_id.predict(docs, model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component of near duplicates."""
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of a secret in the documents."""
+    model = secret_forest.fit(secret_forest.sample_findings(spark))
+    return secret_forest.scan(_table(spark, folder, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_secret_forest": op8_secret_forest,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
