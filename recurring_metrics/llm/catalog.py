@@ -9,18 +9,29 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recurring_metrics.llm import (
+    bpe_chunks,
+    embedding_itq,
     exact_dedup,
     language_id,
+    license_scan,
     minhash_dedup,
     packing,
     secret_forest,
+    token_counts,
+    warc_dict,
 )
+from recurring_metrics.sources.io import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_embedding_itq(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its links and component."""
+    return embedding_itq.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the one that stays for its text."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -34,6 +45,19 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The token count of every document."""
+    return token_counts.count_tokens(_table(spark, folder, "documents"))
+
+
+def op5_warc_dict(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, written to archives in the shared folder and read back."""
+    pages = _table(spark, folder, "pages")
+    return warc_dict.round_trip(spark, pages, scratch_path(spark, "warc")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""
     docs = _table(spark, folder, "documents")
@@ -55,12 +79,33 @@ def op8_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return secret_forest.scan(_table(spark, folder, "documents"), model)
 
 
+def op9_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    encoded = bpe_chunks.encode(_table(spark, folder, "documents"))
+    return bpe_chunks.decode(encoded).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every license template found in every document."""
+    return license_scan.scan(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_itq": op1_embedding_itq,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
+    "op5_warc_dict": op5_warc_dict,
     "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_forest": op8_secret_forest,
+    "op9_bpe_chunks": op9_bpe_chunks,
+    "op10_license_scan": op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -78,4 +123,33 @@ ORACLES: dict[str, str] = {
             FROM bodies)
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256
         FROM ranked""",
+    "op1_embedding_itq": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(a, b) AS (
+            SELECT a, b FROM links
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+               least(vec_id, coalesce(b, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+        FROM embeddings LEFT JOIN lowest ON vec_id = lowest.a LEFT JOIN counts ON vec_id = counts.a""",
+    "op5_warc_dict": """
+        WITH sized AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+        grouped AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS largest FROM sized)
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> largest THEN largest END AS refers_to
+        FROM grouped""",
 }

@@ -98,3 +98,9 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """An Arrow schema from `name type, ...` with long, string, boolean and binary columns."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])

@@ -7,9 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-from recurring_metrics.llm.pretoken import STOP, code_points, starts
+from recurring_metrics.llm.pretoken import BLANK, STOP, classes, code_points, starts
 from recurring_metrics.llm.shingles import _powers, mix
 
+# (code points, begins, ends) -> (ids, first, size)
+Encoder = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 MOST = 1_000_000
 _POWERS = _powers(1024)
 
@@ -33,14 +35,20 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, where, inverse
 
 
+def gathered(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i] .. first[i] + size[i] - 1 of every i, one after the other."""
+    out = np.cumsum(size) - size
+    return np.repeat(first - out, size) + np.arange(int(size.sum()))
+
+
 class PieceTable:
     """Ids of the pieces met so far, by hash; it starts anew when it holds MOST pieces.
 
-    `encode` takes a list of distinct pieces and returns all their ids in a row
-    and the number of each.
+    `encode` takes code points and the bounds of distinct pieces in them; it
+    returns ids, and where each piece's ids begin and how many they are.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Encoder):
         self.encode = encode
         self.clear()
 
@@ -50,8 +58,8 @@ class PieceTable:
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
 
-    def rows(self, hashes: np.ndarray, text: Callable[[int], str]) -> np.ndarray:
-        """The table row of each of the distinct hashes; text(i) is the piece of the i-th."""
+    def rows(self, hashes: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The table row of each of the distinct hashes of pieces codes[begin:end]."""
         if len(self.known) > MOST:
             self.clear()
         at = np.searchsorted(self.known, hashes)
@@ -61,29 +69,22 @@ class PieceTable:
         new = np.flatnonzero(~old)
         if len(new):
             new = new[np.argsort(hashes[new])]
-            ids, size = self.encode([text(i) for i in new.tolist()])
-            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+            ids, first, size = self.encode(codes, begin[new], end[new])
+            rows = len(self.first) + np.arange(len(new))
+            self.first = np.concatenate((self.first, len(self.ids) + first))
             self.size = np.concatenate((self.size, size))
             self.ids = np.concatenate((self.ids, ids))
             self.known = np.insert(self.known, at[new], hashes[new])
-            self.row = np.insert(self.row, at[new], len(self.first) - len(new) + np.arange(len(new)))
+            self.row = np.insert(self.row, at[new], rows)
             at = np.searchsorted(self.known, hashes)
         return self.row[at]
 
     def encode_codes(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each piece has."""
         hashes, where, inverse = distinct(piece_hashes(codes, begin, end))
-        flat = codes.astype("<u4")
-
-        def text(i: int) -> str:
-            k = where[i]
-            return flat[begin[k] : end[k]].tobytes().decode("utf-32-le")
-
-        row = self.rows(hashes, text)[inverse]
+        row = self.rows(hashes, codes, begin[where], end[where])[inverse]
         count = self.size[row]
-        out = np.cumsum(count) - count
-        spread = np.repeat(self.first[row] - out, count) + np.arange(int(count.sum()))
-        return self.ids[spread], count
+        return self.ids[gathered(self.first[row], count)], count
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
@@ -105,30 +106,34 @@ class PieceTable:
         return np.split(ids, np.cumsum(per_text)[:-1])
 
 
-def rank_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encodes lists of pieces by byte-level ranks.
+def rank_encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """Encodes pieces by byte-level ranks.
 
-    Pieces that are not white space go in one call, joined by line feeds: a line
-    feed before a piece is a piece of its own, and no other piece has its id.
+    Pieces that are not white space go in one call, each after a line feed: a
+    line feed before a piece is a piece of its own, and no other has its id.
     """
     import tiktoken
 
     core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     feed = ranks[b"\n"]
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [i for i, p in enumerate(pieces) if not p.isspace()]
-        made: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
-        if plain:
-            joined = "\n".join([pieces[i] for i in plain])
-            ids = np.asarray(core.encode_to_numpy(joined)).astype(np.int32)
-            for i, own in zip(plain, np.split(ids, np.flatnonzero(ids == feed))):
-                made[i] = own
-            for i in plain[1:]:
-                made[i] = made[i][1:]
-        for i, piece in enumerate(pieces):
-            if piece.isspace():
-                made[i] = np.array(core.encode_ordinary(piece), dtype=np.int32)
-        return np.concatenate(made), np.array([len(m) for m in made], dtype=np.int64)
+    def encode(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        white = classes()[codes[end - 1]] >= BLANK
+        plain = np.flatnonzero(~white)
+        length = end[plain] - begin[plain]
+        joined = np.full(int(length.sum()) + len(plain), 10, dtype="<u4")
+        joined[gathered(np.cumsum(length + 1) - length, length)] = codes[gathered(begin[plain], length)]
+        ids = np.asarray(core.encode_to_numpy(joined.tobytes().decode("utf-32-le"))).astype(np.int32)
+        feeds = np.flatnonzero(ids == feed)
+        first, size = np.zeros(len(begin), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
+        first[plain] = feeds + 1
+        size[plain] = np.diff(np.append(feeds, len(ids))) - 1
+        more, total = [ids], len(ids)
+        for i in np.flatnonzero(white).tolist():
+            own = core.encode_ordinary(codes[begin[i] : end[i]].astype("<u4").tobytes().decode("utf-32-le"))
+            more.append(np.array(own, dtype=np.int32))
+            first[i], size[i] = total, len(own)
+            total += len(own)
+        return np.concatenate(more), first, size
 
     return encode

@@ -1,0 +1,174 @@
+"""Language, secrets and licenses."""
+
+import binascii
+import random
+
+import pytest
+
+from recurring_metrics.llm import language_id, license_scan, secret_forest
+from tests.llm.conftest import prose
+
+SYLLABLES = {
+    "en": "the and tion ing with that ough sh wh ly er re".split(),
+    "de": "sch der die und ein keit heit ung zu pf ü ä".split(),
+    "fr": "eau que les eux tion ment oi ç é è ou ai".split(),
+    "es": "ción que los ez ñ ó ar ll mente es do ue".split(),
+}
+
+
+def speech(lang, seed, n=40):
+    chooser = random.Random(f"{lang}{seed}")
+    return " ".join("".join(chooser.choices(SYLLABLES[lang], k=chooser.randint(1, 3))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def spoken(table):
+    rows = [(i, speech(lang, i, 5 + i % 60), lang, "s") for i, lang in enumerate(sorted(SYLLABLES) * 60)]
+    return table(*rows)
+
+
+@pytest.fixture(scope="module")
+def model(spoken):
+    return language_id.fit(spoken.where(~language_id.held_out()))
+
+
+def test_held_out(spoken):
+    got = {r["doc_id"] for r in spoken.where(language_id.held_out()).collect()}
+    assert got == {i for i in range(240) if binascii.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_language(spoken, model):
+    assert model.families == ["germanic", "romance"] and model.pairs == [("de", "en"), ("es", "fr")]
+    got = {r["doc_id"]: r for r in language_id.predict(spoken, model).collect()}
+    held = spoken.where(language_id.held_out()).collect()
+    right = sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held)
+    assert right >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_of_odd_texts(odd, empty, model):
+    got = language_id.predict(odd, model).collect()
+    assert len(got) == odd.count()
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert und == {1, 2, 3, 11, None}
+    kept = language_id.keep_known(odd, model)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 5
+    assert language_id.predict(empty, model).count() == 0
+    assert language_id.fit(empty) is None
+    assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
+
+
+def test_one_language(table):
+    model = language_id.fit(table(*[(i, speech("fr", i), "fr") for i in range(8)], (9, None, "fr")))
+    assert model.decide(model.intercepts)[0] == "fr"
+
+
+def test_sample_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    held = docs.where(language_id.held_out() & (docs.n_chars > 40))
+    joined = language_id.predict(held, model).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in joined) >= 0.97 * len(joined)
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_forest.fit(secret_forest.sample_findings(spark, 3000))
+
+
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+@pytest.fixture(scope="module")
+def leaky(table):
+    return table(
+        (1, f'the token = "{KEY}" and the rest', "en", "src1"),
+        (2, f"see commit {KEY} of the branch", "en", "docs/guide.md"),
+        (3, "path to www.image-page123.example.com/content/title12.html here"),
+        (4, f'{{"api_key":"Zk3{KEY[:20]}Qx9LmP0a"}}'),
+        (5, prose(4)),
+        (6, "card 4785380592391139 and mail that.92@mail2.example.com"),
+        (7, f'token = "{KEY}" ' + prose(5) + f' token = "{KEY}"'),
+        (None, f'secret = "{KEY}"'),
+    )
+
+
+def test_secrets(leaky, forest):
+    got = secret_forest.scan(leaky, forest).collect()
+    assert {r["doc_id"] for r in got} == {1, 4, 7, None}
+    assert sum(r["doc_id"] == 7 for r in got) == 2
+    assert all(r["secret"] == KEY for r in got if r["doc_id"] in (1, 7))
+
+
+def test_mask(leaky, odd, empty, forest):
+    got = {r["doc_id"]: r["text"] for r in secret_forest.mask(leaky, forest).collect()}
+    assert len(got) == 8 and KEY not in "".join(got[i] for i in (1, 7, None))
+    assert got[1] == 'the token = "[SECRET]" and the rest' and got[5] == prose(4) and KEY in got[2]
+    masked = secret_forest.mask(odd, forest)
+    assert masked.columns == odd.columns
+    assert sorted(map(str, masked.collect())) == sorted(map(str, odd.collect()))
+    assert secret_forest.mask(empty, forest).count() == secret_forest.scan(empty, forest).count() == 0
+
+
+def test_forest_on_new_findings(spark, forest):
+    fresh = secret_forest.with_features(secret_forest.sample_findings(spark, 5000)).where("label IS NOT NULL")
+    judged = forest.transform(fresh)
+    assert judged.where("prediction = label").count() >= 0.97 * judged.count()
+
+
+def test_scan_without_python(leaky, forest):
+    plan = secret_forest.mask(leaky, forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def contained(text, template, width=5):
+    def words(t):
+        return "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()
+
+    def grams(w):
+        return [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
+
+    known, found = set(grams(words(template))), grams(words(text))
+    n, best = len(known), None
+    for at in range(0, max(len(found), 1), n):
+        share = len(known & set(found[at : at + 2 * n])) / n
+        if share >= 0.8 and (best is None or share > best[0]):
+            best = (share, at)
+    return best
+
+
+@pytest.fixture(scope="module")
+def licensed(table):
+    known = license_scan.TEMPLATES
+    chooser, rows = random.Random(6), []
+    for i in range(60):
+        parts = [prose(i, chooser.randint(0, 60))]
+        for name in chooser.sample(sorted(known), i % 3):
+            words = known[name].split()
+            if len(words) > 20:
+                words[chooser.randrange(len(words))] = "changed"
+            parts += [" ".join(words), prose(i + 500, chooser.randint(0, 40))]
+        rows.append((i, "\n".join(parts)))
+    rows += [(90, "Released under the"), (91, known["MIT opening"][:150]), (92, known["Apache-2.0 notice"].upper())]
+    return table(*rows)
+
+
+def test_licenses(licensed):
+    got = {
+        (r["doc_id"], r["license"]): (round(r["containment"], 9), r["first_word"])
+        for r in license_scan.scan(licensed).collect()
+    }
+    want = {}
+    for row in licensed.collect():
+        for name, template in license_scan.TEMPLATES.items():
+            if (best := contained(row["text"], template)) is not None:
+                want[row["doc_id"], name] = (round(best[0], 9), best[1])
+    assert got == want and len(want) > 40
+
+
+def test_licenses_of_odd_texts(odd, empty, licensed):
+    assert license_scan.scan(odd).count() == license_scan.scan(empty).count() == 0
+    with pytest.raises(ValueError):
+        license_scan.scan(odd, {"short": "one two"})
+    plan = license_scan.scan(licensed)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
