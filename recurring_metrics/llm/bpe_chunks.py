@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recurring_metrics.llm.common import column, slices, tokenizer_path
 from recurring_metrics.llm.pieces import PieceTable, rank_encoder
@@ -162,5 +162,5 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
     path = tokenizer or tokenizer_path("byte_bpe_50k.tiktoken")
     if "decoded" in encoded.columns:
         raise ValueError("the table already has a column decoded")
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.mapInArrow(_decode(path, ids_col), schema)

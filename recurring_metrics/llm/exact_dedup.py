@@ -2,7 +2,9 @@
 
 White space is deleted before texts are compared. Splitters sampled by Spark deal
 the normalised texts to ranges, every range is sorted externally, equal texts lie
-side by side, and a window compares each row with its neighbour in full.
+side by side, and a window compares each row with its neighbour in full. Splitters are
+made of the first `PREFIX` characters and a fingerprint, as whole texts are too large for
+the driver; rows are sorted by these two and then by the whole text.
 
 A text with very many copies would fill one range. Texts seen more than `run_rows`
 times are found by a count of 64-bit fingerprints, summed before the shuffle; their
@@ -22,6 +24,7 @@ from recurring_metrics.llm.common import SPACES, column, free_name
 
 HOT_TEXTS = 10_000
 RUN_ROWS = 1_000
+PREFIX = 32
 
 
 def normalised(text: Column) -> Column:
@@ -81,6 +84,8 @@ def label_copies(
     tag = tag.join(F.broadcast(hot), "print", "left")
     tag = tag.select(
         row,
+        "print",
+        F.substring(normalised(own[text_col]), 1, PREFIX).alias("prefix"),
         F.when(
             F.col("texts").isNotNull(),
             F.element_at("texts", F.sha2(normalised(own[text_col]), 256)),
@@ -89,10 +94,11 @@ def label_copies(
     tag = tag.withColumn(
         "slice", F.coalesce(F.pmod(F.xxhash64(own[id_col]), F.col(of)["parts"]), F.lit(0))
     )
-    dealt = tag.repartitionByRange(normalised(own[text_col]), F.col("slice"))
+    # Splitters travel through the driver: a prefix and the fingerprint stand for the text.
+    dealt = tag.repartitionByRange("prefix", "print", "slice")
     dealt = dealt.withColumn("body", normalised(own[text_col]))
 
-    run = Window.partitionBy("body", "slice")
+    run = Window.partitionBy("prefix", "print", "body", "slice")
     length = F.char_length(F.coalesce(own[text_col], F.lit("")))
     first = run.orderBy(length.desc(), own[id_col].asc_nulls_last())
     marked = dealt.select(

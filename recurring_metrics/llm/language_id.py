@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from recurring_metrics.llm.common import column, slices
 from recurring_metrics.sources.io import materialize
 
-BUCKETS = 1 << 14
-PER_LANGUAGE = 1_500
+BUCKETS = 1 << 12
+PER_LANGUAGE = 600
 WINDOW = 1 << 20
 UNKNOWN = "und"
 # Language codes by family; a code not listed is a family of its own.
@@ -53,8 +53,8 @@ def grams(text: str) -> Iterator[np.ndarray]:
         pair = b[:-2] << np.uint32(8) | b[1:-1]
         triple = pair << np.uint32(8) | b[2:]
         seen = pair != 0x2020
-        pair = (pair * np.uint32(0x9E3779B1)) >> np.uint32(18)
-        triple = (triple * np.uint32(0x85EBCA6B) ^ np.uint32(0x5BD1E995)) * np.uint32(0xC2B2AE35) >> np.uint32(18)
+        pair = (pair * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        triple = (triple * np.uint32(0x85EBCA6B) ^ np.uint32(0x5BD1E995)) * np.uint32(0xC2B2AE35) >> np.uint32(20)
         yield np.concatenate((pair[seen], triple[seen]))
 
 
@@ -118,7 +118,7 @@ def fit(
     shares = {k: min(1.0, per_language / n) for k, n in counts.items()}
     bound = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
     taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < bound * 1_000_003)
-    data = materialize(taken.mapInArrow(_counts, "lang string, shares array<double>")).repartition(6)
+    data = materialize(taken.mapInArrow(_counts, "lang string, shares array<double>")).coalesce(2)
     data = data.select("lang", array_to_vector("shares").alias("features")).persist()
 
     by_family: dict[str, list[str]] = {}
@@ -132,7 +132,7 @@ def fit(
 
     if len(names) > 1:
         target = {lang: float(i) for i, f in enumerate(names) for lang in by_family[f]}
-        found = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(
+        found = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=25).fit(
             data.withColumn("label", indexed(target))
         )
         matrix = found.coefficientMatrix.toArray()
@@ -143,7 +143,7 @@ def fit(
         constants.append(0.0)
     for family in names:
         for one, two in itertools.combinations(by_family[family], 2):
-            found = LinearSVC(regParam=1e-3, maxIter=40).fit(
+            found = LinearSVC(regParam=1e-3, maxIter=10, tol=1e-4).fit(
                 data.where(F.col("lang").isin(one, two)).withColumn(
                     "label", (F.col("lang") == one).cast("double")
                 )

@@ -70,6 +70,14 @@ def template_table(docs: DataFrame, templates: Mapping[str, str]) -> list:
     return sets.select("license", "s", lowest.alias("lowest"), minima("s").alias("bands")).collect()
 
 
+def _windows(n: int) -> Column:
+    """(size, at) of the windows for templates of n shingles that hold one of the places."""
+    begins = F.transform("places", lambda p: F.array(p - p % n, F.greatest(p - p % n - n, F.lit(0))))
+    return F.transform(
+        F.array_distinct(F.flatten(begins)), lambda at: F.struct(F.lit(n).alias("size"), at.alias("at"))
+    )
+
+
 def scan(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,
@@ -109,24 +117,7 @@ def scan(
         F.transform("s", lambda x, i: F.when(F.array_contains(anchors, x), i)), lambda i: i.isNotNull()
     )
     around = held.select("id", "s", places.alias("places"))
-    windows = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.array_distinct(
-                        F.flatten(
-                            F.transform(
-                                "places",
-                                lambda p, n=n: F.array(p - p % n, F.greatest(p - p % n - n, F.lit(0))),
-                            )
-                        )
-                    ),
-                    lambda at, n=n: F.struct(F.lit(n).alias("size"), at.alias("at")),
-                )
-                for n in sizes
-            ]
-        )
-    )
+    windows = F.flatten(F.array(*[_windows(n) for n in sizes]))
     cut = around.select("id", "s", F.explode(windows).alias("w")).select(
         "id", "w.size", "w.at", F.array_distinct(F.slice("s", F.col("w.at") + 1, 2 * F.col("w.size"))).alias("window")
     )

@@ -10,12 +10,13 @@ without a common band with a probability under one in a million.
 Groups may be huge, so pairs are never listed in full:
 
 1. Texts with equal shingle sets become one class; only representatives go on.
-2. In each bucket of a band, members meet only the smallest one (a star). Each takes
-   its best-looking star centre, and those pairs are confirmed.
+2. In each bucket of a band, members meet only the smallest one (a star). Each takes its
+   best-looking star centre, and those pairs are confirmed.
 3. Only buckets that still hold several components go on. Their members meet in blocks
-   of bounded size, spread over tasks; a member names its best candidates of other
-   components, a few per block, and those are confirmed. The number named grows from
-   round to round until no block has had to leave any out, so no link is lost.
+   of bounded size, spread over tasks. A first pass over the signatures marks the members
+   with a candidate of another component, each pair in the first band that it shares; the
+   marked ones meet again with their texts, all their candidates are compared in full, and
+   a spanning forest of the links comes back. No pairs are written, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurring_metrics.llm.common import column, components, slices
+from recurring_metrics.llm.pieces import gathered
 from recurring_metrics.llm.shingles import mix, shingle_sets
 from recurring_metrics.sources.io import materialize
 
@@ -36,7 +38,7 @@ HASHES = ROWS * BANDS
 LANES = 64 // BITS
 # Candidates may look this much less similar than the threshold: over four standard errors.
 MARGIN = 0.12
-BLOCK = 1024
+BLOCK, SHINGLES = 1024, 400_000
 _STEPS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = (np.arange(LANES) * BITS).astype(np.uint64)
 _ONES = np.uint64(0x1111111111111111)
@@ -142,93 +144,158 @@ def _lanes_unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def _name_candidates(limit: int, most_unequal: float) -> object:
-    """Best candidates of other components, `limit` per member and block, from sorted rows."""
-
-    def named(ids, comps, sigs, side):
-        if side.min() == side.max():
-            rows = cols = np.arange(len(ids))
-        else:
-            rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out, cut = [], False
-        for at in range(0, len(rows), 256):
-            r = rows[at : at + 256]
-            far = _lanes_unequal(sigs[r], sigs[cols]).astype(np.int32)
-            far[comps[r][:, None] == comps[cols][None, :]] = HASHES + 1
-            near = far <= most_unequal
-            if not near.any():
-                continue
-            cut |= bool((near.sum(axis=1) > limit).any())
-            if len(cols) > limit:
-                best = np.argpartition(far, limit - 1, axis=1)[:, :limit]
-            else:
-                best = np.broadcast_to(np.arange(len(cols)), (len(r), len(cols)))
-            i, j = np.nonzero(np.take_along_axis(near, best, axis=1))
-            x, y = ids[r[i]], ids[cols[best[i, j]]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        return (np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)), cut
+def _near_pairs(block: dict, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (rows i, j) of a block: other component, alike enough, first met in this band."""
+    side, comps, sigs, bands = block["side"], block["comp"], block["sig"], block["bands"]
+    if comps.min() == comps.max():
+        return
+    alone = block["i"] == block["j"]
+    rows = np.arange(len(side)) if alone else np.flatnonzero(side == 0)
+    cols = rows if alone else np.flatnonzero(side == 1)
+    for at in range(0, len(rows), 128):
+        r = rows[at : at + 128]
+        near = _lanes_unequal(sigs[r], sigs[cols]) <= most
+        near &= comps[r][:, None] != comps[cols][None, :]
+        if alone:
+            near &= r[:, None] < cols[None, :]
+        i, j = np.nonzero(near)
+        i, j = r[i], cols[j]
+        for part in range(0, len(i), 1 << 16):
+            x, y = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+            band = (bands[x] == bands[y]).argmax(axis=1)
+            here = bands[x, band] == block["key"]
+            if here.any():
+                yield x[here], y[here]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The groups (key, i, j) of sorted rows, as arrays; groups may span batches."""
+    held: list[dict] = []
+
+    def joined() -> dict:
+        out = {n: np.concatenate([h[n] for h in held]) for n in held[0] if n not in ("group", "texts")}
+        key, i, j = held[0]["group"].tolist()
+        return out | {"key": key, "i": i, "j": j, "texts": [t for h in held for t in h["texts"]]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+        columns = {c: batch[c].to_numpy() for c in ("id", "comp", "side")}
+        for c in ("sig", "bands"):
+            columns[c] = batch[c].flatten().to_numpy().reshape(batch.num_rows, -1)
+        columns["sig"] = columns["sig"].view(np.uint64)
+        texts = batch["text"] if "text" in batch.schema.names else None
+        new = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+        edges = [0, *new.tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if held and (held[0]["group"] != group[lo]).any():
+                yield joined()
+                held = []
+            own = [] if texts is None else [t.as_buffer().to_pybytes() for t in texts.slice(lo, hi - lo)]
+            held.append({n: c[lo:hi] for n, c in columns.items()} | {"group": group[lo], "texts": own})
+    if held:
+        yield joined()
+
+
+def _mark(most: float) -> object:
+    """The members of each block that have a candidate, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def emit(parts):
-            ids, comps, side = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 4))
-            sigs = np.concatenate([p[3] for p in parts])
-            if comps.min() == comps.max():
-                return None
-            pairs, cut = named(ids, comps, sigs, side)
-            if not len(pairs):
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), cut))],
-                ["a", "b", "cut"],
-            )
+        for block in _blocks(batches):
+            found = [np.unique(np.concatenate(pair)) for pair in _near_pairs(block, most)]
+            if found:
+                rows = np.unique(np.concatenate(found))
+                same = {c: np.full(len(rows), block[c], dtype=np.int64) for c in ("key", "i", "j")}
+                own = {c: block[c][rows].astype(np.int64) for c in ("id", "comp", "side")}
+                yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in (same | own).items()})
+
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")], axis=1)
-            sig = batch["sig"].flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64)
-            ids, comp, side = (batch[c].to_numpy() for c in ("id", "comp", "side"))
-            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            edges = [0, *new.tolist(), batch.num_rows]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if held and (held[0][0] != key[lo]).any():
-                    if (made := emit(held)) is not None:
-                        yield made
-                    held = []
-                held.append((key[lo], ids[lo:hi], comp[lo:hi], sig[lo:hi], side[lo:hi]))
-        if held and (made := emit(held)) is not None:
-            yield made
+
+MARKED = "key long, i long, j long, id long, comp long, side long"
+
+
+def _verify(most: float, threshold: int) -> object:
+    """Links (a, b) of each block: all candidates compared in full, as a spanning forest."""
+
+    def links(block: dict) -> list[tuple[int, int]]:
+        sets: list[np.ndarray] = []
+        for at in range(0, len(block["texts"]), 256):
+            sets += shingle_sets(block["texts"][at : at + 256])
+        size = np.array([len(s) for s in sets])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(size) - size
+        present = np.zeros(int(codes.max()) + 1, dtype=bool)
+        root, made = {}, []
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, j in _near_pairs(block, most):
+            for x in np.unique(i).tolist():
+                others = j[i == x]
+                mine = top(int(block["comp"][x]))
+                others = others[[top(c) != mine for c in block["comp"][others].tolist()]]
+                if not len(others):
+                    continue
+                own = codes[first[x] : first[x] + size[x]]
+                present[own] = True
+                places = gathered(first[others], size[others])
+                both = np.add.reduceat(present[codes[places]].astype(np.int64), np.cumsum(size[others]) - size[others])
+                present[own] = False
+                for y in others[100 * both >= threshold * (size[x] + size[others] - both)].tolist():
+                    p, q = top(int(block["comp"][x])), top(int(block["comp"][y]))
+                    if p != q:
+                        root[q] = p
+                        made.append((int(block["id"][x]), int(block["id"][y])))
+        return made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            made = links(block)
+            if made:
+                a, b = zip(*made)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def candidates(members: DataFrame, threshold: int, limit: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, cut): candidate pairs of different components among (key, id, comp, sig).
+def remaining_links(members: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Links (a, b) between different components among the members (key, id, comp) of buckets.
 
-    A bucket of more than `block` members is cut into blocks by a hash of the id;
-    each pair of blocks meets in one group of at most about twice `block` rows.
+    A bucket is cut into blocks by a hash of the id, so that a block holds about
+    `block` members and `SHINGLES` shingles; each pair of blocks meets in one group.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    met = dealt.select(
-        "key", "id", "comp", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
+    most = HASHES * (1 - (2.0**-BITS + (1 - 2.0**-BITS) * (threshold / 100 - MARGIN)))
+    known = members.join(reps, "id")
+    sizes = known.groupBy("key").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / SHINGLES)
+        ).alias("blocks")
+    )
+    dealt = known.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         "id",
         "comp",
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"),
         "sig",
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+        "bands",
     )
-    most = HASHES * (1 - (2.0**-BITS + (1 - 2.0**-BITS) * (threshold / 100 - MARGIN)))
-    return (
-        met.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_name_candidates(limit, most), "a long, b long, cut boolean")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    marked = materialize(in_blocks(met).mapInArrow(_mark(most), MARKED))
+    again = marked.join(reps.select("id", "sig", "bands"), "id").join(texts, "id").select(
+        "key", "i", "j", "id", "comp", "side", "sig", "bands", "text"
     )
+    return in_blocks(again).mapInArrow(_verify(most, threshold), "a long, b long")
 
 
 def near_duplicates(
@@ -254,7 +321,7 @@ def near_duplicates(
     classes = materialize(known.groupBy(*same).agg(F.min("id").alias("rep")))
     reps = materialize(
         known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-        .select("id", "sig", "bands")
+        .select("id", "n_shingles", "sig", "bands")
         .dropDuplicates(["id"])
     )
     sigs = reps.select("id", "sig")
@@ -281,22 +348,14 @@ def near_duplicates(
     )
     links = materialize(confirmed(star, texts, threshold))
     groups = components(links)
-    limit = 1
-    while True:
-        members = met.select("key", "id").join(groups, "id", "left").select(
-            "key", "id", F.coalesce("component", "id").alias("comp")
-        )
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_keys = mixed.where("lo <> hi").select("key")
-        todo = members.join(open_keys, "key", "left_semi").join(sigs, "id")
-        named = materialize(candidates(todo, threshold, limit, block))
-        found = materialize(confirmed(named.select("a", "b").distinct(), texts, threshold))
-        if not found.isEmpty():
-            links = links.union(found)
-            groups = components(links)
-        if named.where("cut").isEmpty():
-            break
-        limit *= 8
+    members = met.select("key", "id").join(groups, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("comp")
+    )
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    todo = members.join(mixed.where("lo <> hi").select("key"), "key", "left_semi")
+    found = materialize(remaining_links(todo, reps, texts, threshold, block))
+    if not found.isEmpty():
+        groups = components(links.union(found))
 
     of_class = classes.join(groups, classes["rep"] == groups["id"], "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")

@@ -80,7 +80,7 @@ def with_features(found: DataFrame) -> DataFrame:
     """The candidates with one double column per feature and the vector `features`."""
     c, path = F.col("candidate"), F.lower(F.coalesce(F.col("path"), F.lit("")))
     before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
-    ahead = F.substring_index(F.col("holder"), c, 1)
+    ahead = F.expr("substring_index(holder, candidate, 1)")
     near = F.concat_ws(" ", before, ahead)
     n = F.length(c).cast("double")
     kinds = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"

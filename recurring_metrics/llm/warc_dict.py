@@ -140,7 +140,7 @@ class _Archive:
         data = learned.as_bytes() if learned else b""
         raw = bool(learned) and learned.dict_id() == 0
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=learned, write_content_size=True)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)
         self._write(struct.pack("<II", DICTIONARY_FRAME, len(data) + 1) + bytes([raw]) + data)
         for record in self.waiting:
             self._write(self.packer.compress(record))
