@@ -98,6 +98,11 @@ SUBQUERIES: dict[str, str] = {
                     WHEN 3 THEN 0.60 WHEN 4 THEN 0.80 WHEN 5 THEN 1.00 ELSE 0.00 END
                     AS DECIMAL(4,2)) AS probability
         FROM orders""",
+    "order_day": """
+        SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(month(o_orderdate) AS INTEGER) AS month,
+               CAST(quarter(o_orderdate) AS INTEGER) AS quarter,
+               CAST(year(o_orderdate) AS INTEGER) AS year
+        FROM orders""",
     "ticket": """
         SELECT event_id AS ticket_id, user_id AS customer_id, CAST(ts AS DATE) AS created_date,
                CASE WHEN event_id % 9 <> 0
@@ -300,6 +305,7 @@ RAW_COLUMNS: dict[str, tuple[str, str]] = {
         "raw_customer",
         "customer_id customer_name industryregion customer_segment acquisition_date",
     ),
+    "raw_dim_date": ("order_day", "date month quarter year"),
     "raw_dim_product_plan": ("dim_plan", "plan_id product_id plan_name billing_frequency price"),
     "raw_fact_subscription": (
         "sub",
@@ -336,6 +342,7 @@ PROCESSED = {
 }
 KEYS = {
     "raw_dim_customer": ("raw_customer", "customer_id"),
+    "raw_dim_date": ("order_day", "date"),
     "raw_dim_product_plan": ("dim_plan", "plan_id"),
     "raw_fact_subscription": ("sub", "subscription_id"),
     "raw_fact_customer_usage": ("usage", "customer_id, usage_date"),
@@ -537,10 +544,15 @@ CLASSIFY = (
 
 BODIES: dict[str, str] = {
     # sources and sinks
-    "csv_roundtrip": """
-        SELECT CAST(subscription_id AS VARCHAR) AS subscription_id,
-               CAST(customer_id AS VARCHAR) AS customer_id, CAST(plan_id AS VARCHAR) AS plan_id,
-               start_date, end_date, renewal_date, status, mrr, arr FROM sub""",
+    "csv_roundtrip": union(
+        f"SELECT '{raw}' AS table_name, concat_ws('|', "
+        + ", ".join(
+            ("'-'" if c == "revenue_id" else f"coalesce(CAST({c} AS VARCHAR), '-')")
+            for c in (["revenue_id"] if raw == "raw_fact_revenue" else []) + columns.split()
+        )
+        + f") AS line FROM {name}"
+        for raw, (name, columns) in RAW_COLUMNS.items()
+    ),
     "scan_project": "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM lineitem",
     "scan_ordered": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey",
     "sink_overwrite": f"SELECT {CUSTOMER} FROM dim_customer",
@@ -552,10 +564,14 @@ BODIES: dict[str, str] = {
         f"(SELECT COUNT(*) FROM {loaded}) AS loaded_rows, 'OK' AS status"
         for raw, source, loaded in (
             ("raw_dim_customer", "customer", "raw_customer"),
+            ("raw_dim_date", "(SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders)", "order_day"),
             ("raw_dim_product_plan", "part", "dim_plan"),
             ("raw_fact_subscription", "orders", "sub"),
             ("raw_fact_revenue", "lineitem", "rev"),
+            ("raw_fact_customer_usage", "(SELECT DISTINCT user_id, event_id % 90 FROM events)", "usage"),
+            ("raw_fact_churn", "(SELECT 1 FROM orders WHERE o_orderkey % 16 <> 0)", "churn"),
             ("raw_fact_sales_pipeline", "orders", "deal"),
+            ("raw_fact_support_ticket", "(SELECT 1 FROM events WHERE event_type = 'error')", "ticket"),
         )
     ),
     "dq_null_counts": union(
@@ -582,7 +598,7 @@ BODIES: dict[str, str] = {
         f"MAX({c}) AS last_date FROM {name}"
         for raw, (name, columns) in RAW_COLUMNS.items()
         for c in columns.split()
-        if c.endswith("_date")
+        if c == "date" or c.endswith("_date")
     ),
     "dq_revenue_reconcile": """
         SELECT month, CAST(SUM(net_revenue) AS DOUBLE) AS attributed_revenue,
@@ -684,6 +700,7 @@ BODIES: dict[str, str] = {
     "filter_options": """
         SELECT DISTINCT 'segment' AS option, segment AS value FROM dim_customer
         UNION ALL SELECT DISTINCT 'region', region FROM dim_customer
+        UNION ALL SELECT DISTINCT 'industry', industry FROM dim_customer WHERE industry IS NOT NULL
         UNION ALL SELECT DISTINCT 'product_family', product_family FROM dim_plan
         UNION ALL SELECT 'min_month', CAST(MIN(month) AS VARCHAR) FROM rev
         UNION ALL SELECT 'max_month', CAST(MAX(month) AS VARCHAR) FROM rev""",
@@ -795,21 +812,30 @@ BODIES: dict[str, str] = {
         FROM rev JOIN dim_customer USING (customer_id) GROUP BY customer_id, segment
         ORDER BY net_revenue DESC, customer_id LIMIT 200""",
     "saved_questions": """
-        SELECT 'What is the current revenue?' AS question, item, amount FROM (
+        SELECT 'latest_revenue' AS question, item, ROUND(amount, 4) AS amount FROM (
           SELECT CAST(month AS VARCHAR) AS item, total_revenue AS amount FROM core
           ORDER BY month DESC LIMIT 1)
-        UNION ALL SELECT 'Which customer segment generates the most revenue?', item, amount FROM (
+        UNION ALL SELECT 'top_segment', item, ROUND(amount, 4) FROM (
           SELECT segment AS item, CAST(SUM(net_revenue) AS DOUBLE) AS amount
           FROM rev JOIN dim_customer USING (customer_id) GROUP BY segment
           ORDER BY amount DESC LIMIT 1)
-        UNION ALL SELECT 'How many customers churned in the last 12 months?', 'churned_customers',
+        UNION ALL SELECT 'churned_in_a_year', 'churned_customers',
           CAST(SUM(churned_customers) AS DOUBLE) FROM (
           SELECT churned_customers FROM m_status ORDER BY month DESC LIMIT 12)
-        UNION ALL SELECT 'Why do customers cancel?', churn_reason,
-          CAST(SUM(mrr_lost) AS DOUBLE) FROM churn GROUP BY churn_reason""",
+        UNION ALL SELECT 'churn_reasons', churn_reason,
+          CAST(SUM(mrr_lost) AS DOUBLE) FROM churn GROUP BY churn_reason
+        UNION ALL SELECT 'next_three_months', item, ROUND(amount, 4) FROM (
+          SELECT CAST(forecast_month AS VARCHAR) AS item, predicted_revenue AS amount
+          FROM forecast ORDER BY forecast_month LIMIT 3)
+        UNION ALL SELECT 'best_model_error', model_name, ROUND(mape, 4)
+          FROM board WHERE model_rank = 1""",
 }
 
-ORACLES: dict[str, str] = {name: statement(body) for name, body in BODIES.items()}
+# The saved questions are about the whole company: one series of all revenue.
+COMPANY = {"ser": "SELECT 'all' AS segment, 'all' AS region, month, total_revenue AS y FROM core"}
+ORACLES: dict[str, str] = {
+    name: statement(body, COMPANY if name == "saved_questions" else None) for name, body in BODIES.items()
+}
 ORACLES |= {
     f"bt_{name}": walk(model)
     for name, model in {

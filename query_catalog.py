@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,22 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 @query
 def csv_roundtrip(spark, folder):
+    """All nine tables through CSV files; their rows as text, one per line."""
+    made = star.raw_tables(spark, folder)
     path = io.scratch_path(spark, "csv")
-    io.write_csv_table(star.raw_tables(spark, folder)["raw_fact_subscription"], path)
-    return io.read_csv_table(spark, path, RAW_TABLES["raw_fact_subscription"])
+    for name, table in RAW_TABLES.items():
+        full = made[name]
+        absent = [F.lit(None).cast("string").alias(c) for c in table.columns if c not in full.columns]
+        io.write_csv_table(full.select("*", *absent), f"{path}/{table.file}")
+    read = io.load_raw_tables(spark, path)
+    lines = [
+        df.select(
+            F.lit(name).alias("table_name"),
+            F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]).alias("line"),
+        )
+        for name, df in read.items()
+    ]
+    return reduce(DataFrame.unionByName, lines)
 
 
 @query
@@ -103,16 +117,19 @@ def sink_append(spark, folder):
 @query
 def dq_row_counts(spark, folder):
     raw = star.raw_tables(spark, folder)
+    orders, events = (star.source(spark, folder, name) for name in ("orders", "events"))
     sources = {
-        "raw_dim_customer": "customer",
-        "raw_dim_product_plan": "part",
-        "raw_fact_subscription": "orders",
-        "raw_fact_revenue": "lineitem",
-        "raw_fact_sales_pipeline": "orders",
+        "raw_dim_customer": star.source(spark, folder, "customer"),
+        "raw_dim_date": orders.select(F.col("o_orderdate").cast("date")).distinct(),
+        "raw_dim_product_plan": star.source(spark, folder, "part"),
+        "raw_fact_subscription": orders,
+        "raw_fact_revenue": star.source(spark, folder, "lineitem"),
+        "raw_fact_customer_usage": events.select("user_id", F.pmod("event_id", F.lit(90))).distinct(),
+        "raw_fact_churn": orders.where("o_orderkey % 16 <> 0"),
+        "raw_fact_sales_pipeline": orders,
+        "raw_fact_support_ticket": events.where("event_type = 'error'"),
     }
-    return quality.reconcile_counts(
-        {raw_name: star.source(spark, folder, name) for raw_name, name in sources.items()}, raw
-    )
+    return quality.reconcile_counts(sources, raw)
 
 
 @query
@@ -459,10 +476,8 @@ QUERIES |= {
 
 
 def _tree_query(model: trees.TreeModel) -> Query:
-    # A small budget: five rounds, and a new fit every six test months.
-    small = model.with_budget(rounds=5, refit_every=6)
     return lambda spark, folder: trees.backtest_trees(
-        io.materialize(_features(spark, folder)), small, SERIES
+        io.materialize(_features(spark, folder)), model, SERIES
     )
 
 
@@ -493,6 +508,23 @@ def leaderboard(spark, folder):
     return rounded(board.drop("residual_std", "evaluated_at"), mae=4, rmse=4, mape=6)
 
 
+@query
+def leaderboard_seven(spark, folder):
+    """All seven models, the trees included, ranked per series."""
+    series = io.materialize(_series_summary(spark, folder))
+    table = io.materialize(features.build_features(series, SERIES))
+    backtests = forecasting.walk_forward(series, SERIES, forecasting.MODELS, table)
+    return evaluate.leaderboard(backtests, SERIES).drop("residual_std", "evaluated_at")
+
+
+@query
+def forecast_trees(spark, folder):
+    """The tree models' points for the months after the history."""
+    table = io.materialize(_features(spark, folder))
+    points = [trees.forecast_trees(table, m, forecasts.HORIZON, SERIES) for m in trees.TREE_MODELS.values()]
+    return reduce(DataFrame.unionByName, points)
+
+
 @query
 def accuracy_table(spark, folder):
     _, board = _board(_series(spark, folder))
@@ -556,25 +588,24 @@ def adhoc_sql(spark, folder):
 
 @query
 def saved_questions(spark, folder):
+    """All six saved questions; the forecast is that of the window models."""
     processed = star.processed_tables(spark, folder)
+    summary = io.materialize(summaries.monthly_summary(processed))
+    backtests = forecasting.walk_forward(summary)
+    board = evaluate.leaderboard(backtests)
+    points = forecasting.future_points(summary)
     tables = {
         "fact_revenue": processed["fact_revenue"],
         "dim_customer": processed["dim_customer"],
         "fact_churn": processed["fact_churn"],
-        "monthly_revenue_summary": summaries.monthly_summary(processed),
+        "monthly_revenue_summary": summary,
+        "model_evaluation_metrics": board,
+        "revenue_forecast": forecasts.revenue_forecast(points, board, summary),
     }
     answers = [
         adhoc.saved_question(spark, question, tables).select(
-            F.lit(question).alias("question"), "item", "amount"
-        )
-        for question in (
-            "What is the current revenue?",
-            "Which customer segment generates the most revenue?",
-            "How many customers churned in the last 12 months?",
-            "Why do customers cancel?",
+            F.lit(question).alias("question"), "item", F.round("amount", 4).alias("amount")
         )
+        for question in adhoc.QUESTIONS
     ]
-    result = answers[0]
-    for answer in answers[1:]:
-        result = result.unionByName(answer)
-    return result
+    return reduce(DataFrame.unionByName, answers)

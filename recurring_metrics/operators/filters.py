@@ -93,6 +93,7 @@ def filter_options(customers: DataFrame, plans: DataFrame, revenue: DataFrame) -
     return (
         distinct(customers, "segment", "segment")
         .unionByName(distinct(customers, "region", "region"))
+        .unionByName(distinct(customers, "industry", "industry"))
         .unionByName(distinct(plans, "product_family", "product_family"))
         .unionByName(bounds)
         .orderBy("option", "value")

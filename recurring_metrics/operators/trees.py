@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline as MlChain
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from recurring_metrics.operators.features import (
     feature_columns,
 )
 from recurring_metrics.functions.numbers import growth
+from recurring_metrics.sources.io import materialize
 
 # Months of history the features of a future month reach back to.
 REACH = 13
@@ -30,12 +31,15 @@ REACH = 13
 
 @dataclass(frozen=True)
 class TreeModel:
-    """Boosting settings; `refit_every` test months share one fitted model."""
+    """Boosting settings; `refit_every` test months share one fitted model.
+
+    Rounds and step size belong together: fewer rounds take larger steps.
+    """
 
     name: str
-    rounds: int = 200
+    rounds: int = 40
     depth: int = 3
-    step_size: float = 0.05
+    step_size: float = 0.2
     row_share: float = 0.9
     column_share: str = "0.9"
     min_rows: int = 1
@@ -51,10 +55,24 @@ GBT_MIN5 = TreeModel("gbt_min5", min_rows=5)
 TREE_MODELS = {m.name: m for m in (GBT, GBT_MIN5)}
 
 
-def fit(model: TreeModel, training: DataFrame, predictors: Sequence[str]) -> PipelineModel:
-    """Fits on the complete rows; rows with any missing value are left out."""
-    complete = training.dropna(subset=[*predictors, TARGET])
-    assembled = VectorAssembler(inputCols=list(predictors), outputCol="inputs")
+# Fits that run at the same time; each is a row of small jobs.
+FITS_AT_ONCE = 6
+ROWS_PER_TASK = 50_000
+
+
+def assembled(features: DataFrame, predictors: Sequence[str], series_keys: Sequence[str] = ()) -> DataFrame:
+    """(series, month, target, inputs) of the complete rows, written once for all fits.
+
+    Rows with any missing value are left out.
+    """
+    complete = features.dropna(subset=[*predictors, TARGET])
+    vectors = VectorAssembler(inputCols=list(predictors), outputCol="inputs").transform(complete)
+    stored = materialize(vectors.select(*series_keys, "month", TARGET, "inputs"))
+    return stored.coalesce(max(1, stored.count() // ROWS_PER_TASK)).persist()
+
+
+def fit(model: TreeModel, training: DataFrame) -> GBTRegressionModel:
+    """Fits on assembled rows."""
     trees = GBTRegressor(
         featuresCol="inputs",
         labelCol=TARGET,
@@ -67,7 +85,7 @@ def fit(model: TreeModel, training: DataFrame, predictors: Sequence[str]) -> Pip
         minInstancesPerNode=model.min_rows,
         seed=model.seed,
     )
-    return MlChain(stages=[assembled, trees]).fit(complete)
+    return trees.fit(training)
 
 
 def complete_rows(
@@ -99,20 +117,28 @@ def backtest_trees(
     """(series, month, model_name, actual, predicted) for the last test_months.
 
     All series share one month spine. The model for a block of test months is
-    fitted on months strictly before the block, over all series together. Pass
-    a materialised feature table; every fit reads it again.
+    fitted on months strictly before the block, over all series together. The
+    fits run a few at a time over rows assembled once. Pass a materialised
+    feature table.
     """
     predictors = feature_columns(features, series_keys)
     last_month = features.agg(F.max("month")).first()[0]
-    scored_rows = complete_rows(features, predictors, series_keys)
-    blocks = []
-    for offset in range(0, test_months, model.refit_every):
-        first = _add_months(last_month, offset + 1 - test_months)
-        size = min(model.refit_every, test_months - offset)
-        until = _add_months(first, size - 1)
-        fitted = fit(model, features.where(F.col("month") < F.lit(first)), predictors)
-        block = scored_rows.where(F.col("month").between(F.lit(first), F.lit(until)))
-        blocks.append(fitted.transform(block))
+    first_tested = _add_months(last_month, 1 - test_months)
+    training = assembled(features, predictors, series_keys)
+    tested = complete_rows(features, predictors, series_keys).where(F.col("month") >= F.lit(first_tested))
+    tested = VectorAssembler(inputCols=list(predictors), outputCol="inputs").transform(tested)
+    tested = materialize(tested.select(*series_keys, "month", TARGET, "inputs"))
+
+    @inheritable_thread_target(features.sparkSession)
+    def block(offset: int) -> DataFrame:
+        first = _add_months(first_tested, offset)
+        until = _add_months(first, min(model.refit_every, test_months - offset) - 1)
+        fitted = fit(model, training.where(F.col("month") < F.lit(first)))
+        return fitted.transform(tested.where(F.col("month").between(F.lit(first), F.lit(until))))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        blocks = list(pool.map(block, range(0, test_months, model.refit_every)))
+    training.unpersist()
     result = blocks[0]
     for block in blocks[1:]:
         result = result.unionByName(block)
@@ -166,7 +192,10 @@ def forecast_trees(
     its last values in an array, so the steps need no further shuffle.
     """
     predictors = feature_columns(features, series_keys)
-    fitted = fit(model, features, predictors)
+    training = assembled(features, predictors, series_keys)
+    fitted = fit(model, training)
+    training.unpersist()
+    vectors = VectorAssembler(inputCols=list(predictors), outputCol="inputs")
     newest = Window.partitionBy(*series_keys).orderBy(F.col("month").desc())
     carried = carried_columns(predictors)
     points = F.sort_array(F.collect_list(F.struct("month", TARGET)))
@@ -198,7 +227,7 @@ def forecast_trees(
             *[f"step_{s}" for s in range(1, step)],
             *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in made.items()],
         )
-        state = fitted.transform(inputs).select(
+        state = fitted.transform(vectors.transform(inputs)).select(
             *kept,
             F.concat("tail", F.array("predicted")).alias("tail"),
             *[f"step_{s}" for s in range(1, step)],

@@ -88,10 +88,13 @@ def forecast_outputs(
     """The four output tables. Pass materialised inputs; several results read them.
 
     The back-tests feed three of the tables and are written once in between.
+    Points are made by the models that won somewhere.
     """
     backtests = materialize(walk_forward(summary, series_keys, models, features, tree_models))
     board = leaderboard(backtests, series_keys, as_of)
-    points = future_points(summary, series_keys, models, features, tree_models)
+    won = {r[0] for r in board.where("is_best").select("model_name").distinct().collect()}
+    winners = [m for m in models if m in won]
+    points = future_points(summary, series_keys, winners, features, tree_models)
     return {
         "model_evaluation_metrics": board.select(*series_keys, *METRIC_COLUMNS),
         "historical_vs_predicted": historical_vs_predicted(backtests, board, series_keys),

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recurring_metrics.operators import quality, trees
 from recurring_metrics.operators.conform import conform_all
-from recurring_metrics.operators.features import build_features
+from recurring_metrics.operators.features import build_features, strongest_correlations
+from recurring_metrics.operators.revenue import attribute_revenue
 from recurring_metrics.plans.forecasting import MODELS, forecast_outputs
 from recurring_metrics.plans.summary import monthly_summary
 from recurring_metrics.sources.io import load_raw_tables, require_rows, write_table
@@ -41,6 +42,25 @@ def load_and_check(
     return raw, reports
 
 
+class LoadCheckError(RuntimeError):
+    """A check of the loaded or derived tables failed."""
+
+
+def failed_checks(reports: Mapping[str, DataFrame]) -> list[str]:
+    """Names of the reports that hold a failure.
+
+    Counts and orphans carry a status, keys must not repeat, reconciled revenue
+    must match. Nulls, date ranges and correlations are for reading only.
+    """
+    failures = {
+        "row_counts": "status <> 'OK'",
+        "orphans": "status <> 'OK'",
+        "duplicate_keys": "duplicate_keys > 0",
+        "revenue_reconciliation": "NOT matches",
+    }
+    return [name for name, bad in failures.items() if name in reports and not reports[name].where(bad).isEmpty()]
+
+
 def refresh(
     spark: SparkSession,
     source: str,
@@ -49,24 +69,50 @@ def refresh(
     series_keys: Sequence[str] = (),
     models: Sequence[str] = MODELS,
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
+    strict: bool = False,
 ) -> dict[str, int]:
     """Rebuilds every table under `target` from the CSV files under `source`.
 
     Each stage is written before the next reads it, as all later stages share
-    it. Returns the rows written per table.
+    it. The load checks, the reconciliation of the attributed revenue, the nulls
+    of the feature table and its strongest correlations are written as
+    `check_*` tables, and `check_status` says OK or FAIL for each that can fail.
+    With `strict`, a failure ends the refresh. `as_of` stamps the outputs; the
+    current time by default. Returns the rows written per table.
     """
     written: dict[str, int] = {}
+    as_of = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    status: list[tuple[str, str]] = []
 
     def store(name: str, df: DataFrame) -> DataFrame:
         stored, written[name] = _store(spark, df, target, name)
         return stored
 
-    raw, _ = load_and_check(spark, source, target)
+    def check(reports: Mapping[str, DataFrame]) -> None:
+        stored = {name: store(f"check_{name}", report) for name, report in reports.items()}
+        failed = failed_checks(stored)
+        status.extend((name, "FAIL" if name in failed else "OK") for name in stored)
+        if failed and strict:
+            raise LoadCheckError(f"failed checks: {', '.join(failed)}")
+
+    raw, reports = load_and_check(spark, source, target)
+    check(reports)
     tables = {name: store(name, df) for name, df in conform_all(raw).items()}
     require_rows(dim_customer=tables["dim_customer"], fact_revenue=tables["fact_revenue"])
+    attributed = attribute_revenue(
+        tables["fact_revenue"], tables["fact_subscription"], by_customer=False
+    )
+    check({"revenue_reconciliation": quality.reconcile_revenue(attributed, tables["fact_revenue"])})
     summary = store("monthly_revenue_summary", monthly_summary(tables, series_keys))
     features = store("ml_feature_table", build_features(summary, series_keys))
+    check(
+        {
+            "feature_nulls": quality.null_counts({"ml_feature_table": features}),
+            "leak_correlations": strongest_correlations(features, series_keys),
+        }
+    )
     outputs = forecast_outputs(summary, features, series_keys, models, tree_models, as_of)
     for name, df in outputs.items():
         store(name, df)
+    store("check_status", spark.createDataFrame(status, "check string, status string"))
     return written

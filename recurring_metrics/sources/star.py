@@ -7,11 +7,10 @@ Keys stay 64-bit integers; nothing downstream depends on their type.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recurring_metrics.operators.conform import conform_all
 from recurring_metrics.sources.tables import LazyTables
@@ -34,16 +33,9 @@ CATEGORIES = (
 )
 
 
-@lru_cache(maxsize=256)
-def _schema(path: str) -> T.StructType:
-    """Footer schema of a file, read once per process instead of once per use."""
-    return SparkSession.active().read.parquet(path).schema
-
-
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the sample schema."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
@@ -73,6 +65,14 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dates(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar of the days with an order."""
+    days = source(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return days.select(
+        "date", F.month("date").alias("month"), F.quarter("date").alias("quarter"), F.year("date").alias("year")
+    )
+
+
 def plans(spark: SparkSession, folder: str) -> DataFrame:
     size = F.col("p_size")
     tier = (
@@ -231,6 +231,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 MAKERS = {
     "raw_dim_customer": customers,
+    "raw_dim_date": dates,
     "raw_dim_product_plan": plans,
     "raw_fact_subscription": subscriptions,
     "raw_fact_revenue": revenue,

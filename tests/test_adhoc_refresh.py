@@ -7,7 +7,7 @@ from pyspark.errors import ParseException
 
 from recurring_metrics.operators import trees
 from recurring_metrics.plans import adhoc
-from recurring_metrics.plans.refresh import load_and_check, refresh
+from recurring_metrics.plans.refresh import LoadCheckError, load_and_check, refresh
 from tests.conftest import rows
 
 
@@ -16,8 +16,7 @@ from tests.conftest import rows
     [
         "", " ; ", "SHOW TABLES", "UPDATE t SET a = 1", "explain select 1",
         "SELECT 1; DROP TABLE t", "select 'please DELETE me'", "WITH x AS (SELECT 1) INSERT INTO t",
-        "SELECT replace(a, 'x', 'y') FROM t", "SELECT * FROM parquet.`/etc`",
-        "SELECT reflect('java.lang.System', 'exit')", "selection FROM t",
+        "SELECT replace(a, 'x', 'y') FROM t", "selection FROM t",
     ],
 )
 def test_rejected(sql):
@@ -42,6 +41,35 @@ def test_the_row_limit_always_applies(spark):
     assert adhoc.run_safe_query(spark, "SELECT * FROM many LIMIT 3", many).count() == 3
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM parquet.`/etc`", "SELECT * FROM `parquet`.`/etc`", "SELECT * FROM parquet/**/.`/etc`",
+        "SELECT * FROM t WHERE a IN (SELECT b FROM other)", "SELECT (SELECT max(b) FROM other) FROM t",
+        "WITH x AS (SELECT * FROM other) SELECT * FROM x", "SELECT * FROM global_temp.seen",
+        "SELECT * FROM foreign_view", "SELECT reflect('java.lang.System', 'exit')",
+        "SELECT java_method/**/('java.lang.System', 'exit') FROM t", "SELECT * FROM spark_catalog.default.t",
+    ],
+)
+def test_only_the_given_tables(spark, sql):
+    spark.range(1).createOrReplaceTempView("foreign_view")
+    spark.range(1).createOrReplaceGlobalTempView("seen")
+    given = {"t": spark.range(3).withColumnRenamed("id", "a")}
+    with pytest.raises(adhoc.UnsafeQueryError):
+        adhoc.run_safe_query(spark, sql, given)
+
+
+def test_views_do_not_leak(spark):
+    spark.range(9).createOrReplaceTempView("mine")
+    given = {"Mine": spark.range(3), "unused": spark.range(1)}
+    assert adhoc.run_safe_query(spark, "WITH x AS (SELECT * FROM MINE) SELECT * FROM x", given).count() == 3
+    assert spark.table("mine").count() == 9 and not spark.catalog.tableExists("unused")
+    assert adhoc.run_safe_query(spark, "SELECT * FROM other", {"other": spark.range(2)}).count() == 2
+    assert not spark.catalog.tableExists("other")
+    with pytest.raises(adhoc.UnsafeQueryError):
+        adhoc.run_safe_query(spark, "SELECT * FROM other", given)
+
+
 def write(folder, name, header, lines):
     (folder / name).write_text("\n".join([header, *lines]) + "\n")
 
@@ -102,7 +130,8 @@ def test_refresh_builds_every_table(spark, source, tmp_path):
     target = str(tmp_path / "out")
     small = {m.name: m.with_budget(2, 12) for m in (trees.GBT, trees.GBT_MIN5)}
     written = refresh(spark, str(source), target, dt.datetime(2024, 1, 1), tree_models=small)
-    assert written == {
+    checks = {name: n for name, n in written.items() if name.startswith("check_")}
+    assert {k: n for k, n in written.items() if k not in checks} == {
         "dim_customer": 3, "dim_product_plan": 2, "fact_subscription": 3, "fact_revenue": 102,
         "fact_customer_usage": 34, "fact_churn": 1, "fact_sales_pipeline": 34,
         "fact_support_ticket": 2, "monthly_revenue_summary": 34, "ml_feature_table": 34,
@@ -110,9 +139,20 @@ def test_refresh_builds_every_table(spark, source, tmp_path):
         "forecast_drivers": 8,
     }
     tables = {name: spark.read.parquet(f"{target}/{name}") for name in written}
+    status = dict(rows(tables["check_status"]))
+    assert set(status) == {name.removeprefix("check_") for name in checks} - {"status"}
+    assert {name for name, s in status.items() if s == "FAIL"} == {"orphans"}
+    assert checks["check_feature_nulls"] == 39 and checks["check_revenue_reconciliation"] == 35
+    board = tables["model_evaluation_metrics"]
+    assert board.where("evaluated_at IS NULL").isEmpty()
     assert rows(tables["dim_customer"], "industry", "region")[0] == ("Retail - R & D", "North")
     assert len(tables["ml_feature_table"].columns) == 39
     best = tables["model_evaluation_metrics"].where("is_best").first()
     assert best.model_name == "drift" or best.mape <= 1
     for question in adhoc.QUESTIONS:
         assert adhoc.saved_question(spark, question, tables).count() >= 1
+
+
+def test_a_strict_refresh_stops_at_a_failed_check(spark, source, tmp_path):
+    with pytest.raises(LoadCheckError, match="orphans"):
+        refresh(spark, str(source), str(tmp_path / "out"), strict=True)

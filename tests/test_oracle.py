@@ -21,7 +21,9 @@ def connection():
 
 def test_catalogs_agree():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) - set(ORACLES) == {"bt_gbt", "bt_gbt_min5"}
+    assert set(QUERIES) - set(ORACLES) == {
+        "bt_gbt", "bt_gbt_min5", "leaderboard_seven", "forecast_trees"
+    }
 
 
 def test_entry(spark):
