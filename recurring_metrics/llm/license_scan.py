@@ -44,14 +44,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def shingles(of: str) -> Column:
-    """Hashes of the five-word shingles of a column of word hashes, in order."""
-    last = f"size({of}) - {WIDTH - 1}"
-    parts = ", ".join(f"{of}[i + {k}]" for k in range(WIDTH))
-    return F.expr(
-        f"CASE WHEN {last} > 0 THEN transform(sequence(0, {last} - 1), i -> xxhash64({parts})) "
-        "ELSE CAST(array() AS array<bigint>) END"
-    )
+def shingles(hashes: Column) -> Column:
+    """Hashes of the five-word shingles of an array of word hashes, in order.
+
+    The array is bound to a name of the outer `transform`, so that it is computed
+    once and not for every shingle, wherever Spark moves the expression.
+    """
+
+    def of(h: Column) -> Column:
+        count = F.size(h) - (WIDTH - 1)
+        made = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[h[i + k] for k in range(WIDTH)])
+        )
+        return F.when(count > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(hashes), of)[0]
 
 
 def minima(of: str) -> Column:
@@ -63,7 +70,7 @@ def template_table(docs: DataFrame, templates: Mapping[str, str]) -> list:
     """(license, shingles, smallest shingle per band) of every template, as rows."""
     rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "license string, text string")
     hashed = rows.select("license", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    sets = hashed.select("license", F.array_distinct(shingles("h")).alias("s"))
+    sets = hashed.select("license", F.array_distinct(shingles(F.col("h"))).alias("s"))
     lowest = F.array(
         *[F.expr(f"array_min(transform(s, x -> struct(xxhash64(x, {b}), x)))").getField("x") for b in range(BANDS)]
     )
@@ -112,7 +119,7 @@ def scan(
     hashed = docs.select(
         column(id_col).alias("id"), F.transform(words(column(text_col)), lambda w: F.xxhash64(w)).alias("h")
     )
-    held = hashed.select("id", shingles("h").alias("s")).where(F.arrays_overlap("s", anchors))
+    held = hashed.select("id", shingles(F.col("h")).alias("s")).where(F.arrays_overlap("s", anchors))
     places = F.filter(
         F.transform("s", lambda x, i: F.when(F.array_contains(anchors, x), i)), lambda i: i.isNotNull()
     )

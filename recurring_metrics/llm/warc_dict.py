@@ -249,7 +249,7 @@ def archive_records(stream: object) -> Iterator[bytes]:
         learned = zstandard.ZstdCompressionDict(data[1:], dict_type=form)
     unpacker = zstandard.ZstdDecompressor(dict_data=learned)
     frame, parts = unpacker.decompressobj(), []
-    pending = stream.read(1 << 20)
+    pending = stream.read(1 << 16)
     while pending:
         parts.append(frame.decompress(pending))
         if frame.eof:
@@ -258,7 +258,7 @@ def archive_records(stream: object) -> Iterator[bytes]:
             frame, parts = unpacker.decompressobj(), []
             if pending:
                 continue
-        pending = stream.read(1 << 20)
+        pending = stream.read(1 << 16)
     if any(parts):
         raise ValueError("the archive ends within a record")
 
