@@ -34,7 +34,7 @@ def test_components(spark, seed):
     links += [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 220)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     ids = {x for a, b in links if a != b for x in (a, b)}
-    assert got == brute_components(ids, links)
+    assert got == brute_components(ids, [(a, b) for a, b in links if a != b])
 
 
 def test_no_links(spark):
@@ -114,7 +114,8 @@ def near_docs(table):
     for base in range(12):
         text = prose(base, 150)
         rows.append((len(rows) * 3, text))
-        rows += [(len(rows) * 3, edited(text, k % 6, base * 100 + k)) for k in range(14)]
+        for k in range(14):
+            rows.append((len(rows) * 3, edited(text, k % 6, base * 100 + k)))
     chain = prose(77, 200)
     for k in range(20):
         chain = edited(chain, 2, 900 + k)
