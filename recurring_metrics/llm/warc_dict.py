@@ -248,10 +248,11 @@ def archive_records(stream: object) -> Iterator[bytes]:
         form = zstandard.DICT_TYPE_RAWCONTENT if data[0] else zstandard.DICT_TYPE_FULLDICT
         learned = zstandard.ZstdCompressionDict(data[1:], dict_type=form)
     unpacker = zstandard.ZstdDecompressor(dict_data=learned)
-    frame, parts = unpacker.decompressobj(), []
+    frame, parts, begun = unpacker.decompressobj(), [], False
     pending = stream.read(1 << 16)
     while pending:
         parts.append(frame.decompress(pending))
+        begun = not frame.eof
         if frame.eof:
             yield b"".join(parts)
             pending = frame.unused_data
@@ -259,7 +260,7 @@ def archive_records(stream: object) -> Iterator[bytes]:
             if pending:
                 continue
         pending = stream.read(1 << 16)
-    if any(parts):
+    if begun:
         raise ValueError("the archive ends within a record")
 
 
