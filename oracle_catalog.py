@@ -411,10 +411,15 @@ SUBQUERIES |= {
                CAST(month(month) AS INTEGER) AS calendar_month,
                CAST(ROW_NUMBER() {W}) - 1 AS INTEGER) AS time_index
         FROM s_summary""",
-    "ser": f"""
-        SELECT {S}, month, COALESCE(total_revenue, 0) AS y,
-               ROW_NUMBER() {W}) AS t, COUNT(*) OVER (PARTITION BY {S}) AS n
+    "ser_all": f"""
+        SELECT {S}, month, COALESCE(total_revenue, 0) AS y
         FROM s_spine LEFT JOIN s_m_rev USING ({S}, month)""",
+    "ser_billed": f"""
+        SELECT {S}, month, y, ROW_NUMBER() {W}) AS t, COUNT(*) OVER (PARTITION BY {S}) AS n
+        FROM ser_all JOIN (SELECT {S}, MIN(month) AS first_month FROM ser_all WHERE y <> 0 GROUP BY {S})
+             USING ({S}) WHERE month >= first_month""",
+    "ser": "SELECT * FROM ser_billed WHERE n - 12 >= 18",
+    "ends_all": f"SELECT {S}, MAX(month) AS last_month, COUNT(*) AS n FROM ser_all GROUP BY {S}",
     "one_step": f"""
         SELECT {S}, month, y AS actual, LAG(y, 1) {W}) AS naive, LAG(y, 12) {W}) AS seasonal_naive,
                (LAG(y, 3) {W}) + LAG(y, 2) {W}) + LAG(y, 1) {W})) / 3 AS moving_avg_3,
@@ -465,13 +470,14 @@ SUBQUERIES |= {
                SQRT(AVG((actual - predicted) * (actual - predicted))) AS rmse,
                AVG(ABS((actual - predicted) / NULLIF(actual, 0))) * 100 AS mape,
                STDDEV_SAMP(actual - predicted) AS residual_std,
+               COUNT((actual - predicted) / NULLIF(actual, 0)) AS folds,
                MIN(month) AS backtest_start, MAX(month) AS backtest_end
         FROM backtest GROUP BY {S}, model_name""",
     "board": f"""
-        SELECT *, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY mape NULLS LAST,
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY folds < most, mape NULLS LAST,
                  list_position(['naive', 'seasonal_naive', 'moving_avg_3', 'drift', 'holt_linear'],
                                model_name)) AS model_rank
-        FROM metric""",
+        FROM metric JOIN (SELECT {S}, MAX(folds) AS most FROM metric GROUP BY {S}) USING ({S})""",
     "steps": "SELECT CAST(i AS INTEGER) AS step FROM unnest(generate_series(1, 6)) x(i)",
     "ends": f"""
         SELECT {S}, MAX(month) AS last_month, MAX(n) AS n, MAX(y) FILTER (t = 1) AS y_first,
@@ -618,7 +624,7 @@ BODIES: dict[str, str] = {
     + ") WHERE r IS NOT NULL AND NOT isnan(r)) WHERE rn <= 5",
     "eligible_series": f"""
         SELECT {S}, COUNT(*) AS months, COUNT(*) - 12 AS training_months,
-               COUNT(*) - 12 >= 18 AS eligible FROM ser GROUP BY {S}""",
+               COUNT(*) - 12 >= 18 AS eligible FROM ser_billed GROUP BY {S}""",
     # conforming
     "conform_customers": f"SELECT {CUSTOMER} FROM dim_customer",
     "conform_plans": """
@@ -670,7 +676,7 @@ BODIES: dict[str, str] = {
     "first_subscription": """
         SELECT subscription_id, customer_id, start_date,
                subscription_id IN (SELECT subscription_id FROM first_sub) AS is_first FROM sub""",
-    "month_spine": f"SELECT {S}, month, y AS total_revenue FROM ser",
+    "month_spine": f"SELECT {S}, month, y AS total_revenue FROM ser_all",
     "mrr_snapshot": "SELECT month, mrr, arr FROM m_mrr",
     "customer_status": "SELECT month, active_customers, new_customers, churned_customers "
     "FROM m_status",
@@ -756,18 +762,18 @@ BODIES: dict[str, str] = {
     )
     + ", ROUND((SELECT MAX_BY(win_rate_prev, month) FROM feat w WHERE w.segment = e.segment "
     "AND w.region = e.region AND win_rate_prev IS NOT NULL), 6) AS win_rate_prev "
-    "FROM ends e JOIN feat f ON e.segment = f.segment AND e.region = f.region "
+    "FROM ends_all e JOIN feat f ON e.segment = f.segment AND e.region = f.region "
     "AND f.month = last_month CROSS JOIN steps",
     # back-tests and forecasts
     "walk_forward": f"SELECT {S}, month, model_name, actual, ROUND(predicted, 4) AS predicted "
     f"FROM backtest",
     "backtest_metrics": f"""
         SELECT {S}, model_name, ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse,
-               ROUND(mape, 6) AS mape, ROUND(residual_std, 4) AS residual_std,
+               ROUND(mape, 6) AS mape, ROUND(residual_std, 4) AS residual_std, folds,
                backtest_start, backtest_end FROM metric""",
     "leaderboard": f"""
         SELECT {S}, model_name, ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse,
-               ROUND(mape, 6) AS mape, backtest_start, backtest_end, 'v1' AS model_version,
+               ROUND(mape, 6) AS mape, folds, backtest_start, backtest_end, 'v1' AS model_version,
                CAST(model_rank AS INTEGER) AS model_rank, model_rank = 1 AS is_best FROM board""",
     "accuracy_table": f"SELECT {S}, model_name, "
     + ", ".join(
@@ -796,13 +802,13 @@ BODIES: dict[str, str] = {
         f"MAX(CAST({c} AS DOUBLE)) FILTER (month = last_month) AS current_value, "
         f"MAX(CAST({c} AS DOUBLE)) FILTER (month = CAST(last_month - to_months(3) AS DATE)) "
         f"AS prior_value, MAX(last_month) AS as_of_month "
-        f"FROM s_summary JOIN ends USING ({S}) GROUP BY {S}"
+        f"FROM s_summary JOIN ends_all USING ({S}) GROUP BY {S}"
         for label, c in DRIVERS
     )
     + "))",
     "actual_plus_forecast": f"""
         SELECT {S}, month, 'actual' AS kind, y AS revenue,
-               CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM ser
+               CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM ser_all
         UNION ALL
         SELECT {S}, forecast_month, 'forecast', ROUND(predicted_revenue, 4),
                ROUND(lower_bound, 2), ROUND(upper_bound, 2) FROM forecast""",
@@ -832,7 +838,7 @@ BODIES: dict[str, str] = {
 }
 
 # The saved questions are about the whole company: one series of all revenue.
-COMPANY = {"ser": "SELECT 'all' AS segment, 'all' AS region, month, total_revenue AS y FROM core"}
+COMPANY = {"ser_all": "SELECT 'all' AS segment, 'all' AS region, month, total_revenue AS y FROM core"}
 ORACLES: dict[str, str] = {
     name: statement(body, COMPANY if name == "saved_questions" else None) for name, body in BODIES.items()
 }

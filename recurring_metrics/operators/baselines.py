@@ -24,17 +24,39 @@ SMOOTHING = "holt_linear"
 SMOOTHING_WEIGHTS = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
+def billed_history(series: DataFrame, series_keys: Sequence[str] = (), y: str = TARGET) -> DataFrame:
+    """Each series from its first month with revenue on; months without any after that stay zero."""
+    first = F.min(F.when(F.col(y) != 0, F.col("month"))).over(Window.partitionBy(*series_keys))
+    return series.withColumn("first_billed", first).where("month >= first_billed").drop("first_billed")
+
+
 def eligible_series(series: DataFrame, series_keys: Sequence[str] = ()) -> DataFrame:
-    """Months per series, and whether they suffice for the walk-forward test."""
+    """Billed months per series, and whether they suffice for the walk-forward test."""
     training = F.col("months") - TEST_MONTHS
     return (
-        series.groupBy(*series_keys)
+        billed_history(series, series_keys)
+        .groupBy(*series_keys)
         .agg(F.count(F.lit(1)).alias("months"))
         .withColumn("training_months", training)
         .withColumn("eligible", training >= MIN_TRAINING_MONTHS)
     )
 
 
+def forecastable(
+    series: DataFrame, series_keys: Sequence[str] = (), min_training: int | None = MIN_TRAINING_MONTHS
+) -> DataFrame:
+    """The billed history of the series that are long enough; None lets all of them through."""
+    billed = billed_history(series, series_keys)
+    if min_training is None:
+        return billed
+    months = F.count(F.lit(1)).over(Window.partitionBy(*series_keys))
+    return (
+        billed.withColumn("billed_months", months)
+        .where(F.col("billed_months") - TEST_MONTHS >= min_training)
+        .drop("billed_months")
+    )
+
+
 def baseline_columns(series_keys: Sequence[str], y: str = TARGET) -> dict[str, Column]:
     """One-step prediction of each baseline for every month, from earlier months."""
     window = by_month(series_keys)

@@ -18,9 +18,10 @@ MODEL_VERSION = "v1"
 
 
 def backtest_metrics(backtests: DataFrame, series_keys: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE, MAPE and residual deviation per series and model.
+    """MAE, RMSE, MAPE, residual deviation and folds per series and model.
 
-    A test month with an actual of zero has no percentage error.
+    A test month with an actual of zero has no percentage error; `folds` counts
+    the months that have one.
     """
     error = F.col("actual") - F.col("predicted")
     return backtests.groupBy(*series_keys, "model_name").agg(
@@ -28,6 +29,7 @@ def backtest_metrics(backtests: DataFrame, series_keys: Sequence[str] = ()) -> D
         F.sqrt(F.avg(error * error)).alias("rmse"),
         (F.avg(F.abs(ratio(error, F.col("actual")))) * 100).alias("mape"),
         F.stddev_samp(error).alias("residual_std"),
+        F.count(ratio(error, F.col("actual"))).alias("folds"),
         F.min("month").alias("backtest_start"),
         F.max("month").alias("backtest_end"),
     )
@@ -39,16 +41,22 @@ def leaderboard(
     evaluated_at: dt.datetime | None = None,
     model_version: str = MODEL_VERSION,
 ) -> DataFrame:
-    """Metrics ranked by MAPE; exactly one model per series is marked best."""
+    """Metrics ranked by MAPE; exactly one model per series is marked best.
+
+    Models that missed folds which another model of the series has come last.
+    """
     preference = F.coalesce(
         F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model_name")), F.lit(0)
     )
+    most = F.max("folds").over(Window.partitionBy(*series_keys))
     by_mape = Window.partitionBy(*series_keys).orderBy(
-        F.col("mape").asc_nulls_last(), preference
+        "incomplete", F.col("mape").asc_nulls_last(), preference
     )
     return (
         backtest_metrics(backtests, series_keys)
+        .withColumn("incomplete", F.col("folds") < most)
         .withColumn("model_rank", F.row_number().over(by_mape))
+        .drop("incomplete")
         .withColumn("is_best", F.col("model_rank") == 1)
         .withColumn("model_version", F.lit(model_version))
         .withColumn("evaluated_at", F.lit(evaluated_at).cast("timestamp"))

@@ -21,6 +21,14 @@ MODELS = (*baselines.BASELINES, baselines.SMOOTHING, *trees.TREE_MODELS)
 WINDOW_MODELS = (*baselines.BASELINES, baselines.SMOOTHING)
 
 
+def _same_months(
+    features: DataFrame | None, series: DataFrame, series_keys: Sequence[str]
+) -> DataFrame | None:
+    """The feature rows of the months that the series has."""
+    keys = [*series_keys, "month"]
+    return None if features is None else features.join(series.select(*keys), keys, "left_semi")
+
+
 def walk_forward(
     series: DataFrame,
     series_keys: Sequence[str] = (),
@@ -28,11 +36,16 @@ def walk_forward(
     features: DataFrame | None = None,
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
     test_months: int = baselines.TEST_MONTHS,
+    min_training: int | None = baselines.MIN_TRAINING_MONTHS,
 ) -> DataFrame:
     """One-step predictions of the chosen models for the last test months.
 
-    Tree models also need the materialised feature table.
+    A series begins with its first billed month; series too short for the test
+    are left out (`baselines.eligible_series` lists them). Tree models also need
+    the materialised feature table.
     """
+    series = baselines.forecastable(series, series_keys, min_training)
+    features = _same_months(features, series, series_keys)
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
@@ -61,8 +74,11 @@ def future_points(
     features: DataFrame | None = None,
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
     horizon: int = HORIZON,
+    min_training: int | None = baselines.MIN_TRAINING_MONTHS,
 ) -> DataFrame:
-    """Point forecasts of the chosen models for the months after the history."""
+    """Point forecasts of the chosen models for the months after the billed history."""
+    series = baselines.forecastable(series, series_keys, min_training)
+    features = _same_months(features, series, series_keys)
     plain = [m for m in models if m in WINDOW_MODELS]
     parts = []
     if plain:

@@ -107,14 +107,14 @@ def test_short_series_give_null_not_future_values(make):
     short = make.series([5, 7, 9], name="A")
     got = {
         (r.model_name, r.month.month): r.predicted
-        for r in forecasting.walk_forward(short, KEYS).collect()
+        for r in forecasting.walk_forward(short, KEYS, min_training=None).collect()
     }
     assert [got["naive", m] for m in (1, 2, 3)] == [None, 5, 7]
     assert [got["seasonal_naive", m] for m in (1, 2, 3)] == [None] * 3
     assert [got["drift", m] for m in (1, 2, 3)] == [None, None, 9]
     assert got["holt_linear", 3] == pytest.approx(9) and ("holt_linear", 2) not in got
     assert rows(baselines.eligible_series(short, KEYS)) == [("A", 3, -9, False)]
-    assert rows(baselines.eligible_series(make.series(range(30), name="A"), KEYS)) == [("A", 30, 18, True)]
+    assert rows(baselines.eligible_series(make.series(range(1, 31), name="A"), KEYS)) == [("A", 30, 18, True)]
 
 
 def repeated(y, rule, horizon=6):
@@ -139,6 +139,28 @@ def test_points_equal_repeating_the_one_step_rule(make):
     assert points.agg(F.min("forecast_month")).first()[0] == dt.date(2023, 5, 1)
 
 
+def test_a_series_begins_with_its_first_billed_month(make):
+    late, early = make.series([0.0] * 30 + WAVE[:10], name="late"), make.series(WAVE, name="early")
+    gap = make.series([0.0] * 4 + [5.0] + [0.0] * 3 + WAVE[:32], name="gap")
+    both = late.union(early).union(gap)
+    got = {r["name"]: (r.months, r.eligible) for r in baselines.eligible_series(both, KEYS).collect()}
+    assert got == {"late": (10, False), "early": (40, True), "gap": (36, True)}
+    tested = forecasting.walk_forward(both, KEYS)
+    assert {r["name"] for r in tested.select("name").distinct().collect()} == {"early", "gap"}
+    points = forecasting.future_points(both, KEYS, ["drift"]).where("name = 'gap' AND step = 1").first()
+    assert points.predicted == pytest.approx(WAVE[31] + (WAVE[31] - 5) / 35)
+
+
+def test_incomplete_models_come_last(spark):
+    tests = spark.createDataFrame(
+        [("A", dt.date(2024, m, 1), model, 10.0, predicted)
+         for m in (1, 2) for model, predicted in (("naive", 13.0), ("drift", 10.0 if m == 1 else None))],
+        "name string, month date, model_name string, actual double, predicted double",
+    )
+    got = {r.model_name: (r.folds, r.model_rank) for r in evaluate.leaderboard(tests, KEYS).collect()}
+    assert got == {"naive": (2, 1), "drift": (1, 2)}
+
+
 def test_metrics_and_ranking(spark):
     tests = spark.createDataFrame(
         [("A", dt.date(2024, m, 1), model, actual, predicted)
