@@ -125,11 +125,11 @@ ORACLES: dict[str, str] = {
         FROM ranked""",
     "op1_embedding_itq": """
         WITH RECURSIVE sound AS (
-            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
             FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b
             FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
