@@ -37,9 +37,9 @@ class TreeModel:
     """
 
     name: str
-    rounds: int = 40
+    rounds: int = 20
     depth: int = 3
-    step_size: float = 0.2
+    step_size: float = 0.3
     row_share: float = 0.9
     column_share: str = "0.9"
     min_rows: int = 1
