@@ -419,6 +419,10 @@ SUBQUERIES |= {
         FROM ser_all JOIN (SELECT {S}, MIN(month) AS first_month FROM ser_all WHERE y <> 0 GROUP BY {S})
              USING ({S}) WHERE month >= first_month""",
     "ser": "SELECT * FROM ser_billed WHERE n - 12 >= 18",
+    "rates": f"""
+        SELECT {S}, month, CAST(churned_customers AS DOUBLE)
+               / NULLIF(LAG(active_customers, 1) {W}), 0) AS rate
+        FROM s_summary""",
     "ends_all": f"SELECT {S}, MAX(month) AS last_month, COUNT(*) AS n FROM ser_all GROUP BY {S}",
     "one_step": f"""
         SELECT {S}, month, y AS actual, LAG(y, 1) {W}) AS naive, LAG(y, 12) {W}) AS seasonal_naive,
@@ -756,13 +760,15 @@ BODIES: dict[str, str] = {
     f"CAST(month(last_month + to_months(step)) AS INTEGER) AS calendar_month, "
     f"CAST(n - 1 + step AS INTEGER) AS time_index, "
     + ", ".join(
-        f"ROUND({c}, 6) AS {c}" if c in RATIOS else c
-        for c in [f"{m}_prev" for m in PREV] + ["churn_rate_prev"]
-        if c != "win_rate_prev"
+        f"ROUND({m}, 6) AS {m}_prev" if f"{m}_prev" in RATIOS else f"{m} AS {m}_prev"
+        for m in PREV
+        if m != "win_rate"
     )
-    + ", ROUND((SELECT MAX_BY(win_rate_prev, month) FROM feat w WHERE w.segment = e.segment "
-    "AND w.region = e.region AND win_rate_prev IS NOT NULL), 6) AS win_rate_prev "
-    "FROM ends_all e JOIN feat f ON e.segment = f.segment AND e.region = f.region "
+    + ", ROUND((SELECT MAX_BY(win_rate, month) FROM s_summary w WHERE w.segment = e.segment "
+    "AND w.region = e.region AND win_rate IS NOT NULL), 6) AS win_rate_prev, "
+    "ROUND((SELECT MAX_BY(rate, month) FROM rates r WHERE r.segment = e.segment "
+    "AND r.region = e.region AND rate IS NOT NULL), 6) AS churn_rate_prev "
+    "FROM ends_all e JOIN s_summary f ON e.segment = f.segment AND e.region = f.region "
     "AND f.month = last_month CROSS JOIN steps",
     # back-tests and forecasts
     "walk_forward": f"SELECT {S}, month, model_name, actual, ROUND(predicted, 4) AS predicted "

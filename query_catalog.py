@@ -443,7 +443,7 @@ def leak_correlation(spark, folder):
 
 @query
 def ffill_horizon(spark, folder):
-    extended = features.append_horizon(_features(spark, folder), forecasts.HORIZON, SERIES)
+    extended = features.append_horizon(_series_summary(spark, folder), forecasts.HORIZON, SERIES)
     predictors = features.feature_columns(extended, (*SERIES, "step"))
     carried = features.carried_columns(predictors)
     future = extended.where(F.col("step") > 0)
@@ -520,8 +520,9 @@ def leaderboard_seven(spark, folder):
 @query
 def forecast_trees(spark, folder):
     """The tree models' points for the months after the history."""
-    table = io.materialize(_features(spark, folder))
-    points = [trees.forecast_trees(table, m, forecasts.HORIZON, SERIES) for m in trees.TREE_MODELS.values()]
+    summary = io.materialize(_series_summary(spark, folder))
+    table = io.materialize(features.build_features(summary, SERIES))
+    points = [trees.forecast_trees(summary, table, m, forecasts.HORIZON, SERIES) for m in trees.TREE_MODELS.values()]
     return reduce(DataFrame.unionByName, points)
 
 

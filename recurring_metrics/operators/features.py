@@ -78,20 +78,25 @@ def carried_columns(predictors: Sequence[str]) -> list[str]:
     return [c for c in predictors if c.endswith("_prev") and c not in recomputed]
 
 
-def append_horizon(features: DataFrame, horizon: int, series_keys: Sequence[str] = ()) -> DataFrame:
-    """The feature rows plus `horizon` future months per series, told apart by `step`.
+def append_horizon(summary: DataFrame, horizon: int, series_keys: Sequence[str] = ()) -> DataFrame:
+    """The feature rows of a summary plus `horizon` future months per series, told apart by `step`.
 
-    Future months know their calendar; carried columns hold the last observed
-    value; what depends on future revenue stays NULL until it is forecast. The
-    last row of each series spawns its future rows, so the table is read once.
+    One month without measures is added to each series, so its features are
+    built like all others and hold what the last month says. Future months know
+    their calendar; carried columns hold the value of that row, or the last one
+    before it; what depends on revenue is known for the first step only.
     """
-    predictors = feature_columns(features, series_keys)
+    newest = summary.groupBy(*series_keys).agg(F.max("month").alias("month")).select(
+        *series_keys, F.add_months("month", 1).alias("month")
+    )
+    known = build_features(summary.unionByName(newest, allowMissingColumns=True), series_keys)
+    predictors = feature_columns(known, series_keys)
     carried = set(carried_columns(predictors))
     window = by_month(series_keys)
     so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-    is_last = F.lead("month", 1).over(window).isNull()
-    steps = F.when(is_last, F.sequence(F.lit(0), F.lit(horizon))).otherwise(F.array(F.lit(0)))
-    spawned = features.select(
+    is_next = F.lead("month", 1).over(window).isNull()
+    steps = F.when(is_next, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(0)))
+    spawned = known.select(
         "*",
         F.struct(
             *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in sorted(carried)]
@@ -99,7 +104,8 @@ def append_horizon(features: DataFrame, horizon: int, series_keys: Sequence[str]
         steps.alias("steps"),
     ).select("*", F.explode("steps").alias("step"))
     step, future = F.col("step"), F.col("step") > 0
-    month = F.add_months("month", step)
+    later = F.greatest(step - 1, F.lit(0))
+    month = F.add_months("month", later)
 
     def predictor(name: str) -> Column:
         if name in carried:
@@ -107,15 +113,11 @@ def append_horizon(features: DataFrame, horizon: int, series_keys: Sequence[str]
         if name == "calendar_month":
             return F.month(month)
         if name == "time_index":
-            return F.col(name) + step
-        return F.when(~future, F.col(name))
+            return F.col(name) + later
+        return F.when(step <= 1, F.col(name))
 
     return spawned.select(
-        *series_keys,
-        month.alias("month"),
-        "step",
-        F.when(~future, F.col(TARGET)).alias(TARGET),
-        *[predictor(c).alias(c) for c in predictors],
+        *series_keys, month.alias("month"), "step", TARGET, *[predictor(c).alias(c) for c in predictors]
     )
 
 

@@ -18,6 +18,7 @@ from recurring_metrics.operators.features import (
     LAGS,
     ROLLING,
     TARGET,
+    append_horizon,
     by_month,
     carried_columns,
     feature_columns,
@@ -183,13 +184,19 @@ def next_features(tail: Column, month: Column, index: Column) -> dict[str, Colum
 
 
 def forecast_trees(
-    features: DataFrame, model: TreeModel, horizon: int, series_keys: Sequence[str] = ()
+    summary: DataFrame,
+    features: DataFrame,
+    model: TreeModel,
+    horizon: int,
+    series_keys: Sequence[str] = (),
 ) -> DataFrame:
     """(series, model_name, step, forecast_month, predicted) for `horizon` months.
 
-    Each step rebuilds the next month's features from the values so far, its own
-    forecasts included, and scores all series at once. A series is one row with
-    its last values in an array, so the steps need no further shuffle.
+    The model is fitted on `features`; the months ahead start from the row that
+    `append_horizon` adds to `summary`. Each step rebuilds the revenue features
+    from the values so far, its own forecasts included, and scores all series at
+    once. A series is one row with its last values in an array, so the steps
+    need no further shuffle.
     """
     predictors = feature_columns(features, series_keys)
     training = assembled(features, predictors, series_keys)
@@ -198,16 +205,17 @@ def forecast_trees(
     vectors = VectorAssembler(inputCols=list(predictors), outputCol="inputs")
     newest = Window.partitionBy(*series_keys).orderBy(F.col("month").desc())
     carried = carried_columns(predictors)
-    points = F.sort_array(F.collect_list(F.struct("month", TARGET)))
+    past = F.col("step") == 0
+    points = F.sort_array(F.collect_list(F.when(past, F.struct("month", TARGET))))
     state = (
-        complete_rows(features, carried, series_keys)
+        append_horizon(summary, 1, series_keys)
         .withColumn("position", F.row_number().over(newest))
-        .where(F.col("position") <= REACH)
+        .where(F.col("position") <= REACH + 1)
         .groupBy(*series_keys)
         .agg(
             F.transform(points, lambda p: p[TARGET]).alias("tail"),
-            F.max("month").alias("last_month"),
-            *[F.max_by(c, "month").alias(c) for c in carried],
+            F.max(F.when(past, F.col("month"))).alias("last_month"),
+            *[F.coalesce(F.max_by(c, "month").cast("double"), F.lit(0.0)).alias(c) for c in carried],
         )
     )
     length = features.groupBy(*series_keys).agg(F.max("time_index").alias("last_index"))

@@ -76,7 +76,10 @@ def future_points(
     horizon: int = HORIZON,
     min_training: int | None = baselines.MIN_TRAINING_MONTHS,
 ) -> DataFrame:
-    """Point forecasts of the chosen models for the months after the billed history."""
+    """Point forecasts of the chosen models for the months after the billed history.
+
+    Tree models need `series` to be the whole summary, and the feature table.
+    """
     series = baselines.forecastable(series, series_keys, min_training)
     features = _same_months(features, series, series_keys)
     plain = [m for m in models if m in WINDOW_MODELS]
@@ -86,7 +89,7 @@ def future_points(
         parts.append(baselines.forecast_points(history, horizon, series_keys, plain))
     for name in models:
         if name in tree_models:
-            parts.append(trees.forecast_trees(features, tree_models[name], horizon, series_keys))
+            parts.append(trees.forecast_trees(series, features, tree_models[name], horizon, series_keys))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -220,16 +220,18 @@ def test_drivers(spark, make):
 
 
 def test_horizon_rows_hold_the_last_known_values(spark, make):
-    table = features.build_features(wide(spark, make, WAVE), KEYS)
-    extended = features.append_horizon(table, 3, KEYS)
+    summary = wide(spark, make, WAVE)
+    extended = features.append_horizon(summary, 3, KEYS)
     assert extended.where("step = 0").count() == 40
     future = extended.where("step > 0").orderBy("step").collect()
-    last = table.orderBy(F.col("month").desc()).collect()
+    last = summary.orderBy(F.col("month").desc()).collect()
     assert [r.time_index for r in future] == [40, 41, 42]
     assert [r.calendar_month for r in future] == [5, 6, 7]
-    assert {r.mrr_prev for r in future} == {last[0].mrr_prev}
-    assert {r.win_rate_prev for r in future} == {last[1].win_rate_prev}
-    assert all(r.revenue_lag_1 is None and r.total_revenue is None for r in future)
+    assert {r.mrr_prev for r in future} == {last[0].mrr}
+    known = [r.win_rate for r in last if r.win_rate is not None]
+    assert {r.win_rate_prev for r in future} == {known[0]}
+    assert [r.revenue_lag_1 for r in future] == [WAVE[-1], None, None]
+    assert all(r.total_revenue is None for r in future)
 
 
 def test_correlations_rank_the_leak_first(spark, make):
@@ -290,7 +292,7 @@ def test_outputs_with_all_models(spark, make):
     assert board.where("is_best").count() == 1
     assert out["historical_vs_predicted"].count() == 12
     assert out["revenue_forecast"].where("predicted_revenue IS NOT NULL").count() == 6
-    points = trees.forecast_trees(table, SMALL["gbt"], 6, KEYS)
+    points = trees.forecast_trees(summary, table, SMALL["gbt"], 6, KEYS)
     assert points.where("predicted IS NOT NULL").count() == 6
     with pytest.raises(ValueError, match="unknown"):
         forecasting.walk_forward(summary, KEYS, ["prophet"])
