@@ -152,8 +152,9 @@ def test_three_percent_changes(spark):
 def test_options_and_tiers(spark, make):
     t = tables(make)
     customers = t["dim_customer"].union(spark.createDataFrame([("C7", None, None)], t["dim_customer"].schema))
+    customers = customers.withColumn("industry", F.when(F.col("customer_id") != "C7", "Retail"))
     assert rows(filter_options(customers, t["dim_product_plan"], t["fact_revenue"])) == [
-        ("max_month", "2024-03-01"), ("min_month", "2024-02-01"),
+        ("industry", "Retail"), ("max_month", "2024-03-01"), ("min_month", "2024-02-01"),
         ("product_family", "Add-on"), ("product_family", "Core"),
         ("region", "EU"), ("region", "US"), ("segment", "SMB"), ("segment", "Startup"),
     ]
