@@ -77,7 +77,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     )
 
 
-def slices(batch: pa.RecordBatch, columns: list[str], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, columns: list[str], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch with about `limit` bytes of text each, one row at least."""
     offset, size = 0, 0
     lengths = [0] * batch.num_rows

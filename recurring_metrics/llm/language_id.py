@@ -22,7 +22,6 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recurring_metrics.llm.common import column, slices
 from recurring_metrics.sources.io import materialize
@@ -155,26 +154,28 @@ def fit(
     return Model(np.array(columns).T.astype(np.float32).copy(), np.array(constants), names, by_family, pairs)
 
 
+def _judge(model: Model | None, text: str | None) -> tuple[str, float]:
+    """The language of one text and its confidence."""
+    if model is None or not text or not _LETTER.search(text):
+        return UNKNOWN, 0.0
+    total, n = np.zeros(model.weights.shape[1]), 0
+    for g in grams(text):
+        total += model.weights[g].sum(axis=0, dtype=np.float64)
+        n += len(g)
+    return model.decide(total / max(n, 1) + model.intercepts)
+
+
 def _predict(shared: object) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for value in batch["text"]:
-                text = value.as_py()
-                lang, score = UNKNOWN, 0.0
-                if model is not None and text and _LETTER.search(text):
-                    total, n = np.zeros(model.weights.shape[1]), 0
-                    for g in grams(text):
-                        total += model.weights[g].sum(axis=0, dtype=np.float64)
-                        n += len(g)
-                    lang, score = model.decide(total / max(n, 1) + model.intercepts)
-                langs.append(lang)
-                scores.append(score)
-            names = [n for n in batch.schema.names if n != "text"]
+            judged = [_judge(shared.value, t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch[n] for n in names] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*names, "lang_pred", "score"],
+                [
+                    batch["id"],
+                    pa.array([lang for lang, _ in judged], pa.string()),
+                    pa.array([score for _, score in judged], pa.float64()),
+                ],
+                ["id", "lang_pred", "score"],
             )
 
     return run
@@ -205,12 +206,11 @@ def keep_known(
 ) -> DataFrame:
     """The rows of `docs` whose language is recognised (with a score over `min_score`)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    whole = docs.select(
-        F.struct(*[column(c) for c in docs.columns]).alias("row"), column(text_col).alias("text")
-    )
-    schema = T.StructType(
-        [whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
-    judged = whole.mapInArrow(_predict(shared), schema)
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = [_judge(shared.value, t.as_py()) for t in batch[text_col]]
+            keep = [lang != UNKNOWN and score > min_score for lang, score in judged]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -36,29 +36,38 @@ HELD = PIECE + ", held boolean, ids array<int>"
 
 
 @functools.cache
-def _tokenizer(path: str) -> tuple[object, list[str], PieceTable | None]:
-    """The tokenizer of a file, its special strings, and a table of pieces if it is byte-level BPE."""
-    import public_tokenizers
+def _library(path: str) -> object:
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    ranks = byte_ranks(path)
-    table = None if ranks is None else PieceTable(rank_encoder(ranks, public_tokenizers.PATTERN))
-    return whole, special, table
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _pieces(path: str) -> tuple[PieceTable, list[str]] | None:
+    """A table of pieces and the special strings of a byte-level BPE file; None for other kinds."""
+    import public_tokenizers
+
+    found = byte_ranks(path)
+    if found is None:
+        return None
+    return PieceTable(rank_encoder(found[0], public_tokenizers.PATTERN)), found[1]
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids as the tokenizer of `path` gives them, without added special tokens."""
-    whole, special, table = _tokenizer(path)
-    plain = [i for i, t in enumerate(texts) if table and not any(s in t for s in special)]
+    """Ids as the tokenizer of `path` gives them, without added special tokens.
+
+    Texts with special strings, and all texts of other kinds of tokenizers, go
+    through the library, which is only loaded for them.
+    """
+    known = _pieces(path)
+    plain = [i for i, t in enumerate(texts) if known and not any(s in t for s in known[1])]
     out: list = [None] * len(texts)
     if plain:
-        for i, ids in zip(plain, table.encode_texts([texts[i] for i in plain])):
+        for i, ids in zip(plain, known[0].encode_texts([texts[i] for i in plain])):
             out[i] = ids
     for i, ids in enumerate(out):
         if ids is None:
-            out[i] = np.array(whole.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
+            out[i] = np.array(_library(path).encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
     return out
 
 

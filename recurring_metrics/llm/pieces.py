@@ -12,7 +12,7 @@ from recurring_metrics.llm.shingles import _powers, mix
 
 # (code points, begins, ends) -> (ids, first, size)
 Encoder = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-MOST = 1_000_000
+MOST = 400_000
 _POWERS = _powers(1024)
 
 

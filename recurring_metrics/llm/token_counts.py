@@ -30,7 +30,7 @@ from recurring_metrics.llm.pieces import distinct, piece_hashes
 from recurring_metrics.llm.pretoken import BLANK, LETTER, NUMBER, SPACE, STOP, classes, code_points
 from recurring_metrics.llm.vocabulary import byte_level
 
-CHUNK, LIMIT, MOST, NEVER = 128, 512, 1_000_000, 1 << 60
+CHUNK, LIMIT, MOST, NEVER = 128, 512, 800_000, 1 << 60
 
 # ---- the piece transducer: states and input classes ----
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, BLANK_1, SPACE_1, BLANK_2, SPACE_2, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, CLOSED = range(13)

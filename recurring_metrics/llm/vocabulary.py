@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 
 
@@ -13,7 +12,6 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@functools.cache
 def byte_level(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], list[str]] | None:
     """Tokens with their ids, merges in order, special strings; None for another kind of file."""
     with open(path, encoding="utf-8") as file:
@@ -32,11 +30,11 @@ def byte_level(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return {raw(t): i for t, i in model["vocab"].items() if t not in special}, merges, special
 
 
-def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """Tokens with ids that also rank their merges; None if the ids do not."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], list[str]] | None:
+    """Tokens with ids that also rank their merges, and special strings; None if the ids do not."""
     found = byte_level(path)
     if found is None:
         return None
-    vocab, merges, _ = found
+    vocab, merges, special = found
     ids = [vocab[a + b] for a, b in merges]
-    return vocab if ids == sorted(set(ids)) else None
+    return (vocab, special) if ids == sorted(set(ids)) else None
