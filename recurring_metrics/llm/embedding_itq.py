@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from recurring_metrics.llm.common import column, components
 from recurring_metrics.sources.io import materialize
 
-THRESHOLD, SAMPLE, ROUNDS, MISS, BLOCK = 0.98, 10_000, 25, 1e-3, 1024
+THRESHOLD, SAMPLE, ROUNDS, MISS, BLOCK = 0.98, 4_000, 25, 1e-3, 1024
 FEWEST_BITS, MOST_BITS = 8, 20
 
 
@@ -37,8 +37,9 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tupl
     the rotated sample, then the rotation that brings the sample nearest to them.
     """
     dims = sample.shape[1]
-    _, _, axes = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=True)
-    principal = sample @ axes.T
+    centred = sample - sample.mean(axis=0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    principal = sample @ axes
     made, seed = [], 0
     while sum(m.shape[1] for m in made) < bits:
         rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
@@ -47,7 +48,7 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tupl
             codes = np.where(turned >= np.median(turned, axis=0), 1.0, -1.0)
             left, _, right = np.linalg.svd(codes.T @ principal)
             rotation = (left @ right).T
-        made.append(axes.T @ rotation)
+        made.append(axes @ rotation)
         seed += 1
     projection = np.concatenate(made, axis=1)[:, :bits]
     return projection, np.median(sample @ projection, axis=0)
@@ -208,7 +209,7 @@ def near_vectors(
         full = classes.where(F.size("vector") == dims)
         total = common["count"]
         chosen = full.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / total))
-        learned = np.array([r["vector"] for r in chosen.select("vector").collect()]).reshape(-1, dims)
+        learned = _matrix(chosen.select("vector").toArrow()["vector"].combine_chunks(), dims)
         if not len(learned):
             learned = np.eye(dims)
         bits, tables = plan_tables(total, threshold, miss)
