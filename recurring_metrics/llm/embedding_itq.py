@@ -3,9 +3,12 @@
 A rotation is learned on a bounded sample so that the signs of the rotated components,
 cut at the sample's medians, form balanced codes that keep angles; several rotations give
 as many bits as the tables need. A table holds a substring of the code: vectors with an
-equal substring (and label) share a bucket. The number of tables follows from the chance
-that a pair at the threshold differs everywhere, the substring's length from the number of
-vectors. In the buckets the original vectors are compared, in double precision.
+equal substring (and label) share a bucket. How often a cut separates a pair at the threshold
+is measured on the sample, against planted neighbours: vectors that share a direction are
+separated far more often than their angle says. The substring's length is the cheapest for
+that rate (none, hence all pairs, if codes do not help), and tables are added until planted
+pairs are missed no more than allowed. In the buckets the original vectors are compared, in
+double precision.
 
 Equal vectors are one class. Buckets with one member are dropped before any vector moves.
 Large buckets are cut into blocks, and pairs of blocks meet in tasks of bounded size. A
@@ -15,6 +18,7 @@ and a spanning forest of the links, not the pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,10 +32,12 @@ from recurring_metrics.sources.io import materialize
 
 THRESHOLD, SAMPLE, ROUNDS, MISS, BLOCK = 0.98, 4_000, 25, 1e-3, 1024
 FEWEST_BITS, MOST_BITS = 8, 20
+# Planted pairs of each kind; costs of placing a row in a table, of moving its vector, of a comparison.
+PLANTED, PLACED, MOVED, COMPARED = 4_000, 2.0, 10.0, 0.05
 
 
-def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(dims x bits) projections and their medians, `dims` bits from each rotation.
+def rotations(sample: np.ndarray, rounds: int = ROUNDS) -> Iterator[np.ndarray]:
+    """(dims x dims) projections without end.
 
     Each rotation starts at random and is alternated with the codes: signs of
     the rotated sample, then the rotation that brings the sample nearest to them.
@@ -40,25 +46,105 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tupl
     centred = sample - sample.mean(axis=0)
     _, axes = np.linalg.eigh(centred.T @ centred)
     principal = sample @ axes
-    made, seed = [], 0
-    while sum(m.shape[1] for m in made) < bits:
+    for seed in itertools.count():
         rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
         for _ in range(rounds):
             turned = principal @ rotation
             codes = np.where(turned >= np.median(turned, axis=0), 1.0, -1.0)
             left, _, right = np.linalg.svd(codes.T @ principal)
             rotation = (left @ right).T
-        made.append(axes @ rotation)
-        seed += 1
-    projection = np.concatenate(made, axis=1)[:, :bits]
+        yield axes @ rotation
+
+
+def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(dims x bits) projections and their medians, `dims` bits from each rotation."""
+    made = itertools.islice(rotations(sample, rounds), math.ceil(bits / sample.shape[1]))
+    projection = np.concatenate(list(made), axis=1)[:, :bits]
     return projection, np.median(sample @ projection, axis=0)
 
 
-def plan_tables(vectors: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """Bits per substring and number of tables."""
-    bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(max(vectors, 2)))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+def planted_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of the sample and neighbours whose cosine to them is `threshold`.
+
+    They lie in random directions, and in directions of the differences of the sample.
+    """
+    chooser = np.random.default_rng(11)
+    base = sample[np.arange(max(PLANTED, len(sample))) % len(sample)]
+    pairs = []
+    for away in (
+        chooser.standard_normal(base.shape),
+        sample[chooser.integers(len(sample), size=len(base))] - base,
+    ):
+        away = away - (away * base).sum(axis=1, keepdims=True) * base
+        size = np.linalg.norm(away, axis=1)
+        far = size > 1e-9
+        beside = away[far] / size[far, None]
+        if far.any():
+            pairs.append((base[far], threshold * base[far] + math.sqrt(max(0.0, 1 - threshold**2)) * beside))
+    return pairs
+
+
+def plan_tables(vectors: int, rate: float, miss: float = MISS, block: int = BLOCK) -> tuple[int, int]:
+    """Bits per substring and number of tables if a bit separates a linked pair at this rate."""
+
+    def tables(bits: int) -> int:
+        same = (1 - rate) ** bits
+        return 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
+
+    def cost(bits: int) -> float:
+        others = vectors / 2**bits
+        moved = (1 - math.exp(-others)) * max(1.0, others / block)
+        return tables(bits) * (PLACED + MOVED * moved + COMPARED * others)
+
+    most = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(max(vectors, 2)))))
+    bits = min(range(most, -1, -1), key=cost)
+    return bits, tables(bits)
+
+
+def learn_tables(
+    sample: np.ndarray, vectors: int, threshold: float, miss: float = MISS, block: int = BLOCK
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Projections, medians, bits per substring and number of tables for unit vectors like the sample.
+
+    A quarter of the sample is not learned from: its vectors get the planted
+    neighbours, as codes fit what they were learned from too well. Tables are
+    added until the share of planted pairs that agree in none is `miss` at most,
+    for every kind of pair, and are never fewer than the rate asks for.
+    """
+    away = np.arange(len(sample)) % 4 == 3
+    learned, kept = (sample[~away], sample[away]) if away.any() else (sample, sample)
+    left = planted_pairs(kept, threshold)
+    allowed = [miss * len(x) for x, _ in left]
+    more = rotations(learned)
+    spare = np.zeros((sample.shape[1], 0))
+
+    def cuts(bits: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal spare
+        while spare.shape[1] < bits:
+            spare = np.concatenate((spare, next(more)), axis=1)
+        taken, spare = spare[:, :bits], spare[:, bits:]
+        return taken, np.median(learned @ taken, axis=0)
+
+    def apart(x: np.ndarray, y: np.ndarray, cut: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return (x @ cut[0] >= cut[1]) != (y @ cut[0] >= cut[1])
+
+    trial = cuts(max(MOST_BITS, sample.shape[1]))
+    spare = np.concatenate((trial[0], spare), axis=1)
+    rates = [apart(x, y, trial).mean() for x, y in left]
+    bits, planned = plan_tables(vectors, max([math.acos(min(1.0, threshold)) / math.pi, *rates]), miss, block)
+    if not bits:
+        return trial[0][:, :0], trial[1][:0], 0, 1
+    made, step = [], max(1, planned // 10)
+    while len(made) * step < planned or any(len(x) > n for (x, _), n in zip(left, allowed)):
+        if len(made) * step > 10 * planned:
+            # In few dimensions all rotations may end alike: then all pairs are compared.
+            return trial[0][:, :0], trial[1][:0], 0, 1
+        made.append(cuts(bits * step))
+        for k, (x, y) in enumerate(left):
+            lost = apart(x, y, made[-1]).reshape(len(x), step, bits).any(axis=2).all(axis=1)
+            left[k] = x[lost], y[lost]
+    projection, medians = (np.concatenate(parts, axis=-1) for parts in zip(*made))
+    return projection, medians, bits, len(made) * step
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -212,8 +298,8 @@ def near_vectors(
         learned = _matrix(chosen.select("vector").toArrow()["vector"].combine_chunks(), dims)
         if not len(learned):
             learned = np.eye(dims)
-        bits, tables = plan_tables(total, threshold, miss)
-        shared = spark.sparkContext.broadcast(learn_rotations(_unit(learned), bits * tables))
+        projection, medians, bits, tables = learn_tables(_unit(learned), total, threshold, miss, block)
+        shared = spark.sparkContext.broadcast((projection, medians))
         coded = materialize(
             full.select("id", "label", "vector").mapInArrow(
                 _code(shared, dims, bits, tables), "id long, label long, keys array<long>"

@@ -208,3 +208,28 @@ def test_codes_are_balanced():
     projection, medians = embedding_itq.learn_rotations(sample, 40, 5)
     share = ((sample @ projection) >= medians).mean(axis=0)
     assert projection.shape == (16, 40) and (abs(share - 0.5) < 0.01).all()
+
+
+def leaning(n, dims, cosine, seed):
+    """Unit vectors whose mean pairwise cosine is about `cosine`."""
+    noise = np.random.default_rng(seed).standard_normal((n, dims)) / np.sqrt(dims)
+    made = np.sqrt(1 - cosine) * noise
+    made[:, 0] += np.sqrt(cosine)
+    return embedding_itq._unit(made)
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.7, 0.85])
+def test_recall_of_leaning_vectors(spark, cosine):
+    base = leaning(6000, 64, cosine, 2)
+    (_, beside), *_ = embedding_itq.planted_pairs(base[:400], 0.9805)
+    beside = beside[:400]
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(np.concatenate((base, beside)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_itq.near_vectors(table).collect()}
+    assert sum(got[6000 + i] >= 1 for i in range(400)) >= 0.99 * 400
+
+
+def test_tables_for_few_dimensions():
+    circle = embedding_itq._unit(np.random.default_rng(4).standard_normal((2000, 2)))
+    projection, medians, bits, tables = embedding_itq.learn_tables(circle, 2000, 0.98)
+    assert projection.shape == (2, bits * tables) and len(medians) == bits * tables
