@@ -10,7 +10,8 @@ that rate (none, hence all pairs, if codes do not help), and tables are added un
 pairs are missed no more than allowed. In the buckets the original vectors are compared, in
 double precision.
 
-Equal vectors are one class. Buckets with one member are dropped before any vector moves.
+Vectors of different lengths never meet: each length has tables of its own, and a length
+with few vectors is one bucket per label. Equal vectors are one class. Buckets with one member are dropped before any vector moves.
 Large buckets are cut into blocks, and pairs of blocks meet in tasks of bounded size. A
 pair found in several tables is counted in the first one only. Tasks return link counts
 and a spanning forest of the links, not the pairs.
@@ -155,23 +156,36 @@ def _matrix(values: pa.Array, dims: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
-def _code(shared: object, dims: int, bits: int, tables: int) -> object:
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The components of all lists in a row, and where each list begins and the last ends."""
+    ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return values.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], ends))
+
+
+def _code(shared: object) -> object:
+    """The keys of vectors; a length without learned cuts has one key for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection, medians = shared.value
-        powers = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
-            unit = _unit(_matrix(batch["vector"], dims))
-            signs = (unit @ projection >= medians).reshape(len(unit), tables, bits)
-            keys = signs @ powers
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["label"], pa.array(list(keys), pa.list_(pa.int64()))], ["id", "label", "keys"]
-            )
+            dims = batch["dims"].to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                projection, medians, bits, tables = shared.value.get(d, (None, None, 0, 1))
+                if bits:
+                    signs = _unit(_matrix(part["vector"], d)) @ projection >= medians
+                    keys = signs.reshape(len(signs), tables, bits) @ (1 << np.arange(bits)).astype(np.int64)
+                else:
+                    keys = np.zeros((part.num_rows, 1), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], part["label"], part["dims"], pa.array(list(keys), pa.list_(pa.int64()))],
+                    ["id", "label", "dims", "keys"],
+                )
 
     return run
 
 
-def _compare(dims: int, threshold: float) -> object:
-    """Link counts and forests of sorted groups (label, bucket, i, j)."""
+def _compare(threshold: float) -> object:
+    """Link counts and forests of sorted groups (label, dims, table, bucket, i, j)."""
 
     def linked(ids, side, tables, vectors, keys, weights):
         if side.min() == side.max():
@@ -231,12 +245,10 @@ def _compare(dims: int, threshold: float) -> object:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([batch[c].to_numpy() for c in ("label", "table", "bucket", "i", "j")], axis=1)
-            columns = [
-                batch["id"].to_numpy(), batch["side"].to_numpy(), batch["table"].to_numpy(),
-                _matrix(batch["vector"], dims), np.stack(batch["keys"].to_numpy(zero_copy_only=False)),
-                batch["copies"].to_numpy(),
-            ]
+            group = np.stack([batch[c].to_numpy() for c in ("label", "dims", "table", "bucket", "i", "j")], axis=1)
+            plain = [batch[c].to_numpy() for c in ("id", "side", "table")]
+            listed = [_flat(batch[c]) for c in ("vector", "keys")]
+            copies = batch["copies"].to_numpy()
             new = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             edges = [0, *new.tolist(), batch.num_rows]
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -244,7 +256,9 @@ def _compare(dims: int, threshold: float) -> object:
                     if (made := emit()) is not None:
                         yield made
                     held.clear()
-                held.append((group[lo], *[c[lo:hi] for c in columns]))
+                # All vectors of a group are of one length.
+                lists = [values[at[lo] : at[hi]].reshape(hi - lo, -1) for values, at in listed]
+                held.append((group[lo], *[c[lo:hi] for c in plain], *lists, copies[lo:hi]))
         if held and (made := emit()) is not None:
             yield made
 
@@ -266,11 +280,11 @@ def near_vectors(
     Vectors of one label are linked from a cosine of `threshold` on; n_links
     counts the other rows linked directly, component_id is the smallest id that
     links reach. Null and zero vectors, vectors with null or non-finite
-    components, and rows with a null label or id are linked with nothing. Equal
-    vectors of other lengths than the most common one are compared only when
-    equal. At most about `sample` vectors are used to learn the rotations; all
-    are indexed. Rows that repeat an id are counted as rows of their own. Other
-    columns are not read.
+    components, and rows with a null label or id are linked with nothing, nor are
+    vectors of different lengths. At most about `sample` vectors of a length are
+    used to learn its rotations; all are indexed, and lengths with at most `block`
+    vectors are compared in full. Rows that repeat an id are counted as rows of
+    their own. Other columns are not read.
     """
     spark = vectors.sparkSession
     raw = vectors.select(
@@ -287,48 +301,48 @@ def near_vectors(
     classes = materialize(
         usable.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    common = classes.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    sized = classes.withColumn("dims", F.size("vector"))
+    # Few lengths have more vectors than a block; only those come to the driver.
+    lengths = {r["dims"]: r["count"] for r in sized.groupBy("dims").count().where(F.col("count") > block).collect()}
     counts = classes.select("id", (F.col("copies") - 1).alias("links"))
-    edges = spark.createDataFrame([], "a long, b long")
-    if common is not None:
-        dims = common["n"]
-        full = classes.where(F.size("vector") == dims)
-        total = common["count"]
-        chosen = full.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / total))
+    cuts = {}
+    for dims, total in sorted(lengths.items()):
+        share = min(1.0, sample / total)
+        chosen = sized.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * share))
         learned = _matrix(chosen.select("vector").toArrow()["vector"].combine_chunks(), dims)
         if not len(learned):
             learned = np.eye(dims)
-        projection, medians, bits, tables = learn_tables(_unit(learned), total, threshold, miss, block)
-        shared = spark.sparkContext.broadcast((projection, medians))
-        coded = materialize(
-            full.select("id", "label", "vector").mapInArrow(
-                _code(shared, dims, bits, tables), "id long, label long, keys array<long>"
-            )
-        )
-        bucket = ["label", "table", "bucket"]
-        placed = coded.select("id", "label", F.posexplode("keys").alias("table", "bucket"))
-        sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        members = placed.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("members") / block))
-        members = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-        met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            *bucket,
-            "id",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+        cuts[dims] = learn_tables(_unit(learned), total, threshold, miss, block)
+    shared = spark.sparkContext.broadcast(cuts)
+    coded = materialize(
+        sized.select("id", "label", "dims", "vector").mapInArrow(
+            _code(shared), "id long, label long, dims int, keys array<long>"
         )
-        rows = (
-            met.join(coded.select("id", "keys"), "id")
-            .join(full.select("id", "vector", "copies"), "id")
-            .select(*bucket, "i", "j", "id", "side", "vector", "keys", "copies")
-        )
-        found = materialize(
-            rows.repartition(*bucket, "i", "j")
-            .sortWithinPartitions(*bucket, "i", "j")
-            .mapInArrow(_compare(dims, threshold), "a long, b long, links long")
-        )
-        counts = counts.union(found.where("b IS NULL").select("a", "links"))
-        edges = found.where("b IS NOT NULL").select("a", "b")
+    )
+    bucket = ["label", "dims", "table", "bucket"]
+    placed = coded.select("id", "label", "dims", F.posexplode("keys").alias("table", "bucket"))
+    sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = placed.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("members") / block))
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *bucket,
+        "id",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+    )
+    rows = (
+        met.join(coded.select("id", "label", "dims", "keys"), ["id", "label", "dims"])
+        .join(sized.select("id", "label", "dims", "vector", "copies"), ["id", "label", "dims"])
+        .select(*bucket, "i", "j", "id", "side", "vector", "keys", "copies")
+    )
+    found = materialize(
+        rows.repartition(*bucket, "i", "j")
+        .sortWithinPartitions(*bucket, "i", "j")
+        .mapInArrow(_compare(threshold), "a long, b long, links long")
+    )
+    counts = counts.union(found.where("b IS NULL").select("a", "links"))
+    edges = found.where("b IS NOT NULL").select("a", "b")
     links = counts.groupBy("id").agg(F.sum("links").alias("n_links"))
     groups = components(edges)
     of_class = (

@@ -233,3 +233,22 @@ def test_tables_for_few_dimensions():
     circle = embedding_itq._unit(np.random.default_rng(4).standard_normal((2000, 2)))
     projection, medians, bits, tables = embedding_itq.learn_tables(circle, 2000, 0.98)
     assert projection.shape == (2, bits * tables) and len(medians) == bits * tables
+
+
+def test_vectors_of_several_lengths(spark):
+    chooser, rows = np.random.default_rng(8), []
+    for dims, groups in ((24, 20), (16, 12), (3, 2), (70, 1)):
+        for base in range(groups):
+            v = chooser.standard_normal(dims)
+            for k in range(1 + base % 4 if dims != 70 else 2):
+                w = v + chooser.standard_normal(dims) * 0.05
+                rows.append((len(rows), [float(x) for x in w], base % 2))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unequal = [r for r in table.collect()]
+    want = {}
+    for dims in (24, 16, 3, 70):
+        want |= brute_vectors([r for r in unequal if len(r["embedding"]) == dims])
+    assert sum(want[r["vec_id"]][0] for r in unequal if len(r["embedding"]) == 16) > 0
+    for block in (1024, 7):
+        got = embedding_itq.near_vectors(table, block=block).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
