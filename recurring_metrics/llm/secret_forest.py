@@ -1,7 +1,10 @@
 """Secrets in texts: candidate strings by pattern, judged by a random forest.
 
 A candidate is a run of at least `SHORTEST` letters, digits and `+/_-=.` with a letter
-and a digit in it. The forest sees its length, its changes between kinds of characters,
+and a digit in it; or the whole value after a credential keyword and a sign, from `VALUE`
+characters on, of any kind (quoted values with their spaces); or a line of a private key
+block; or the password of an address. Shorter strings without such a place are not seen.
+The forest sees its length, its changes between kinds of characters,
 how much of it dictionary words cover, what the document's path says, and the words
 beside it. It is fitted on labelled findings: a table of your own, or `sample_findings`.
 Everything is DataFrame functions and Spark ML; nothing here runs Python on rows.
@@ -17,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurring_metrics.llm.common import column
+from recurring_metrics.sources.io import materialize
 
 SHORTEST = 16
+VALUE = 6
 MASK = "[SECRET]"
 RUN = rf"[A-Za-z0-9+/_\-=.]{{{SHORTEST},}}"
 # A word holds a candidate only if a run of this length has a digit and a letter; judged exactly later.
@@ -30,11 +35,18 @@ WORDS = (
     "color font media static public private local remote server client host port request response"
 ).split()
 KEYWORDS = r"(?i)(api.?key|access.?key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private.?key|signing)"
+# A credential keyword, what may end its name, a sign, and the value.
+KEY_NAME = r"""(?i:api.?key|access.?key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private.?key|signing)[\w.\-]{0,40}["'`]?\]?\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}(?:(?i:bearer|basic)\s{1,3})?"""
+ASSIGNED = KEY_NAME + rf"""(?:"[^"\r\n]{{{VALUE},200}}"|'[^'\r\n]{{{VALUE},200}}'|`[^`\r\n]{{{VALUE},200}}`|[^\s"'`]{{{VALUE},}})"""
+ADDRESS = rf"""[A-Za-z][A-Za-z0-9+.\-]{{1,20}}://[^\s/:@"'`<>]{{0,80}}:[^\s/@"'`<>]{{{VALUE},200}}@"""
+KEY_HEAD, KEY_END = "BEGIN PRIVATE KEY-----", "-----END"
 HARMLESS = r"(?i)(commit|revision|sha\d*|md5|checksum|digest|hash|uuid|guid|etag|integrity|example|sample|dummy|placeholder|https?:|href|src=|version)"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "signs", "changes", "kind_changes", "distinct", "hex",
     "vowels", "covered", "dots", "slashes", "path_test", "path_code", "path_lock", "keyword_before",
     "assigned", "quoted", "harmless_before", "harmless_after", "plain_after", "uuid_shape",
+    "prefixed", "in_key_block", "in_address", "key_value", "measure_key", "other_signs", "one_word", "code_shape",
+    "consonants", "mixed", "spaces", "bare_value", "prompt",
 )
 
 
@@ -42,38 +54,103 @@ def _count(of: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(of, F.lit(pattern), F.lit(0))).cast("double")
 
 
+def _breaks(text: Column) -> Column:
+    """White-space runs in a text: how many words its end is behind its start."""
+    return F.size(F.split(text, r"\s+")) - 1
+
+
+def _values(pattern: str, head: str, tail: str) -> Column:
+    """(word, last, before_word, holder, candidate) of every match of a pattern in `text`.
+
+    The candidate is the match without what `head` and `tail` match in it. Matches
+    neither begin nor end with white space, so the words before add up.
+    """
+    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    between = F.split("text", pattern, -1)
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"] + _breaks(x["gap"])
+        value = F.regexp_replace(F.regexp_replace(x["hit"], head, ""), tail, "")
+        last = at + _breaks(x["hit"])
+        made = F.struct(
+            (last - _breaks(value)).alias("word"), last.alias("last"), at.alias("before_word"),
+            x["hit"].alias("holder"), value.alias("candidate"),
+        )
+        return F.struct(last.alias("at"), F.concat(state["made"], F.array(made)).alias("made"))
+
+    none = F.array().cast("array<struct<word:int,last:int,before_word:int,holder:string,candidate:string>>")
+    pairs = F.transform(matches, lambda hit, i: F.struct(F.get(between, i).alias("gap"), hit.alias("hit")))
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("made")), step)["made"]
+    return F.when(F.col("text").rlike(pattern), found).otherwise(none)
+
+
 def find_candidates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source"
 ) -> DataFrame:
     """(id, word, path, before, after, holder, candidate), one row per candidate in a text.
 
-    `word` is the position of the white-space separated word that holds it,
-    `before` and `after` are up to three words on either side. Null texts have none.
+    `word` is the position of the white-space separated word that holds it (its
+    first, if it has several), `before` and `after` are up to three words on either
+    side; before a line of a private key they begin with the block's head. A run
+    that is part of a whole value is no candidate of its own. Null texts have none.
     """
     text = column(text_col)
     path = column(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(column(id_col).alias("id"), path.alias("path"), text.alias("text"))
-    likely = rows.where(F.col("text").rlike(RUN))
-    words = likely.select("id", "path", F.split("text", r"\s+").alias("words"))
+    likely = rows.where(
+        F.col("text").rlike(RUN) | F.col("text").rlike(ASSIGNED) | F.col("text").rlike(ADDRESS)
+    )
+    quotes = """["'`]"""
+    given = F.concat(
+        _values(ASSIGNED, rf"^{KEY_NAME}{quotes}?", rf"{quotes}$|[,;.)\]}}>]+$"),
+        _values(ADDRESS, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^:]*:", "@$"),
+    )
+    words = likely.select("id", "path", F.split("text", r"\s+").alias("words"), given.alias("given"), F.contains("text", F.lit("PRIVATE KEY-----")).alias("keyed"))
+    begins = F.filter(F.transform("words", lambda w, i: F.when(w.contains("KEY-----") & (F.get("words", i - 1) == "PRIVATE"), i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform("words", lambda w, i: F.when(w.contains(KEY_END), i)), lambda i: i.isNotNull())
+    spans = F.transform(
+        begins,
+        lambda b: F.struct(b.alias("a"), F.coalesce(F.array_min(F.filter(ends, lambda e: e >= b)), F.size("words")).alias("z")),
+    )
+    words = words.withColumn("blocks", F.when(F.col("keyed"), spans).otherwise(F.array().cast("array<struct<a:int,z:int>>")))
+
+    def in_block(at: Column) -> Column:
+        return F.exists("blocks", lambda k: (k["a"] < at) & (at < k["z"]))
+
     held = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("word"), w.alias("holder"))),
-        lambda s: F.length(s["holder"]) >= SHORTEST,
+        F.transform("words", lambda w, i: F.struct(i.alias("word"), w.alias("holder"), in_block(i).alias("block"))),
+        lambda s: (F.length(s["holder"]) >= SHORTEST) | s["block"],
     )
-    placed = words.select("id", "path", "words", F.explode(held).alias("at")).select(
-        "id", "path", F.col("at.word").alias("word"), F.col("at.holder").alias("holder"),
-        F.array_join(F.slice("words", F.greatest(F.col("at.word") - 2, F.lit(1)), F.least(F.col("at.word"), F.lit(3))), " ").alias("before"),
-        F.array_join(F.slice("words", F.col("at.word") + 2, F.lit(3)), " ").alias("after"),
-    )
-    found = placed.select(
-        "id", "word", "path", "before", "after", "holder",
-        F.explode(F.array_distinct(F.regexp_extract_all("holder", F.lit(RUN), F.lit(0)))).alias("candidate"),
-    )
-    trimmed = found.withColumn("candidate", F.regexp_replace("candidate", r"^[A-Za-z_.\-]{1,24}=|^[.\-_/=]+|[.\-_]+$", ""))
-    return trimmed.where(
-        (F.length("candidate") >= SHORTEST)
-        & F.col("candidate").rlike("[0-9]")
-        & F.col("candidate").rlike("[A-Za-z]")
+
+    def runs(at: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(at["holder"], F.lit(RUN), F.lit(0)))
+        line = F.regexp_extract(at["holder"], r"^[A-Za-z0-9+/=]{4,}$", 0)
+        trimmed = F.transform(found, lambda c: F.regexp_replace(c, r"^[A-Za-z_.\-]{1,24}=|^[.\-_/=]+|[.\-_]+$", ""))
+        sound = F.filter(trimmed, lambda c: (F.length(c) >= SHORTEST) & c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
+        chosen = F.when(at["block"] & (line != ""), F.array(line)).otherwise(sound)
+        return F.transform(
+            chosen,
+            lambda c: F.struct(
+                at["word"].alias("word"), at["word"].alias("last"), at["word"].alias("before_word"),
+                at["holder"].alias("holder"), c.alias("candidate"),
+            ),
+        )
+
+    whole = F.filter("given", lambda g: F.length(g["candidate"]) >= VALUE)
+    parted = words.withColumn("whole", whole).withColumn("runs", F.flatten(F.transform(held, runs)))
+    apart = F.filter(
+        "runs",
+        lambda r: ~F.exists("whole", lambda g: r["word"].between(g["word"], g["last"]) & g["candidate"].contains(r["candidate"])),
     )
+    placed = parted.select("id", "path", "words", "blocks", F.explode(F.concat("whole", apart)).alias("at"))
+    first, last = F.col("at.before_word"), F.col("at.last")
+    before = F.array_join(F.slice("words", F.greatest(first - 2, F.lit(1)), F.least(first, F.lit(3))), " ")
+    return placed.select(
+        "id", F.col("at.word").alias("word"), "path",
+        F.when(in_block(F.col("at.word")), F.concat(F.lit(f"-----{KEY_HEAD} "), before)).otherwise(before).alias("before"),
+        F.array_join(F.slice("words", last + 2, F.lit(3)), " ").alias("after"),
+        F.col("at.holder").alias("holder"), F.col("at.candidate").alias("candidate"),
+    )
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -85,6 +162,8 @@ def with_features(found: DataFrame) -> DataFrame:
     n = F.length(c).cast("double")
     kinds = r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"
     flag = lambda test: test.cast("double")
+    behind = F.expr("substring(holder, length(substring_index(holder, candidate, 1)) + length(candidate) + 1, 1)")
+    sign = r"""["'`]?\]?\s*(=>|:=|=|:)\s*((?i:bearer|basic)\s+)?["'`]?$"""
     values = {
         "length": n,
         "digits": _count(c, "[0-9]") / n,
@@ -109,6 +188,19 @@ def with_features(found: DataFrame) -> DataFrame:
         "harmless_after": flag(after.rlike(HARMLESS)),
         "plain_after": flag(after.rlike(r"^[A-Za-z]+[ ,.]")),
         "uuid_shape": flag(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
+        "prefixed": flag(c.rlike(r"^(gh[pousr]_|github_pat_|AKIA|ASIA|xox[abprs]-|sk-|sk_live_|rk_live_|glpat-|eyJ[A-Za-z0-9]|AIza|npm_|hf_|SG\.)[A-Za-z0-9_.\-]{12,}$")),
+        "in_key_block": flag(near.rlike("BEGIN [A-Z ]*PRIVATE KEY-----")),
+        "in_address": flag(ahead.rlike("""://[^/\\s"']*$""") & (behind == "@")),
+        "key_value": flag(near.rlike(KEYWORDS + r"[\w.\-]{0,40}" + sign)),
+        "measure_key": flag(near.rlike(r"(?i)(count|limit|length|size|max|min|num|expir\w*|ttl|type|name|file|path|url|uri|field|policy|hint|timeout|page|version|tokens|id|at)" + sign)),
+        "other_signs": _count(c, r"[^A-Za-z0-9+/_\-=.\s]") / n,
+        "one_word": flag(c.rlike(r"^[A-Za-z]?[a-z]+$")),
+        "code_shape": flag(c.rlike(r"^[$<{\[(%]|\w[(\[]|[({<]$|^(self|this|os|process|env|request|config|settings|args)\.|^[a-z_]+(\.[a-z_]+)+$|^[A-Z]+(_[A-Z]+)+$|[*x]{5}")),
+        "consonants": flag(F.lower(c).rlike("[bcdfghjklmnpqrstvwxz]{5}")),
+        "mixed": flag(c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")),
+        "spaces": _count(c, r"\s"),
+        "prompt": flag(c.rlike(r"(?i)\b(enter|your|please|the|must|is|are|not|invalid|required|forgot|reset|missing|new|for|of|password|token)\b")),
+        "bare_value": flag(c.rlike("^[0-9]+$")),
     }
     wide = found.select("*", *[values[name].alias(name) for name in FEATURES])
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide)
@@ -118,13 +210,24 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     """Labelled findings (path, before, after, holder, candidate, label) of usual kinds.
 
     Strings are derived from the row number by hashes: half are credentials in
-    the places where they leak, half are what scanners report wrongly (digests,
-    identifiers, addresses, file names, placeholders). Bounded by `rows`.
+    the places where they leak (after a keyword and a sign, bare in prose or lists,
+    in addresses, in private key blocks), half are what scanners report wrongly (digests,
+    identifiers, addresses, file names, placeholders, prompts, code). Bounded by `rows`.
     """
-    n = F.col("id")
+    n, staged = F.col("id"), spark.range(rows)
+
+    def kept(name: str, value: Column) -> Column:
+        """A column of its own, so that what builds on it does not repeat it."""
+        nonlocal staged
+        staged = staged.withColumn(name, value)
+        return F.col(name)
+
     digest = F.sha2(F.concat(F.lit("finding"), n.cast("string")), 512)
+    digest = kept("digest", digest)
     coded = F.base64(F.unhex(F.substring(digest, 1, 96)))
+    coded = kept("coded", coded)
     plain = F.regexp_replace(coded, "[+/=]", "q")
+    plain = kept("plain", plain)
     pick = lambda salt, *items: F.element_at(
         F.array(*[F.lit(x) for x in items]), (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(len(items))) + 1).cast("int")
     )
@@ -132,8 +235,13 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     key = pick(1, "token", "api_key", "apikey", "secret", "password", "access_key", "auth_token", "client_secret", "private_key", "bearer")
     filler = pick(2, "and then we", "of the", "is", "en la", "", "der die", "que les")
     sign, quote = pick(3, "=", ":", "=>"), pick(4, '"', "'", "", '"')
+    key = kept("key", key)
+    filler = kept("filler", filler)
+    sign = kept("sign", sign)
+    quote = kept("quote", quote)
     uuid = F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     size = (F.pmod(F.xxhash64(n, F.lit(9)), F.lit(25)) + 20).cast("int")
+    size = kept("size", size)
     secret = F.element_at(
         F.array(
             F.substring(digest, 1, 40), F.substring(digest, 1, 32), F.substring(digest, 1, 64),
@@ -145,7 +253,9 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         ),
         (F.pmod(F.xxhash64(n, F.lit(5)), F.lit(10)) + 1).cast("int"),
     )
+    secret = kept("secret", secret)
     digits = F.lpad(F.conv(F.substring(digest, 1, 12), 16, 10), 6, "1")
+    digits = kept("digits", digits)
     wrong = F.element_at(
         F.array(
             F.struct(pick(6, "commit", "revision", "checksum", "sha1", "etag").alias("before"), F.substring(digest, 1, 40).alias("c")),
@@ -162,18 +272,98 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         ),
         (F.pmod(F.xxhash64(n, F.lit(10)), F.lit(11)) + 1).cast("int"),
     )
-    real = n % 2 == 0
-    candidate = F.when(real, secret).otherwise(wrong["c"])
-    before = F.when(real, F.concat_ws(" ", filler, key, sign)).otherwise(F.concat_ws(" ", filler, wrong["before"]))
+    wrong = kept("wrong", wrong)
+    noun = lambda salt: pick(salt, "hunter", "dragon", "winter", "orange", "correct", "horse", "battery", "staple", "monkey", "summer", "silver", "river")
+    mark = lambda salt: pick(salt, "!", "@", "#", "$", "%", "&", "*", "?", "^", "~")
+    prefixed = F.element_at(
+        F.array(
+            F.concat(F.lit("AKIA"), F.upper(plain.substr(1, 16))), F.concat(F.lit("ghp_"), plain.substr(1, 36)),
+            F.concat(F.lit("sk-"), plain.substr(1, 40)), F.concat(F.lit("glpat-"), plain.substr(1, 20)),
+            F.concat(F.lit("xoxb-"), F.conv(F.substring(digest, 1, 10), 16, 10), F.lit("-"), plain.substr(1, 24)),
+            F.concat(F.lit("eyJhbGciOi"), plain.substr(1, 20), F.lit("."), F.lit("eyJ"), plain.substr(21, 30), F.lit("."), plain.substr(5, 30)),
+        ),
+        (F.pmod(F.xxhash64(n, F.lit(21)), F.lit(6)) + 1).cast("int"),
+    )
+    prefixed = kept("prefixed", prefixed)
+    short = (F.pmod(F.xxhash64(n, F.lit(22)), F.lit(7)) + 6).cast("int")
+    letters = F.regexp_replace(plain, "[0-9]", "k")
+    letters = kept("letters", letters)
+    chosen = F.element_at(
+        F.array(
+            F.concat(noun(23), F.substring(digits, 1, 1), F.upper(letters.substr(1, 1)), F.substring(digits, 2, 1)),
+            F.concat(F.initcap(noun(23)), mark(24), F.substring(digits, 1, 3), mark(25)),
+            F.concat(plain.substr(1, 4), mark(24), plain.substr(5, 4), mark(25), plain.substr(9, 4)),
+            plain.substr(F.lit(1), short), letters.substr(F.lit(1), short + 3), F.lower(letters.substr(F.lit(1), short + 4)),
+            F.concat(noun(23), noun(26)), F.substring(digits, 1, 8), F.concat(noun(23), F.lit("-"), noun(26), F.substring(digits, 1, 2)),
+        ),
+        (F.pmod(F.xxhash64(n, F.lit(27)), F.lit(9)) + 1).cast("int"),
+    )
+    chosen = kept("chosen", chosen)
+    phrase = F.concat_ws(" ", noun(23), noun(26), noun(28), noun(29))
+    line, earlier = coded.substr(1, 64), F.base64(F.unhex(F.sha2(digest, 384)))
+    phrase = kept("phrase", phrase)
+    line = kept("line", line)
+    earlier = kept("earlier", earlier)
+    host = pick(30, "github.com/a/b", "db.internal:5432/main", "example.org/x", "10.0.0.7/path")
+    scheme = pick(31, "https", "postgres", "redis", "amqp")
+    row = lambda before, holder, c: F.struct(before.alias("before"), holder.alias("holder"), c.alias("c"))
     joined = F.pmod(F.xxhash64(n, F.lit(11)), F.lit(3)) == 0
-    holder = (
-        F.when(real & joined, F.concat(key, sign, quote, candidate, quote))
-        .when(real, F.concat(quote, candidate, quote))
-        .otherwise(candidate)
-    )
-    return (
-        spark.range(rows)
-        .select(
+    spoken = F.concat_ws(" ", filler, key, sign)
+
+    def given(c: Column) -> Column:
+        """A value after a keyword and a sign, as `find_candidates` gives it."""
+        gap = pick(32, "", " ")
+        return row(filler, F.concat(key, gap, sign, gap, quote, c, quote), c)
+
+    listed = row(pick(33, "use", "it was", "key is", "-", "then export", "of the", "log in with", ""), F.concat(pick(34, "", "", "(", "`"), prefixed, pick(35, "", ",", ".", "")), prefixed)
+    keyed = row(spoken, F.when(joined, F.concat(key, sign, quote, secret, quote)).otherwise(F.concat(quote, secret, quote)), secret)
+    leaks = F.array(
+        keyed, keyed, given(secret), listed, listed,
+        row(filler, F.concat(scheme, F.lit("://"), prefixed, F.lit("@"), host), prefixed),
+        row(filler, F.concat(scheme, F.lit("://"), noun(23), F.lit(":"), chosen, F.lit("@"), host), chosen),
+        row(F.concat(F.lit(f"-----{KEY_HEAD} "), F.when(joined, F.lit("PRIVATE KEY-----")).otherwise(earlier)), F.when(n % 3 == 0, coded.substr(F.lit(1), size)).otherwise(line), F.when(n % 3 == 0, coded.substr(F.lit(1), size)).otherwise(line)),
+        given(chosen), given(chosen), given(chosen),
+        row(filler, F.concat(key, sign, F.lit('"'), phrase, F.lit('"')), phrase),
+    )
+    plainly = row(F.concat_ws(" ", filler, wrong["before"]), wrong["c"], wrong["c"])
+    said = pick(
+        40, "required", "string", "missing", "optional", "invalid", "disabled", "default", "nothing", "important", "between",
+        "everyone", "getpass.getpass()", "os.environ['TOKEN']", "request.headers.get('x')", "self.password", "${DB_PASSWORD}",
+        "<password>", "{{ vault_pass }}", "process.env.SECRET", "config.secret", "get_token(user)", "settings.API_KEY", "********", "xxxxxxxx",
+        "Enter your password", "Please enter the token", "must not be empty", "Bearer", "secretRef", "params[:token]",
+    )
+    said = kept("said", said)
+    measured = pick(41, "token_count", "max_tokens", "password_length", "token_url", "auth_type", "secret_name", "token_expiry", "key_file", "auth_version")
+    measure = pick(42, "128000", "100000", "https://example.com/oauth/token", "oauth2-client", "production/db-secret", "3600000", "/etc/app/key.pem", "2024-01-01")
+    camel = F.concat(F.initcap(word(7)), F.initcap(word(8)), F.substring(digits, 1, 2), F.initcap(word(9)))
+    camel = kept("camel", camel)
+    loose = coded.substr(F.lit(1), size)
+    harmless = F.array(
+        plainly, plainly, plainly, plainly,
+        row(filler, F.concat(camel, pick(43, "", ",", "()", ".")), camel),
+        row(filler, F.concat(F.lit("data:image/png;base64,"), line), line),
+        row(filler, loose, loose),
+        row(pick(44, "BEGIN CERTIFICATE-----", "ssh-rsa", "integrity", ""), line, line),
+        row(earlier, line, line),
+        row(filler, F.concat(F.lit("https://youtu.be/watch?v="), plain.substr(1, 18)), plain.substr(1, 18)),
+        row(filler, F.concat(key, pick(45, "", " "), sign, pick(46, "", " "), said), said),
+        row(filler, F.concat(key, sign, F.lit(" "), quote, said, quote), said),
+        row(filler, F.concat(measured, pick(45, "", " "), pick(47, "=", ":"), F.lit(" "), measure), measure),
+    )
+    measured = kept("measured", measured)
+    measure = kept("measure", measure)
+    real = n % 2 == 0
+    any_of = lambda salt, items, count: F.element_at(items, (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(count)) + 1).cast("int"))
+    # In parts: Spark cannot compile all kinds of findings in one piece.
+    staged = materialize(staged)
+    staged = materialize(
+        staged.where(real).withColumn("made", any_of(48, leaks, 12))
+        .unionByName(staged.where(~real).withColumn("made", any_of(49, harmless, 13)))
+    )
+    made = F.col("made")
+    before, holder, candidate = made["before"], made["holder"], made["c"]
+    return materialize(
+        staged.select(
             pick(12, "src0", "web", "src/app.py", "config/settings.yaml", ".env", "docs/guide.md", "test/data.json", "package-lock.json").alias("path"),
             before.alias("before"),
             pick(13, "and the", "of it", "", "en de", "; next line").alias("after"),
@@ -181,7 +371,7 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
             candidate.alias("candidate"),
             F.when(real, 1.0).otherwise(0.0).alias("label"),
         )
-        .where(F.length("candidate") >= SHORTEST)
+        .where(F.length("candidate") >= VALUE)
     )
 
 
