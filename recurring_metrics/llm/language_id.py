@@ -204,11 +204,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 def keep_known(
     docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0
 ) -> DataFrame:
-    """The rows of `docs` whose language is recognised (with a score over `min_score`)."""
+    """The rows of `docs` whose language is recognised (with a score over `min_score`).
+
+    Without a model no language can be told: then only null texts and those
+    without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared.value is None:
+                keep = [bool(_LETTER.search(t.as_py() or "")) for t in batch[text_col]]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+                continue
             judged = [_judge(shared.value, t.as_py()) for t in batch[text_col]]
             keep = [lang != UNKNOWN and score > min_score for lang, score in judged]
             yield batch.filter(pa.array(keep, pa.bool_()))

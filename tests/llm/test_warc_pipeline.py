@@ -103,3 +103,9 @@ def test_query(spark, key):
     verdict, _, rows = check_queries.compare(spark, connection, SMALL, key)
     assert verdict in ("ok", "rows only") and (rows > 0 or key == "op8_secret_forest")
     assert isinstance(connection, duckdb.DuckDBPyConnection)
+
+
+def test_language_stage_without_labels(spark, table):
+    docs = table((1, prose(1)), (2, "12 34 !!"), (3, None), (4, ""), (5, "é"))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
