@@ -9,7 +9,8 @@ without a common band with a probability under one in a million.
 
 Groups may be huge, so pairs are never listed in full:
 
-1. Texts with equal shingle sets become one class; only representatives go on.
+1. Texts with equal shingle sets (by a 256-bit digest) become one class; only
+   representatives go on.
 2. In each bucket of a band, members meet only the smallest one (a star). Each takes its
    best-looking star centre, and those pairs are confirmed.
 3. Only buckets that still hold several components go on. Their members meet in blocks
@@ -22,6 +23,7 @@ Groups may be huge, so pairs are never listed in full:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -76,22 +78,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {
                     "id": batch["id"],
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "sum": pa.array([_word(s.sum(dtype=np.uint64)) for s in sets], pa.int64()),
-                    "mixed": pa.array(
-                        [_word(np.bitwise_xor.reduce(mix(s + np.uint64(7)))) if len(s) else 0 for s in sets],
-                        pa.int64(),
-                    ),
+                    "digest": pa.array([blake2b(s.tobytes(), digest_size=32).digest() for s in sets], pa.binary()),
                     "sig": pa.array([None if p is None else packed[p] for p in places], pa.list_(pa.int64())),
                     "bands": pa.array([None if p is None else keys[p] for p in places], pa.list_(pa.int64())),
                 }
             )
 
 
-def _word(x: np.uint64) -> int:
-    return int(np.uint64(x).astype(np.int64))
-
-
-SKETCH = "id long, n_shingles long, sum long, mixed long, sig array<long>, bands array<long>"
+SKETCH = "id long, n_shingles long, digest binary, sig array<long>, bands array<long>"
 
 
 def estimated(left: str, right: str) -> Column:
@@ -317,8 +311,7 @@ def near_duplicates(
     raw = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     sketch = materialize(raw.mapInArrow(_sketch, SKETCH))
     known = sketch.where("id IS NOT NULL AND n_shingles > 0")
-    same = ["n_shingles", "sum", "mixed"]
-    classes = materialize(known.groupBy(*same).agg(F.min("id").alias("rep")))
+    classes = materialize(known.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = materialize(
         known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
         .select("id", "n_shingles", "sig", "bands")
@@ -358,13 +351,18 @@ def near_duplicates(
         groups = components(links.union(found))
 
     of_class = classes.join(groups, classes["rep"] == groups["id"], "left").select(
-        *same, F.coalesce("component", "rep").alias("component_id")
+        "digest", F.coalesce("component", "rep").alias("component_id")
+    )
+    # Texts without shingles are a class of no use: they pass by the join.
+    worded = sketch.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.col("component_id"))
+    out = worded.select("id", "n_shingles", component.alias("component_id")).union(
+        sketch.where("n_shingles = 0").select("id", "n_shingles", "id")
     )
-    out = sketch.select("id", *same).join(of_class, same, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    component = F.col("component_id")
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
-        component.alias("component_id"),
+        "component_id",
         (F.coalesce(component == F.col("id"), F.lit(True))).alias("kept"),
     )

@@ -1,4 +1,7 @@
-"""Token ids of many texts at once: cut into pieces, encode each distinct piece once."""
+"""Token ids of many texts at once: cut into pieces, encode each distinct piece once.
+
+Pieces count as equal when their code points are; hashes only find them.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +11,21 @@ import numpy as np
 import pandas as pd
 
 from recurring_metrics.llm.pretoken import BLANK, STOP, classes, code_points, starts
-from recurring_metrics.llm.shingles import _powers, mix
+from recurring_metrics.llm.shingles import MOVE, SIGN, mix
 
 # (code points, begins, ends) -> (ids, first, size)
 Encoder = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-MOST = 400_000
-_POWERS = _powers(1024)
+MOST, MOST_CODES = 400_000, 8_000_000
 
 
 def piece_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every piece codes[begin:end]; the pieces cover the array in order."""
-    global _POWERS
+    """A 64-bit hash of every piece codes[begin:end]; the pieces cover the array in order.
+
+    Every code point is mixed with its place before the sum is taken.
+    """
     length = end - begin
-    if len(length) and int(length.max()) > len(_POWERS):
-        _POWERS = _powers(int(length.max()))
-    place = np.arange(len(codes)) - np.repeat(begin, length)
-    sums = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _POWERS[place], begin)
+    place = (np.arange(len(codes)) - np.repeat(begin, length)).astype(np.uint64)
+    sums = np.add.reduceat(mix((codes.astype(np.uint64) + np.uint64(1)) * SIGN + place * MOVE), begin)
     return mix(sums ^ (length.astype(np.uint64) << np.uint64(40)))
 
 
@@ -41,48 +43,101 @@ def gathered(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - out, size) + np.arange(int(size.sum()))
 
 
+def same_codes(
+    a: np.ndarray, a_first: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_size: np.ndarray
+) -> np.ndarray:
+    """Whether piece i of a and piece i of b have the same code points; pieces are not empty."""
+    same = a_size == b_size
+    at = np.flatnonzero(same)
+    if len(at):
+        size = a_size[at]
+        unlike = a[gathered(a_first[at], size)] != b[gathered(b_first[at], size)]
+        same[at] = ~np.logical_or.reduceat(unlike, np.cumsum(size) - size)
+    return same
+
+
+class Known:
+    """Numbers for the distinct pieces met so far, from 0 on.
+
+    Pieces are looked up by hash and compared by code points. A piece whose hash
+    belongs to another one gets a number each time it is met.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.codes = np.empty(0, np.uint32)
+
+    def full(self) -> bool:
+        return len(self.size) > MOST or len(self.codes) > MOST_CODES
+
+    def numbers(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every piece codes[begin:end], and the places of the pieces that got a new one, in order."""
+        hashes, where, inverse = distinct(piece_hashes(codes, begin, end))
+        length = end - begin
+        head = where[inverse]
+        odd = np.flatnonzero(~same_codes(codes, begin, length, codes, begin[head], length[head]))
+        if len(odd):
+            # Unequal pieces of one hash: classes of their own.
+            own: dict[bytes, int] = {}
+            for i in odd.tolist():
+                inverse[i] = own.setdefault(codes[begin[i] : end[i]].tobytes(), len(where) + len(own))
+            extra, place = np.unique(inverse[odd], return_index=True)
+            where, hashes = np.append(where, odd[place]), np.append(hashes, hashes[inverse[head[odd[place]]]])
+        at = np.searchsorted(self.hashes, hashes)
+        there = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        there[inside] = self.hashes[at[inside]] == hashes[inside]
+        numbers = np.full(len(hashes), -1, dtype=np.int64)
+        hit = np.flatnonzero(there)
+        if len(hit):
+            old, piece = self.number[at[hit]], where[hit]
+            same = same_codes(codes, begin[piece], length[piece], self.codes, self.first[old], self.size[old])
+            numbers[hit[same]] = old[same]
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            new = new[np.argsort(hashes[new], kind="stable")]
+            numbers[new] = len(self.size) + np.arange(len(new))
+            size = length[where[new]]
+            self.first = np.append(self.first, len(self.codes) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.codes = np.append(self.codes, codes[gathered(begin[where[new]], size)].astype(np.uint32))
+            # A hash finds one piece only.
+            fresh = new[~there[new] & np.append(True, hashes[new][1:] != hashes[new][:-1])]
+            self.number = np.insert(self.number, at[fresh], numbers[fresh])
+            self.hashes = np.insert(self.hashes, at[fresh], hashes[fresh])
+        return numbers[inverse], where[new]
+
+
 class PieceTable:
-    """Ids of the pieces met so far, by hash; it starts anew when it holds MOST pieces.
+    """Ids of the pieces met so far; it starts anew when the pieces are too many.
 
     `encode` takes code points and the bounds of distinct pieces in them; it
     returns ids, and where each piece's ids begin and how many they are.
     """
 
     def __init__(self, encode: Encoder):
-        self.encode = encode
+        self.encode, self.known = encode, Known()
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.row = np.empty(0, np.int64)
+        self.known.clear()
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
 
-    def rows(self, hashes: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The table row of each of the distinct hashes of pieces codes[begin:end]."""
-        if len(self.known) > MOST:
+    def encode_codes(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each piece has."""
+        if self.known.full():
             self.clear()
-        at = np.searchsorted(self.known, hashes)
-        old = np.zeros(len(hashes), dtype=bool)
-        inside = at < len(self.known)
-        old[inside] = self.known[at[inside]] == hashes[inside]
-        new = np.flatnonzero(~old)
+        row, new = self.known.numbers(codes, begin, end)
         if len(new):
-            new = new[np.argsort(hashes[new])]
             ids, first, size = self.encode(codes, begin[new], end[new])
-            rows = len(self.first) + np.arange(len(new))
             self.first = np.concatenate((self.first, len(self.ids) + first))
             self.size = np.concatenate((self.size, size))
             self.ids = np.concatenate((self.ids, ids))
-            self.known = np.insert(self.known, at[new], hashes[new])
-            self.row = np.insert(self.row, at[new], rows)
-            at = np.searchsorted(self.known, hashes)
-        return self.row[at]
-
-    def encode_codes(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, and how many each piece has."""
-        hashes, where, inverse = distinct(piece_hashes(codes, begin, end))
-        row = self.rows(hashes, codes, begin[where], end[where])[inverse]
         count = self.size[row]
         return self.ids[gathered(self.first[row], count)], count
 

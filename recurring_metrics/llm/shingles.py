@@ -2,7 +2,8 @@
 
 Words are the runs between white space, with A-Z lower-cased. A shingle is `width`
 words in a row; a text with fewer words is one shingle of all of them. Shingles are
-64-bit hashes of the words' bytes.
+64-bit hashes of the words' bytes: each byte is mixed with its place before a word's sum is
+taken, and each word is mixed into the shingle in turn.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+# Odd factors of a sign and of its place in a word.
+SIGN, MOVE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,15 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POWERS = _powers(256)
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of a byte array, window by window."""
     hashes, firsts, at = [], [], 0
@@ -57,23 +50,16 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
     space = _SPACE[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     length = last - first
-    if (longest := int(length.max())) > len(_POWERS):
-        powers = _powers(longest)
-        if longest < 1 << 16:
-            _POWERS = powers
-    else:
-        powers = _POWERS
-    letters = _LOWER[data[~space]].astype(np.uint64) + np.uint64(1)
+    letters = (_LOWER[data[~space]].astype(np.uint64) + np.uint64(1)) * SIGN
     begin = np.concatenate(([0], np.cumsum(length)[:-1]))
     place = np.arange(len(letters)) - np.repeat(begin, length)
-    sums = np.add.reduceat(letters * powers[place], begin)
+    sums = np.add.reduceat(mix(letters + place.astype(np.uint64) * MOVE), begin)
     return mix(sums ^ length.astype(np.uint64)), first
 
 
@@ -83,19 +69,19 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     words, first = word_hashes(data)
     bound = np.concatenate(([0], np.searchsorted(first, ends)))
-    factors = _powers(width + 1)[1:]
     sums = np.zeros(max(len(words) - width + 1, 0), dtype=np.uint64)
     for k in range(width):
-        sums += words[k : k + len(sums)] * factors[k]
-    sums = mix(sums)
+        sums = mix(sums * SIGN + words[k : k + len(sums)])
     out = []
     for lo, hi in zip(bound[:-1], bound[1:]):
         n = hi - lo
         if n >= width:
             out.append(np.unique(sums[lo : hi - width + 1]))
         elif n:
-            short = (words[lo:hi] * factors[:n]).sum(dtype=np.uint64) + np.uint64(n)
-            out.append(mix(np.array([short], dtype=np.uint64)))
+            short = np.array([n], dtype=np.uint64)
+            for k in range(lo, hi):
+                short = mix(short * SIGN + words[k])
+            out.append(short)
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurring_metrics.llm.common import column, slices, tokenizer_path
-from recurring_metrics.llm.pieces import distinct, piece_hashes
+from recurring_metrics.llm.pieces import Known
 from recurring_metrics.llm.pretoken import BLANK, LETTER, NUMBER, SPACE, STOP, classes, code_points
 from recurring_metrics.llm.vocabulary import byte_level
 
@@ -227,11 +227,11 @@ def load(path: str) -> tuple[CountTransducer, list[str]]:
 
 
 class _Counts:
-    """Counts of the pieces met so far, by hash."""
+    """Counts of the pieces met so far."""
 
     def __init__(self, path: str):
         self.machine, self.special = load(path)
-        self.known, self.value = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.known, self.value = Known(), np.empty(0, np.int32)
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
         codes, ends = code_points(texts)
@@ -239,24 +239,18 @@ class _Counts:
             return np.zeros(len(texts), np.int64)
         begin = np.flatnonzero(piece_starts(codes))
         end = np.append(begin[1:], len(codes))
-        hashes, where, inverse = distinct(piece_hashes(codes, begin, end))
-        if len(self.known) > MOST:
-            self.known, self.value = np.empty(0, np.uint64), np.empty(0, np.int32)
-        at = np.searchsorted(self.known, hashes)
-        old = np.zeros(len(hashes), dtype=bool)
-        old[at < len(self.known)] = self.known[at[at < len(self.known)]] == hashes[at < len(self.known)]
-        new = np.flatnonzero(~old)
-        new = new[np.argsort(hashes[new])]
+        if self.known.full():
+            self.known.clear()
+            self.value = np.empty(0, np.int32)
+        number, new = self.known.numbers(codes, begin, end)
         flat, count = codes.astype("<u4"), self.machine.count
         made = [
             0 if codes[begin[k]] == STOP else count(flat[begin[k] : end[k]].tobytes().decode("utf-32-le").encode())
-            for k in where[new].tolist()
+            for k in new.tolist()
         ]
-        self.known = np.insert(self.known, at[new], hashes[new])
-        self.value = np.insert(self.value, at[new], made)
-        counts = self.value[np.searchsorted(self.known, hashes)][inverse]
+        self.value = np.append(self.value, np.array(made, dtype=np.int32))
         owner = np.searchsorted(ends, begin, side="right")
-        return np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)[: len(texts)]
+        return np.bincount(owner, weights=self.value[number], minlength=len(texts)).astype(np.int64)[: len(texts)]
 
     def of(self, texts: list[str]) -> list[int]:
         """Counts of whole texts; a special string is one token and divides its text."""
