@@ -3,7 +3,7 @@
 Texts are counted in hashed pairs and triples of their bytes (lower-cased, with digits and
 signs blanked). A logistic regression chooses the family; linear support vector machines,
 one for each pair of languages of a family, then vote. Both are Spark ML models fitted on
-at most about `per_language` labelled texts of each language. As all models are linear in
+at most `per_language` distinct labelled texts of each language. As all models are linear in
 the relative counts, a text's scores are the means of the weights of its grams; whole texts
 are scored in numpy, window by window.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurring_metrics.llm.common import column, slices
@@ -105,23 +105,32 @@ def fit(
 ) -> Model | None:
     """Learns from rows with a language and a text; None if there are none.
 
-    Of a language with more than `per_language` rows, about that many are
-    taken, by a hash of the text.
+    Of a language with more than `per_language` distinct texts, the
+    `per_language` first ones in the order of a hash are taken, each once, however
+    often it repeats. Every language with a text has at least one in the sample.
     """
     rows = labelled.select(column(lang_col).alias("lang"), column(text_col).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    by_mark = Window.partitionBy("lang").orderBy("mark")
+    chosen = (
+        marked.select("lang", "mark").distinct()
+        .withColumn("place", F.row_number().over(by_mark))
+        .where(F.col("place") <= per_language)
+        .select("lang", "mark")
+    )
+    # Bounded by `per_language` rows of each language; copies of a text go before they meet.
+    taken = marked.join(chosen, ["lang", "mark"]).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    counted = materialize(taken.select("lang", "text").mapInArrow(_counts, "lang string, shares array<double>"))
+    data = counted.coalesce(2).select("lang", array_to_vector("shares").alias("features")).persist()
+    present = [r["lang"] for r in data.select("lang").distinct().collect()]
+    if not present:
+        data.unpersist()
         return None
-    shares = {k: min(1.0, per_language / n) for k, n in counts.items()}
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < bound * 1_000_003)
-    data = materialize(taken.mapInArrow(_counts, "lang string, shares array<double>")).coalesce(2)
-    data = data.select("lang", array_to_vector("shares").alias("features")).persist()
 
     by_family: dict[str, list[str]] = {}
-    for lang in sorted(counts):
+    for lang in sorted(present):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
     names = sorted(by_family)
     columns, constants, pairs = [], [], []

@@ -220,3 +220,24 @@ def forest_of_all(spark):
 )
 def test_harmless_kinds(table, forest_of_all, text):
     assert secret_forest.scan(table((1, text)), forest_of_all).collect() == []
+
+
+def test_a_text_that_repeats_is_learned_from_once(spark, table):
+    english = [speech("en", i) for i in range(30)]
+    rows = [(i, english[0], "en") for i in range(3000)] + [(5000 + i, t, "en") for i, t in enumerate(english)]
+    rows += [(10_000 + i, speech("de", i), "de") for i in range(50)] + [(20_000, "zzq xqz zqx " * 8, "zz")]
+    docs = table(*rows)
+    model = language_id.fit(docs, per_language=20)
+    assert sorted(x for names in model.languages.values() for x in names) == ["de", "en", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    right = sum(got[d] == lang for d, _, lang in rows)
+    assert right >= 0.99 * len(rows) and got[0] == "en"
+
+
+def test_sample_is_bounded(spark, table, monkeypatch):
+    taken = []
+    real = language_id.materialize
+    monkeypatch.setattr(language_id, "materialize", lambda df: (lambda out: (taken.append(out.count()), out)[1])(real(df)))
+    docs = table(*[(i, speech("en", i), "en") for i in range(90)], *[(200 + i, speech("de", 0), "de") for i in range(90)])
+    language_id.fit(docs, per_language=25)
+    assert taken == [26]
