@@ -14,6 +14,7 @@ from recurring_metrics.llm import (
     exact_dedup,
     language_id,
     license_scan,
+    merkle_manifest,
     minhash_dedup,
     packing,
     secret_forest,
@@ -95,6 +96,18 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its leaf, its proof and whether the text that arrived still fits."""
+    docs = _table(spark, folder, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    made = merkle_manifest.manifest_with_check(docs, {"text": F.when(chosen, lowered).otherwise(F.col("text"))})
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest().alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_itq": op1_embedding_itq,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,9 +119,82 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_forest": op8_secret_forest,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_license_scan": op10_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
+# Levels that cover more rows and languages than the sample tables have.
+LEAF_LEVELS, NAME_LEVELS = 8, 3
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit: a byte is followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}::BIGINT[]), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+        "ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+    )
+
+
+def _manifest_sql() -> str:
+    """Levels of the language trees (t) and of the tree of languages (u), then proofs and folds level by level."""
+
+    def field(name: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({name} AS VARCHAR)) AS VARCHAR) || ':' || CAST({name} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def up(name: str, level: int) -> str:
+        return f"""{name}{level + 1} AS (
+            SELECT part, place // 8 AS place, any_value((total + 7) // 8) AS total,
+                   CASE WHEN any_value(total) > 1 THEN sha256(string_agg(node, '' ORDER BY place)) ELSE any_value(node) END AS node
+            FROM {name}{level} GROUP BY part, place // 8)"""
+
+    def way(name: str, level: int) -> str:
+        """Left and right siblings at a level; NULL once the tree has ended."""
+        return f"""w_{name}{level} AS (
+            SELECT part, place, total > 1 AS goes_on,
+                   coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name}{level} WINDOW r AS (PARTITION BY part, place // 8 ORDER BY place))"""
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS part, {leaf("text")} AS node,
+                   CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS seen
+            FROM documents)""",
+        """numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, node) - 1 AS place,
+                   count(*) OVER (PARTITION BY part) AS total FROM leaves)""",
+        "t0 AS (SELECT part, place, total, node FROM numbered)",
+        *[up("t", k) for k in range(LEAF_LEVELS)],
+        f"""u0 AS (SELECT '' AS part, part AS name, node, row_number() OVER (ORDER BY part) - 1 AS place,
+                          count(*) OVER () AS total FROM t{LEAF_LEVELS})""",
+        *[up("u", k) for k in range(NAME_LEVELS)],
+        *[way("t", k) for k in range(LEAF_LEVELS)],
+        *[way("u", k) for k in range(NAME_LEVELS)],
+        f"""f0 AS (
+            SELECT n.doc_id, n.part, n.place, n.node AS leaf, n.seen AS folded, '' AS proof, top.node AS subroot,
+                   root.node AS root, u0.place AS name_place
+            FROM numbered n JOIN t{LEAF_LEVELS} top USING (part) JOIN u0 ON u0.name = n.part CROSS JOIN u{NAME_LEVELS} root)""",
+    ]
+    steps = [("t", k, "f.part", "f.place") for k in range(LEAF_LEVELS)]
+    steps += [("u", k, "''", "f.name_place") for k in range(NAME_LEVELS)]
+    for i, (name, k, part, place) in enumerate(steps):
+        parts.append(
+            f"""f{i + 1} AS (
+            SELECT f.doc_id, f.part, f.place, f.leaf, f.subroot, f.root, f.name_place,
+                   CASE WHEN w.goes_on THEN sha256(w.l || f.folded || w.r) ELSE f.folded END AS folded,
+                   CASE WHEN w.goes_on THEN f.proof || w.l || w.r ELSE f.proof END AS proof
+            FROM f{i} f JOIN w_{name}{k} w ON w.part = {part} AND w.place = {place} // {8**k})"""
+        )
+    return "WITH " + ", ".join(parts) + f"""
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM f{len(steps)}"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH bodies AS (
@@ -123,6 +209,7 @@ ORACLES: dict[str, str] = {
             FROM bodies)
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256
         FROM ranked""",
+    "op12_merkle_manifest": _manifest_sql(),
     "op1_embedding_itq": """
         WITH RECURSIVE sound AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
