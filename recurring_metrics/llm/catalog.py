@@ -17,6 +17,7 @@ from recurring_metrics.llm import (
     merkle_manifest,
     minhash_dedup,
     packing,
+    prefix_trie,
     secret_forest,
     token_counts,
     warc_dict,
@@ -108,6 +109,11 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_itq": op1_embedding_itq,
     "op2_exact_dedup": op2_exact_dedup,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_license_scan": op10_license_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -210,6 +217,44 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256
         FROM ranked""",
     "op12_merkle_manifest": _manifest_sql(),
+    "op13_prefix_trie": rf"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(text, '') AS text,
+                   substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || strlen(coalesce(text, '')) || ':'
+                                 || coalesce(text, '')), 1, 32) AS name
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT conv_id, name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) AS n
+            FROM said),
+        convs AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS head, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM own)),
+        built AS (
+            SELECT c.conv_id, 0 AS part, n, name, words FROM convs c JOIN own ON own.conv_id = c.head AND n <= h
+            UNION ALL
+            SELECT c.conv_id, 1, n, name, words FROM convs c JOIN own ON own.conv_id = c.conv_id AND n > h),
+        paths AS (
+            SELECT conv_id, words, row_number() OVER w AS depth, string_agg(name, '') OVER w AS path
+            FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)
+            UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        members AS (
+            SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+        nodes AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own_saved,
+                   coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended
+            FROM members GROUP BY path, depth),
+        children AS (
+            SELECT substr(path, 1, (depth - 1) * 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        counted AS (
+            SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+        sums AS (
+            SELECT substr(path, 1, k * 32) AS path, sum(own_saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+            FROM (SELECT path, own_saved, n_children, unnest(range(depth + 1)) AS k FROM counted) GROUP BY 1)
+        SELECT c.conv_id, c.depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(c.ended) AS ends_sha256
+        FROM counted c JOIN sums USING (path)
+        LEFT JOIN nodes up ON c.depth > 0 AND up.path = substr(c.path, 1, (c.depth - 1) * 32)""",
     "op1_embedding_itq": """
         WITH RECURSIVE sound AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v

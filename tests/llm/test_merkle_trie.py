@@ -108,3 +108,104 @@ def test_what_arrived(table):
     changed = docs.where("doc_id <> 3").withColumn("text", F.when(F.col("doc_id") == 5, "x").otherwise(F.col("text")))
     got = {r["doc_id"]: r["verified"] for r in merkle_manifest.manifest(docs, arrived=changed).collect()}
     assert {d for d, ok in got.items() if not ok} == {3, 5} and len(got) == 20
+
+
+def plain_trie(rows, every=20, most=3):
+    import re
+
+    own = {}
+    for r in rows:
+        if r["conv_id"] is not None:
+            own.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    for c, said in own.items():
+        named = [(t, sha(f"{len(a.encode())}:{a}{len(b.encode())}:{b}")[:32], a, b) for t, a, b in said]
+        own[c] = [x[2:] for x in sorted(named, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
+    nodes = {}
+    for c, said in own.items():
+        h = binascii.crc32(str(c).encode()) % (most + 1)
+        parent = c - (c - every * int(c / every))
+        built = own.get(parent, [])[:h] + said[h:]
+        for d in range(len(built) + 1):
+            nodes.setdefault(tuple(built[:d]), [[], []])
+            nodes[tuple(built[:d])][0].append(c)
+        nodes[tuple(built)][1].append(c)
+    words = {k: len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) if k else 0 for k in nodes}
+    children = {k: [x for x in nodes if len(x) == len(k) + 1 and x[:-1] == k] for k in nodes}
+
+    def below(k):
+        return [k] + [y for x in children[k] for y in below(x)]
+
+    out = []
+    for k, (members, ends) in nodes.items():
+        sub = below(k)
+        out.append(
+            (
+                min(members), len(k), min(nodes[k[:-1]][0]) if k else None, len(members), len(children[k]),
+                sum(not children[x] for x in sub), sum((len(nodes[x][0]) - 1) * words[x] for x in sub),
+                sha(",".join(map(str, sorted(ends)))),
+            )
+        )
+    return out
+
+
+CONVS = "conv_id long, turn long, role string, text string, node string, kind int"
+
+
+def conversation_rows(seed, count, hot=False):
+    import random
+
+    chooser = random.Random(seed)
+    rows = []
+    for c in range(count):
+        n = chooser.randint(0, 6)
+        for t in range(n):
+            text = "same start" if hot and (t < 2 or c % 3 == 0) else f"w{chooser.randrange(3)} x y"[: chooser.randint(2, 6)]
+            rows.append((c * 7 - 30, t, ["user", "assistant"][t % 2], text, "n", 1))
+    chooser.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, hot, shard", [(1, False, 7), (2, True, 5), (3, True, 1), (4, False, 10_000), (5, True, 40)])
+def test_trie(spark, seed, hot, shard):
+    from recurring_metrics.llm import prefix_trie
+
+    docs = spark.createDataFrame(conversation_rows(seed, 60, hot), CONVS)
+    got = [tuple(r) for r in prefix_trie.prefix_trie(docs, shard_turns=shard).collect()]
+    assert ordered(got) == ordered(plain_trie(docs.collect()))
+
+
+def test_trie_of_odd_rows(spark):
+    from recurring_metrics.llm import prefix_trie
+
+    rows = [
+        (None, 0, "user", "lost", "", 0), (1, None, None, None, "", 0), (1, 0, "user", "", "", 0), (2, 0, "", "", "", 0),
+        (3, 0, "user", "x " * 50_000, "", 0), (3, 0, "user", "x " * 50_000, "", 0), (4, 2, "user", "é\x0b中 a", "", 0),
+        (4, 2, "assistant", "tie", "", 0), (0, 0, "user", "head", "", 0), (-7, 1, "user", "head", "", 0),
+    ]
+    docs = spark.createDataFrame(rows, CONVS)
+    assert ordered(tuple(r) for r in prefix_trie.prefix_trie(docs).collect()) == ordered(plain_trie(docs.collect()))
+    assert prefix_trie.prefix_trie(docs.where("false")).count() == 0
+
+
+def test_parens():
+    import random
+
+    import numpy as np
+
+    from recurring_metrics.llm.prefix_trie import Parens
+
+    chooser = random.Random(5)
+    signs, depth = [1], 1
+    for _ in range(5000):
+        up = depth == 1 or chooser.random() < (0.7 if len(signs) % 900 < 450 else 0.3)
+        signs.append(1 if up else 0)
+        depth += 1 if up else -1
+    signs += [0] * depth
+    stack, close = [], {}
+    for i, s in enumerate(signs):
+        if s:
+            stack.append(i)
+        else:
+            close[stack.pop()] = i
+    at = np.array(sorted(close))
+    assert Parens(np.array(signs, dtype=bool)).findclose(at).tolist() == [close[i] for i in at.tolist()]
