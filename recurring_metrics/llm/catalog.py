@@ -20,6 +20,7 @@ from recurring_metrics.llm import (
     prefix_trie,
     secret_forest,
     token_counts,
+    toxicity,
     warc_dict,
 )
 from recurring_metrics.sources.io import scratch_path
@@ -97,6 +98,13 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of the labelled ones."""
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its leaf, its proof and whether the text that arrived still fits."""
     docs = _table(spark, folder, "documents")
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_forest": op8_secret_forest,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_license_scan": op10_license_scan,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
