@@ -1,7 +1,8 @@
 """Secrets in texts: candidate strings by pattern, judged by a random forest.
 
 A candidate is a run of at least `SHORTEST` letters, digits and `+/_-=.` with a letter
-and a digit in it; or the whole value after a credential keyword and a sign, from `VALUE`
+and a digit in it, or of letters alone with a credential keyword in one of the three words
+before; or the whole value after a credential keyword and a sign, from `VALUE`
 characters on, of any kind (quoted values with their spaces); or a line of a private key
 block; or the password of an address. Shorter strings without such a place are not seen.
 The forest sees its length, its changes between kinds of characters,
@@ -16,7 +17,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurring_metrics.llm.common import column
@@ -34,12 +35,13 @@ WORDS = (
     "http https www com org net html json xml yaml utf base content type length width height "
     "color font media static public private local remote server client host port request response"
 ).split()
-KEYWORDS = r"(?i)(api.?key|access.?key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private.?key|signing)"
+NAMES = r"api.?key|access.?key|secret|token|passw|passphrase|passcode|(?<![a-z])pass(?![a-z])|(?<![a-z])pin(?![a-z])|pwd|credential|auth|bearer|private.?key|signing"
+KEYWORDS = rf"(?i)({NAMES})"
 # A credential keyword, what may end its name, a sign, and the value.
-KEY_NAME = r"""(?i:api.?key|access.?key|secret|token|passw|passphrase|pwd|credential|auth|bearer|private.?key|signing)[\w.\-]{0,40}["'`]?\]?\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}(?:(?i:bearer|basic)\s{1,3})?"""
-ASSIGNED = KEY_NAME + rf"""(?:"[^"\r\n]{{{VALUE},200}}"|'[^'\r\n]{{{VALUE},200}}'|`[^`\r\n]{{{VALUE},200}}`|[^\s"'`]{{{VALUE},}})"""
-ADDRESS = rf"""[A-Za-z][A-Za-z0-9+.\-]{{1,20}}://[^\s/:@"'`<>]{{0,80}}:[^\s/@"'`<>]{{{VALUE},200}}@"""
-KEY_HEAD, KEY_END = "BEGIN PRIVATE KEY-----", "-----END"
+KEY_NAME = rf"""(?i:{NAMES})[\w.\-]{{0,40}}["'`]?\]?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}}(?:(?i:bearer|basic)\s{{1,3}})?"""
+ASSIGNED = KEY_NAME + rf"""(?:"[^"\r\n]{{{VALUE},}}"|'[^'\r\n]{{{VALUE},}}'|`[^`\r\n]{{{VALUE},}}`|[^\s"'`]{{{VALUE},}})"""
+ADDRESS = rf"""[A-Za-z][A-Za-z0-9+.\-]{{1,20}}://[^\s/:@"'`<>]{{0,80}}:[^\s/@"'`<>]{{{VALUE},}}@"""
+KEY_HEAD, KEY_END, KEY_LINE = "BEGIN PRIVATE KEY-----", "-----END", r"^(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2})$"
 HARMLESS = r"(?i)(commit|revision|sha\d*|md5|checksum|digest|hash|uuid|guid|etag|integrity|example|sample|dummy|placeholder|https?:|href|src=|version)"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "signs", "changes", "kind_changes", "distinct", "hex",
@@ -87,10 +89,10 @@ def _values(pattern: str, head: str, tail: str) -> Column:
 def find_candidates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source"
 ) -> DataFrame:
-    """(id, word, path, before, after, holder, candidate), one row per candidate in a text.
+    """(id, word, last, path, before, after, holder, candidate), one row per candidate in a text.
 
-    `word` is the position of the white-space separated word that holds it (its
-    first, if it has several), `before` and `after` are up to three words on either
+    `word` and `last` are the positions of the white-space separated words that hold
+    its beginning and its end, `before` and `after` are up to three words on either
     side; before a line of a private key they begin with the block's head. A run
     that is part of a whole value is no candidate of its own. Null texts have none.
     """
@@ -106,11 +108,28 @@ def find_candidates(
         _values(ADDRESS, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^:]*:", "@$"),
     )
     words = likely.select("id", "path", F.split("text", r"\s+").alias("words"), given.alias("given"), F.contains("text", F.lit("PRIVATE KEY-----")).alias("keyed"))
-    begins = F.filter(F.transform("words", lambda w, i: F.when(w.contains("KEY-----") & (F.get("words", i - 1) == "PRIVATE"), i)), lambda i: i.isNotNull())
+    def heads(at: Column) -> Column:
+        """A block begins behind `-----BEGIN`, one word or none, `PRIVATE KEY-----`."""
+        return F.get("words", at - 2).endswith("-----BEGIN") | F.get("words", at - 3).endswith("-----BEGIN")
+
+    begins = F.filter(
+        F.transform(
+            "words",
+            lambda w, i: F.when(w.contains("KEY-----") & (F.get("words", i - 1) == "PRIVATE") & heads(i), i),
+        ),
+        lambda i: i.isNotNull(),
+    )
     ends = F.filter(F.transform("words", lambda w, i: F.when(w.contains(KEY_END), i)), lambda i: i.isNotNull())
+    # Without an end, a block ends with the first word that is no line of a key.
+    other = F.filter(F.transform("words", lambda w, i: F.when(~w.rlike(KEY_LINE), i)), lambda i: i.isNotNull())
     spans = F.transform(
         begins,
-        lambda b: F.struct(b.alias("a"), F.coalesce(F.array_min(F.filter(ends, lambda e: e >= b)), F.size("words")).alias("z")),
+        lambda b: F.struct(
+            b.alias("a"),
+            F.coalesce(
+                F.array_min(F.filter(ends, lambda e: e > b)), F.array_min(F.filter(other, lambda e: e > b)), F.size("words")
+            ).alias("z"),
+        ),
     )
     words = words.withColumn("blocks", F.when(F.col("keyed"), spans).otherwise(F.array().cast("array<struct<a:int,z:int>>")))
 
@@ -122,11 +141,19 @@ def find_candidates(
         lambda s: (F.length(s["holder"]) >= SHORTEST) | s["block"],
     )
 
+    def named(at: Column) -> Column:
+        """A credential keyword in one of the three words before."""
+        around = F.slice("words", F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3)))
+        return F.exists(around, lambda w: w.rlike(KEYWORDS))
+
     def runs(at: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(at["holder"], F.lit(RUN), F.lit(0)))
         line = F.regexp_extract(at["holder"], r"^[A-Za-z0-9+/=]{4,}$", 0)
         trimmed = F.transform(found, lambda c: F.regexp_replace(c, r"^[A-Za-z_.\-]{1,24}=|^[.\-_/=]+|[.\-_]+$", ""))
-        sound = F.filter(trimmed, lambda c: (F.length(c) >= SHORTEST) & c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
+        sound = F.filter(
+            trimmed,
+            lambda c: (F.length(c) >= SHORTEST) & c.rlike("[A-Za-z]") & (c.rlike("[0-9]") | (c.rlike("^[A-Za-z]+$") & named(at["word"]))),
+        )
         chosen = F.when(at["block"] & (line != ""), F.array(line)).otherwise(sound)
         return F.transform(
             chosen,
@@ -146,7 +173,7 @@ def find_candidates(
     first, last = F.col("at.before_word"), F.col("at.last")
     before = F.array_join(F.slice("words", F.greatest(first - 2, F.lit(1)), F.least(first, F.lit(3))), " ")
     return placed.select(
-        "id", F.col("at.word").alias("word"), "path",
+        "id", F.col("at.word").alias("word"), last.alias("last"), "path",
         F.when(in_block(F.col("at.word")), F.concat(F.lit(f"-----{KEY_HEAD} "), before)).otherwise(before).alias("before"),
         F.array_join(F.slice("words", last + 2, F.lit(3)), " ").alias("after"),
         F.col("at.holder").alias("holder"), F.col("at.candidate").alias("candidate"),
@@ -315,6 +342,9 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         gap = pick(32, "", " ")
         return row(filler, F.concat(key, gap, sign, gap, quote, c, quote), c)
 
+    spelled = F.concat(F.lower(letters.substr(1, 9)), F.upper(letters.substr(10, 6)), letters.substr(16, 14))
+    said_key = pick(51, "the token is", "api key is", "password was", "secret:", "use token", "with the bearer token")
+    lettered = row(said_key, F.concat(spelled.substr(F.lit(1), size), pick(52, "", ".", ",")), spelled.substr(F.lit(1), size))
     listed = row(pick(33, "use", "it was", "key is", "-", "then export", "of the", "log in with", ""), F.concat(pick(34, "", "", "(", "`"), prefixed, pick(35, "", ",", ".", "")), prefixed)
     keyed = row(spoken, F.when(joined, F.concat(key, sign, quote, secret, quote)).otherwise(F.concat(quote, secret, quote)), secret)
     leaks = F.array(
@@ -323,7 +353,7 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         row(filler, F.concat(scheme, F.lit("://"), noun(23), F.lit(":"), chosen, F.lit("@"), host), chosen),
         row(F.concat(F.lit(f"-----{KEY_HEAD} "), F.when(joined, F.lit("PRIVATE KEY-----")).otherwise(earlier)), F.when(n % 3 == 0, coded.substr(F.lit(1), size)).otherwise(line), F.when(n % 3 == 0, coded.substr(F.lit(1), size)).otherwise(line)),
         given(chosen), given(chosen), given(chosen),
-        row(filler, F.concat(key, sign, F.lit('"'), phrase, F.lit('"')), phrase),
+        row(filler, F.concat(key, sign, F.lit('"'), phrase, F.lit('"')), phrase), lettered,
     )
     plainly = row(F.concat_ws(" ", filler, wrong["before"]), wrong["c"], wrong["c"])
     said = pick(
@@ -333,6 +363,16 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         "Enter your password", "Please enter the token", "must not be empty", "Bearer", "secretRef", "params[:token]",
     )
     said = kept("said", said)
+    prose = pick(54, "server", "first", "restart", "every", "worker", "there", "Install", "afterwards", "here", "base64", "document", "configuration", "replace", "placeholder", "yourkeygoeshere", "Donaudampfschifffahrt")
+    longer = F.element_at(
+        F.array(
+            pick(55, "internationalization", "authenticationServer", "Verantwortlichkeiten", "incomprehensibilities", "acknowledgementsPage"),
+            F.concat(word(7), F.initcap(word(8)), F.initcap(word(9)), F.lit("Handler")), F.concat(word(7), F.lit("under"), word(8), F.lit("heit"), word(9), F.lit("ment")),
+        ),
+        (F.pmod(F.xxhash64(n, F.lit(56)), F.lit(3)) + 1).cast("int"),
+    )
+    longer = kept("longer", longer)
+    prose = kept("prose", prose)
     measured = pick(41, "token_count", "max_tokens", "password_length", "token_url", "auth_type", "secret_name", "token_expiry", "key_file", "auth_version")
     measure = pick(42, "128000", "100000", "https://example.com/oauth/token", "oauth2-client", "production/db-secret", "3600000", "/etc/app/key.pem", "2024-01-01")
     camel = F.concat(F.initcap(word(7)), F.initcap(word(8)), F.substring(digits, 1, 2), F.initcap(word(9)))
@@ -349,6 +389,9 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         row(filler, F.concat(key, pick(45, "", " "), sign, pick(46, "", " "), said), said),
         row(filler, F.concat(key, sign, F.lit(" "), quote, said, quote), said),
         row(filler, F.concat(measured, pick(45, "", " "), pick(47, "=", ":"), F.lit(" "), measure), measure),
+        row(F.concat(F.lit(f"-----{KEY_HEAD} "), pick(53, "Install the", "and then", "your key", "lines of base64")), prose, prose),
+        row(said_key, F.concat(longer, pick(52, "", ".", ",")), longer),
+        row(F.concat_ws(" ", F.lit("END PRIVATE KEY-----"), filler), prose, prose),
     )
     measured = kept("measured", measured)
     measure = kept("measure", measure)
@@ -357,8 +400,8 @@ def sample_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     # In parts: Spark cannot compile all kinds of findings in one piece.
     staged = materialize(staged)
     staged = materialize(
-        staged.where(real).withColumn("made", any_of(48, leaks, 12))
-        .unionByName(staged.where(~real).withColumn("made", any_of(49, harmless, 13)))
+        staged.where(real).withColumn("made", any_of(48, leaks, 13))
+        .unionByName(staged.where(~real).withColumn("made", any_of(49, harmless, 16)))
     )
     made = F.col("made")
     before, holder, candidate = made["before"], made["holder"], made["c"]
@@ -381,6 +424,12 @@ def fit(findings: DataFrame, trees: int = 30, depth: int = 8) -> Model:
     return forest.fit(with_features(findings).select("features", "label"))
 
 
+def judged(found: DataFrame, model: Model, least: float) -> DataFrame:
+    """The candidates that the forest takes for secrets, with their chance."""
+    seen = model.transform(with_features(found)).withColumn("chance", vector_to_array("probability")[1])
+    return seen.where(F.col("chance") >= least)
+
+
 def scan(
     docs: DataFrame,
     model: Model,
@@ -395,27 +444,70 @@ def scan(
     empty and harmless texts give none, nor does an empty table. A null path or
     a table without one counts as a path that says nothing.
     """
-    judged = model.transform(with_features(find_candidates(docs, id_col, text_col, path_col)))
-    chance = vector_to_array("probability")[1]
-    return judged.select(
-        F.col("id").alias(id_col), "word", F.col("candidate").alias("secret"), chance.alias("chance")
-    ).where(F.col("chance") >= least)
+    found = judged(find_candidates(docs, id_col, text_col, path_col), model, least)
+    return found.select(F.col("id").alias(id_col), "word", F.col("candidate").alias("secret"), "chance")
 
 
-def mask(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """`docs` with every secret replaced by a mask; columns and row count stay.
+def mask(
+    docs: DataFrame,
+    model: Model,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path_col: str = "source",
+    least: float = 0.5,
+) -> DataFrame:
+    """`docs` with every secret replaced by a mask where it stands; columns and row count stay.
 
-    If ids repeat, all rows of an id lose the secrets found in any of them. Rows
-    with a null id are masked too.
+    The same string elsewhere, alone or inside other words, stays. Rows of equal id,
+    path and text share their findings; rows with a null id are masked too.
     """
-    found = scan(docs, model, id_col, text_col, path_col).select(F.col(id_col).alias("found_id"), "secret").distinct()
-    per_doc = found.groupBy("found_id").agg(
-        # Longer secrets first: one may hold another.
-        F.sort_array(F.collect_list(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("found_secrets")
+    path = column(path_col).cast("string") if path_col in docs.columns else F.lit("")
+    key = F.sha2(F.concat_ws("\x1f", column(id_col).cast("string"), path, column(text_col)), 256)
+    keyed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), key.alias("row_key"))
+    texts = keyed.select(
+        "row_key", F.col("row").getField(text_col).alias("text"),
+        (F.col("row").getField(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")).alias("path"),
+    )
+    found = judged(find_candidates(texts, "row_key", "text", "path"), model, least)
+    # Places that share a word are one stretch.
+    by_place = Window.partitionBy("id").orderBy("word", "last")
+    until = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("word") <= until, 0).otherwise(1)
+    stretches = (
+        found.select("id", "word", "last", "candidate").distinct()
+        .withColumn("begins", begins)
+        .withColumn("stretch", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy("id", "stretch")
+        .agg(
+            F.min("word").alias("word"), F.max("last").alias("last"),
+            # Longer secrets first: one may hold another.
+            F.sort_array(F.collect_set(F.struct((-F.length("candidate")).alias("n"), F.col("candidate").alias("secret")))).alias("secrets"),
+        )
+    )
+    per_text = stretches.groupBy(F.col("id").alias("found_key")).agg(
+        F.sort_array(F.collect_list(F.struct("word", "last", "secrets"))).alias("places")
     )
-    row = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(id_col).alias("row_id"))
-    joined = row.join(per_doc, F.col("row_id").eqNullSafe(F.col("found_id")), "left")
-    clean = F.when(F.col("found_secrets").isNull(), F.col("row")[text_col]).otherwise(
-        F.aggregate("found_secrets", F.col("row")[text_col], lambda t, s: F.replace(t, s["secret"], F.lit(MASK)))
+    joined = keyed.join(per_text, F.col("row_key") == F.col("found_key"), "left")
+    text = F.col("row")[text_col]
+
+    def masked(state: Column) -> Column:
+        """The words with the white space behind them, stretch by stretch, and what follows the last one."""
+        words, places = state["tokens"], state["places"]
+
+        def upto(at: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(places, k - 1)["last"], F.lit(-1)) + 1
+            clean = F.array_join(F.slice(words, first + 1, at["word"] - first), "")
+            held = F.array_join(F.slice(words, at["word"] + 1, at["last"] - at["word"] + 1), "")
+            return F.concat(clean, F.aggregate(at["secrets"], held, lambda t, x: F.replace(t, x["secret"], F.lit(MASK))))
+
+        tail = F.element_at(places, -1)["last"] + 1
+        rest = F.array_join(F.slice(words, tail + 1, F.greatest(F.size(words) - tail, F.lit(0))), "")
+        return F.concat(F.array_join(F.transform(places, upto), ""), rest)
+
+    tokens = F.zip_with(
+        F.split(text, r"\s+", -1), F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)), lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))
     )
-    return joined.select(*[(clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    # Bound by a transform of one element, so that the words are made once.
+    whole = F.transform(F.array(F.struct(tokens.alias("tokens"), F.col("places").alias("places"))), masked)[0]
+    clean = F.when(F.col("places").isNull(), text).otherwise(whole)
+    return joined.select(*[(clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

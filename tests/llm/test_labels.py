@@ -192,6 +192,9 @@ BLOCK = ["MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj", "Zk
         ("signs", "db_password: 'Winter!42#x$9' # local", ["Winter!42#x$9"]),
         ("letters only", 'password = "dragonwinter"', ["dragonwinter"]),
         ("digits only", 'password = "84736251"', ["84736251"]),
+        ("pass as a name", "DB_PASS=Xy7zQ9! set", ["Xy7zQ9!"]),
+        ("letters after a keyword", "the token is ZkQpWmVbTxRsYdLgHjNcFuEi stored", ["ZkQpWmVbTxRsYdLgHjNcFuEi"]),
+        ("long value", 'password = "' + "aB3$xK9!mQ2&" * 35 + '"', ["aB3$xK9!mQ2&" * 35]),
         ("phrase", 'passphrase="correct horse battery staple"', ["correct horse battery staple"]),
     ],
 )
@@ -222,6 +225,59 @@ def test_harmless_kinds(table, forest_of_all, text):
     assert secret_forest.scan(table((1, text)), forest_of_all).collect() == []
 
 
+PROSE = "Install the server first and then restart every worker so that all of them read the new settings before noon."
+
+
+@pytest.mark.parametrize("kind", ["", "RSA ", "OPENSSH ", "ENCRYPTED "])
+@pytest.mark.parametrize("ended", [True, False])
+def test_prose_after_a_private_key(table, forest_of_all, kind, ended):
+    end = f"\n-----END {kind}PRIVATE KEY-----" if ended else ""
+    block = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(BLOCK) + end
+    text = f"{block}\n{PROSE}\n{block}\n{PROSE}"
+    docs = table((1, text))
+    assert {r["secret"] for r in secret_forest.scan(docs, forest_of_all).collect()} == set(BLOCK)
+    want = text
+    for line in BLOCK:
+        want = want.replace(line, "[SECRET]")
+    assert secret_forest.mask(docs, forest_of_all).first()["text"] == want
+
+
+def test_mask_by_place(table, forest_of_all):
+    text = "  the winter42 plan\t(prewinter42x)\n password = winter42!\n\n and winter42! again  "
+    got = secret_forest.mask(table((1, text), (2, text, "en", "a"), (2, "other winter42!"), (None, text)), forest_of_all)
+    want = text.replace("= winter42!", "= [SECRET]")
+    rows = {(r["doc_id"], r["source"]): r["text"] for r in got.collect() if "other" not in r["text"]}
+    assert set(rows.values()) == {want} and len(rows) == 3
+    assert [r["text"] for r in got.collect() if "other" in r["text"]] == ["other winter42!"]
+
+
+CODE = """
+import os, hashlib
+from app.security.authentication import AuthenticationServer, TokenAuthenticationMiddleware
+
+class PasswordResetTokenGenerator(TokenAuthenticationMiddleware):
+    key_salt = settings.PASSWORD_RESET_KEY_SALT
+    algorithm = 'sha256WithRSAEncryption'
+
+    def make_token(self, user, timestamp=None):
+        hash_string = salted_hmac(self.key_salt, self._make_hash_value(user, timestamp), secret=self.secret).hexdigest()[::2]
+        token = self.token_backend.generate(user.password_hash, expiration_timestamp)
+        if not constant_time_compare(self._make_token_with_timestamp(user, ts, secret), token):
+            raise InvalidTokenError("the token is authenticationRequired for this operation")
+        return "%s-%s" % (int_to_base36(timestamp), hash_string)
+
+def test_login(client, user_factory):
+    password = user_factory.password
+    response = client.post(reverse("auth:login"), data={"password": password, "token": get_token(request)})
+    assert response.status_code == 200 and "password" not in response.json()
+"""
+
+
+def test_page_of_code(table, forest_of_all):
+    found = [r["secret"] for r in secret_forest.scan(table((1, CODE, "en", "src/app.py")), forest_of_all).collect()]
+    assert len(found) <= 1, found
+
+
 def test_a_text_that_repeats_is_learned_from_once(spark, table):
     english = [speech("en", i) for i in range(30)]
     rows = [(i, english[0], "en") for i in range(3000)] + [(5000 + i, t, "en") for i, t in enumerate(english)]

@@ -1,5 +1,6 @@
 """Archives, the pipeline and the registered queries."""
 
+import re
 import hashlib
 import io
 import struct
@@ -101,7 +102,9 @@ def test_pipeline_decisions(spark):
 def test_query(spark, key):
     connection = check_queries.connect(SMALL)
     verdict, _, rows = check_queries.compare(spark, connection, SMALL, key)
-    assert verdict in ("ok", "rows only") and (rows > 0 or key == "op8_secret_forest")
+    # The smallest documents hold no secret; `test_secrets_of_the_sample` reads more of them.
+    none = key == "op8_secret_forest" and verdict == "NO ROWS"
+    assert none or (verdict in ("ok", "rows only") and rows > 0)
     assert isinstance(connection, duckdb.DuckDBPyConnection)
 
 
@@ -109,3 +112,13 @@ def test_language_stage_without_labels(spark, table):
     docs = table((1, prose(1)), (2, "12 34 !!"), (3, None), (4, ""), (5, "é"))
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
+def test_secrets_of_the_sample(spark):
+    """Every planted token of sf0.01 stands in the result, with as many places as in the text."""
+    folder = "/root/testdata/sf0.01"
+    found = catalog.QUERIES["op8_secret_forest"](spark, folder).collect()
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    planted = {(r["doc_id"], m) for r in texts for m in re.findall(r"(?i)token = \"([0-9a-f]{40})\"", r["text"] or "")}
+    assert planted and planted <= {(r["doc_id"], r["secret"]) for r in found}
+    assert len(found) <= 1.1 * sum(len(re.findall(r"(?i)token = \"[0-9a-f]{40}\"", r["text"] or "")) for r in texts)
