@@ -1,8 +1,8 @@
 """Archives, the pipeline and the registered queries."""
 
-import re
 import hashlib
 import io
+import re
 import struct
 
 import duckdb
