@@ -528,9 +528,13 @@ SUBQUERIES |= {
 }
 
 
+# Eight decimal digits first, so that a half is one on any engine.
+FOUR = "CAST(ROUND(CAST(predicted AS DECIMAL(28,8)), 4) AS DOUBLE)"
+
+
 def walk(model: str) -> str:
     return statement(
-        f"SELECT {S}, month, model_name, actual, ROUND(predicted, 4) AS predicted "
+        f"SELECT {S}, month, model_name, actual, {FOUR} AS predicted "
         f"FROM backtest WHERE model_name = '{model}'"
     )
 
@@ -771,7 +775,7 @@ BODIES: dict[str, str] = {
     "FROM ends_all e JOIN s_summary f ON e.segment = f.segment AND e.region = f.region "
     "AND f.month = last_month CROSS JOIN steps",
     # back-tests and forecasts
-    "walk_forward": f"SELECT {S}, month, model_name, actual, ROUND(predicted, 4) AS predicted "
+    "walk_forward": f"SELECT {S}, month, model_name, actual, {FOUR} AS predicted "
     f"FROM backtest",
     "backtest_metrics": f"""
         SELECT {S}, model_name, ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse,
@@ -788,14 +792,14 @@ BODIES: dict[str, str] = {
     )
     + ", model_rank = 1 AS is_best, CAST(model_rank AS INTEGER) AS model_rank FROM board",
     "forecast_points": f"SELECT {S}, step, forecast_month, model_name, "
-    f"ROUND(predicted, 4) AS predicted FROM point",
+    f"{FOUR} AS predicted FROM point",
     "revenue_forecast": f"""
         SELECT {S}, forecast_month, ROUND(predicted_revenue, 4) AS predicted_revenue,
                ROUND(lower_bound, 2) AS lower_bound, ROUND(upper_bound, 2) AS upper_bound,
                ROUND(forecast_growth, 6) + 0.0 AS forecast_growth, model_name,
                'v1' AS model_version FROM forecast""",
     "hist_vs_predicted": f"""
-        SELECT {S}, month, actual AS actual_revenue, ROUND(predicted, 4) AS predicted_revenue,
+        SELECT {S}, month, actual AS actual_revenue, {FOUR} AS predicted_revenue,
                model_name, 'v1' AS model_version
         FROM backtest JOIN (SELECT {S}, model_name FROM board WHERE model_rank = 1)
              USING ({S}, model_name)""",

@@ -59,6 +59,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     )
 
 
+def predictions(df: DataFrame, name: str = "predicted") -> DataFrame:
+    """Predictions to four digits; eight decimal ones come first, so that a half is one on any engine."""
+    exact = F.round(F.col(name).cast("decimal(28,8)"), 4).cast("double")
+    return df.withColumn(name, exact)
+
+
 # --- sources and sinks ----------------------------------------------------------
 
 
@@ -462,7 +468,7 @@ def _backtests(spark, folder, *models) -> DataFrame:
 
 
 def _backtest_query(model: str) -> Query:
-    return lambda spark, folder: rounded(_backtests(spark, folder, model), predicted=4)
+    return lambda spark, folder: predictions(_backtests(spark, folder, model))
 
 
 QUERIES |= {
@@ -471,7 +477,7 @@ QUERIES |= {
     "bt_moving_avg_3": _backtest_query("moving_avg_3"),
     "bt_drift": _backtest_query("drift"),
     "bt_holt": _backtest_query("holt_linear"),
-    "walk_forward": lambda spark, folder: rounded(_backtests(spark, folder), predicted=4),
+    "walk_forward": lambda spark, folder: predictions(_backtests(spark, folder)),
 }
 
 
@@ -535,14 +541,12 @@ def accuracy_table(spark, folder):
 @query
 def hist_vs_predicted(spark, folder):
     backtests, board = _board(_series(spark, folder))
-    return rounded(
-        evaluate.historical_vs_predicted(backtests, board, SERIES), predicted_revenue=4
-    )
+    return predictions(evaluate.historical_vs_predicted(backtests, board, SERIES), "predicted_revenue")
 
 
 @query
 def forecast_points(spark, folder):
-    return rounded(forecasting.future_points(_series(spark, folder), SERIES), predicted=4)
+    return predictions(forecasting.future_points(_series(spark, folder), SERIES))
 
 
 def _forecast(series: DataFrame) -> DataFrame:

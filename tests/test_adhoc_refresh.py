@@ -49,6 +49,13 @@ def test_the_row_limit_always_applies(spark):
         "WITH x AS (SELECT * FROM other) SELECT * FROM x", "SELECT * FROM global_temp.seen",
         "SELECT * FROM foreign_view", "SELECT reflect('java.lang.System', 'exit')",
         "SELECT java_method/**/('java.lang.System', 'exit') FROM t", "SELECT * FROM spark_catalog.default.t",
+        "SELECT " + ", ".join(f"a AS c{i}" for i in range(40)) + ", reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
+        "SELECT a FROM t WHERE a IN (SELECT length(REFLECT('java.lang.System', 'getProperty', 'user.home')) FROM t)",
+        "WITH x AS (SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') AS b) SELECT b FROM x",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT transform(array(a), x -> java_method('a', 'b')) FROM t",
+        "SELECT system.builtin.reflect('a', 'b')", "SELECT count(*) FROM range(1000000000000)", "SELECT explode(sequence(1, 1000000000)) FROM t",
+        "SELECT input_file_name() FROM t", "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t", "SELECT repeat('x', 1000000000) FROM t",
+        "SELECT x.a FROM t x, t y", "SELECT x.a FROM t x JOIN t y ON x.a < y.a", "SELECT no_such_function(a) FROM t",
     ],
 )
 def test_only_the_given_tables(spark, sql):
@@ -59,6 +66,27 @@ def test_only_the_given_tables(spark, sql):
         adhoc.run_safe_query(spark, sql, given)
 
 
+def test_usual_functions_are_allowed(spark):
+    given = {"t": spark.range(30).withColumnRenamed("id", "a"), "u": spark.range(5).withColumnRenamed("id", "b")}
+    sql = """
+        WITH s AS (SELECT a % 5 AS b, sum(a) AS total, percentile_approx(a, 0.5) AS middle, count(*) AS n FROM t GROUP BY a % 5)
+        SELECT u.b, round(total / n, 2) AS mean, upper(concat('x', cast(middle AS string))) AS label,
+               row_number() OVER (ORDER BY total DESC) AS place, coalesce(lag(n) OVER (ORDER BY u.b), 0) AS before,
+               date_format(add_months(DATE '2024-01-01', cast(u.b AS int)), 'yyyy-MM') AS month,
+               total > (SELECT avg(a) FROM t) AS over, exists(array(1, 2), x -> x > n) AS any_more
+        FROM u JOIN s ON u.b = s.b LATERAL VIEW explode(array(1, 2)) e AS k"""
+    assert adhoc.run_safe_query(spark, sql, given).count() == 10
+    assert adhoc.run_safe_query(spark, "SELECT t.a, m.x FROM t CROSS JOIN (SELECT max(b) AS x FROM u) m", given).count() == 30
+
+
+def test_scan_budget(spark, tmp_path):
+    spark.range(100_000).write.parquet(str(tmp_path / "big"))
+    given = {"t": spark.read.parquet(str(tmp_path / "big"))}
+    assert adhoc.run_safe_query(spark, "SELECT max(id) FROM t", given).count() == 1
+    with pytest.raises(adhoc.UnsafeQueryError, match="bytes"):
+        adhoc.run_safe_query(spark, "SELECT max(id) FROM t", given, most_bytes=1000)
+
+
 def test_views_do_not_leak(spark):
     spark.range(9).createOrReplaceTempView("mine")
     given = {"Mine": spark.range(3), "unused": spark.range(1)}
