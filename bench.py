@@ -19,8 +19,8 @@ from recurring_metrics.session import local_session  # noqa: E402
 
 HEADLINE = (
     "monthly_summary", "mrr_snapshot", "customer_status", "revenue_by_type", "filtered_star",
-    "monthly_series", "revenue_by_product", "dq_orphans", "feature_table", "walk_forward",
-    "leaderboard", "revenue_forecast",
+    "monthly_series", "revenue_by_product", "dq_orphans", "feature_table", "walk_forward_window",
+    "leaderboard_window", "revenue_forecast_window",
 )
 
 

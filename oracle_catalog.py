@@ -775,30 +775,30 @@ BODIES: dict[str, str] = {
     "FROM ends_all e JOIN s_summary f ON e.segment = f.segment AND e.region = f.region "
     "AND f.month = last_month CROSS JOIN steps",
     # back-tests and forecasts
-    "walk_forward": f"SELECT {S}, month, model_name, actual, {FOUR} AS predicted "
+    "walk_forward_window": f"SELECT {S}, month, model_name, actual, {FOUR} AS predicted "
     f"FROM backtest",
-    "backtest_metrics": f"""
+    "backtest_metrics_window": f"""
         SELECT {S}, model_name, ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse,
                ROUND(mape, 6) AS mape, ROUND(residual_std, 4) AS residual_std, folds,
                backtest_start, backtest_end FROM metric""",
-    "leaderboard": f"""
+    "leaderboard_window": f"""
         SELECT {S}, model_name, ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse,
                ROUND(mape, 6) AS mape, folds, backtest_start, backtest_end, 'v1' AS model_version,
                CAST(model_rank AS INTEGER) AS model_rank, model_rank = 1 AS is_best FROM board""",
-    "accuracy_table": f"SELECT {S}, model_name, "
+    "accuracy_table_window": f"SELECT {S}, model_name, "
     + ", ".join(
         f"CAST(ROUND(CAST({m} AS DECIMAL(28,4)), 2) AS DOUBLE) AS {m}"
         for m in ("mae", "rmse", "mape")
     )
     + ", model_rank = 1 AS is_best, CAST(model_rank AS INTEGER) AS model_rank FROM board",
-    "forecast_points": f"SELECT {S}, step, forecast_month, model_name, "
+    "forecast_points_window": f"SELECT {S}, step, forecast_month, model_name, "
     f"{FOUR} AS predicted FROM point",
-    "revenue_forecast": f"""
+    "revenue_forecast_window": f"""
         SELECT {S}, forecast_month, ROUND(predicted_revenue, 4) AS predicted_revenue,
                ROUND(lower_bound, 2) AS lower_bound, ROUND(upper_bound, 2) AS upper_bound,
                ROUND(forecast_growth, 6) + 0.0 AS forecast_growth, model_name,
                'v1' AS model_version FROM forecast""",
-    "hist_vs_predicted": f"""
+    "hist_vs_predicted_window": f"""
         SELECT {S}, month, actual AS actual_revenue, {FOUR} AS predicted_revenue,
                model_name, 'v1' AS model_version
         FROM backtest JOIN (SELECT {S}, model_name FROM board WHERE model_rank = 1)
@@ -816,7 +816,7 @@ BODIES: dict[str, str] = {
         for label, c in DRIVERS
     )
     + "))",
-    "actual_plus_forecast": f"""
+    "actual_plus_forecast_window": f"""
         SELECT {S}, month, 'actual' AS kind, y AS revenue,
                CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM ser_all
         UNION ALL
@@ -827,7 +827,7 @@ BODIES: dict[str, str] = {
         SELECT customer_id, segment, CAST(SUM(net_revenue) AS DOUBLE) AS net_revenue
         FROM rev JOIN dim_customer USING (customer_id) GROUP BY customer_id, segment
         ORDER BY net_revenue DESC, customer_id LIMIT 200""",
-    "saved_questions": """
+    "saved_questions_window": """
         SELECT 'latest_revenue' AS question, item, ROUND(amount, 4) AS amount FROM (
           SELECT CAST(month AS VARCHAR) AS item, total_revenue AS amount FROM core
           ORDER BY month DESC LIMIT 1)
@@ -850,7 +850,7 @@ BODIES: dict[str, str] = {
 # The saved questions are about the whole company: one series of all revenue.
 COMPANY = {"ser_all": "SELECT 'all' AS segment, 'all' AS region, month, total_revenue AS y FROM core"}
 ORACLES: dict[str, str] = {
-    name: statement(body, COMPANY if name == "saved_questions" else None) for name, body in BODIES.items()
+    name: statement(body, COMPANY if name == "saved_questions_window" else None) for name, body in BODIES.items()
 }
 ORACLES |= {
     f"bt_{name}": walk(model)

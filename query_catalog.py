@@ -463,6 +463,7 @@ def ffill_horizon(spark, folder):
 
 
 def _backtests(spark, folder, *models) -> DataFrame:
+    """Back-tests of the window models, or of some of them."""
     chosen = models or forecasting.WINDOW_MODELS
     return forecasting.walk_forward(_series(spark, folder), SERIES, chosen)
 
@@ -477,7 +478,7 @@ QUERIES |= {
     "bt_moving_avg_3": _backtest_query("moving_avg_3"),
     "bt_drift": _backtest_query("drift"),
     "bt_holt": _backtest_query("holt_linear"),
-    "walk_forward": lambda spark, folder: predictions(_backtests(spark, folder)),
+    "walk_forward_window": lambda spark, folder: predictions(_backtests(spark, folder)),
 }
 
 
@@ -490,37 +491,92 @@ def _tree_query(model: trees.TreeModel) -> Query:
 QUERIES |= {"bt_gbt": _tree_query(trees.GBT), "bt_gbt_min5": _tree_query(trees.GBT_MIN5)}
 
 
+def _seven(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The summary, its features, and the back-tests of all seven models, as a refresh makes them."""
+    summary = io.materialize(_series_summary(spark, folder))
+    table = io.materialize(features.build_features(summary, SERIES))
+    backtests = forecasting.walk_forward(summary, SERIES, forecasting.MODELS, table)
+    return summary, table, backtests
+
+
+def _points(summary: DataFrame, table: DataFrame) -> DataFrame:
+    return forecasting.future_points(summary, SERIES, forecasting.MODELS, table)
+
+
+@query
+def walk_forward(spark, folder):
+    """One-step predictions of all seven models."""
+    return predictions(_seven(spark, folder)[2])
+
+
 @query
 def eligible_series(spark, folder):
     return baselines.eligible_series(_series(spark, folder), SERIES)
 
 
-@query
-def backtest_metrics(spark, folder):
-    return rounded(
-        evaluate.backtest_metrics(_backtests(spark, folder), SERIES),
-        mae=4, rmse=4, mape=6, residual_std=4,
-    )
+def _both(name: str, make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
+    """A query over all seven models, and `name`_window over the five that SQL can repeat.
 
+    `make` gets the series, their back-tests and what makes the points ahead.
+    """
 
-def _board(series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    backtests = forecasting.walk_forward(series, SERIES)
-    return backtests, evaluate.leaderboard(backtests, SERIES)
+    def seven(spark, folder):
+        summary, table, backtests = _seven(spark, folder)
+        backtests = io.materialize(backtests)
+        return make(summary, backtests, lambda: _points(summary, table))
 
+    def window(spark, folder):
+        series = _series(spark, folder)
+        backtests = forecasting.walk_forward(series, SERIES, forecasting.WINDOW_MODELS)
+        return make(series, backtests, lambda: forecasting.future_points(series, SERIES, forecasting.WINDOW_MODELS))
 
-@query
-def leaderboard(spark, folder):
-    _, board = _board(_series(spark, folder))
-    return rounded(board.drop("residual_std", "evaluated_at"), mae=4, rmse=4, mape=6)
+    QUERIES[name], QUERIES[f"{name}_window"] = seven, window
+
+
+def _revenue_forecast(series, backtests, points) -> DataFrame:
+    board = evaluate.leaderboard(backtests, SERIES)
+    result = forecasts.revenue_forecast(points(), board, series, SERIES)
+    return rounded(
+        result.drop("created_at"),
+        predicted_revenue=4, lower_bound=2, upper_bound=2, forecast_growth=6,
+    )
+
+
+_both(
+    "backtest_metrics",
+    lambda series, backtests, points: rounded(
+        evaluate.backtest_metrics(backtests, SERIES), mae=4, rmse=4, mape=6, residual_std=4
+    ),
+)
+_both(
+    "leaderboard",
+    lambda series, backtests, points: rounded(
+        evaluate.leaderboard(backtests, SERIES).drop("residual_std", "evaluated_at"), mae=4, rmse=4, mape=6
+    ),
+)
+_both(
+    "accuracy_table",
+    lambda series, backtests, points: evaluate.accuracy_table(evaluate.leaderboard(backtests, SERIES), SERIES),
+)
+_both(
+    "hist_vs_predicted",
+    lambda series, backtests, points: predictions(
+        evaluate.historical_vs_predicted(backtests, evaluate.leaderboard(backtests, SERIES), SERIES), "predicted_revenue"
+    ),
+)
+_both("revenue_forecast", _revenue_forecast)
+_both(
+    "actual_plus_forecast",
+    lambda series, backtests, points: forecasts.actual_plus_forecast(
+        series.select(*SERIES, "month", "total_revenue"), _revenue_forecast(series, backtests, points), SERIES
+    ),
+)
 
 
 @query
 def leaderboard_seven(spark, folder):
     """All seven models, the trees included, ranked per series."""
-    series = io.materialize(_series_summary(spark, folder))
-    table = io.materialize(features.build_features(series, SERIES))
-    backtests = forecasting.walk_forward(series, SERIES, forecasting.MODELS, table)
-    return evaluate.leaderboard(backtests, SERIES).drop("residual_std", "evaluated_at")
+    return evaluate.leaderboard(_seven(spark, folder)[2], SERIES).drop("residual_std", "evaluated_at")
 
 
 @query
@@ -532,42 +588,18 @@ def forecast_trees(spark, folder):
     return reduce(DataFrame.unionByName, points)
 
 
-@query
-def accuracy_table(spark, folder):
-    _, board = _board(_series(spark, folder))
-    return evaluate.accuracy_table(board, SERIES)
-
-
-@query
-def hist_vs_predicted(spark, folder):
-    backtests, board = _board(_series(spark, folder))
-    return predictions(evaluate.historical_vs_predicted(backtests, board, SERIES), "predicted_revenue")
-
-
 @query
 def forecast_points(spark, folder):
-    return predictions(forecasting.future_points(_series(spark, folder), SERIES))
-
-
-def _forecast(series: DataFrame) -> DataFrame:
-    _, board = _board(series)
-    points = forecasting.future_points(series, SERIES)
-    result = forecasts.revenue_forecast(points, board, series, SERIES)
-    return rounded(
-        result.drop("created_at"),
-        predicted_revenue=4, lower_bound=2, upper_bound=2, forecast_growth=6,
-    )
-
-
-@query
-def revenue_forecast(spark, folder):
-    return _forecast(_series(spark, folder))
+    """Points of all seven models for the months ahead."""
+    summary = io.materialize(_series_summary(spark, folder))
+    table = io.materialize(features.build_features(summary, SERIES))
+    return predictions(_points(summary, table))
 
 
 @query
-def actual_plus_forecast(spark, folder):
+def forecast_points_window(spark, folder):
     series = _series(spark, folder)
-    return forecasts.actual_plus_forecast(series, _forecast(series), SERIES)
+    return predictions(forecasting.future_points(series, SERIES, forecasting.WINDOW_MODELS))
 
 
 @query
@@ -591,14 +623,14 @@ def adhoc_sql(spark, folder):
     return adhoc.run_safe_query(spark, sql, star.processed_tables(spark, folder))
 
 
-@query
-def saved_questions(spark, folder):
-    """All six saved questions; the forecast is that of the window models."""
+def _questions(spark, folder, models) -> DataFrame:
+    """All six saved questions, with the best of these models."""
     processed = star.processed_tables(spark, folder)
     summary = io.materialize(summaries.monthly_summary(processed))
-    backtests = forecasting.walk_forward(summary)
+    table = io.materialize(features.build_features(summary))
+    backtests = io.materialize(forecasting.walk_forward(summary, (), models, table))
     board = evaluate.leaderboard(backtests)
-    points = forecasting.future_points(summary)
+    points = forecasting.future_points(summary, (), models, table)
     tables = {
         "fact_revenue": processed["fact_revenue"],
         "dim_customer": processed["dim_customer"],
@@ -614,3 +646,13 @@ def saved_questions(spark, folder):
         for question in adhoc.QUESTIONS
     ]
     return reduce(DataFrame.unionByName, answers)
+
+
+@query
+def saved_questions(spark, folder):
+    return _questions(spark, folder, forecasting.MODELS)
+
+
+@query
+def saved_questions_window(spark, folder):
+    return _questions(spark, folder, forecasting.WINDOW_MODELS)

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurring_metrics.functions.numbers import growth
 from recurring_metrics.operators.baselines import TEST_MONTHS
+from recurring_metrics.operators.boosting import BLOCK_ROWS, Fit, blocks_of, fit_forests, predicted, quantile_cuts
 from recurring_metrics.operators.features import (
     LAGS,
     ROLLING,
@@ -23,7 +21,6 @@ from recurring_metrics.operators.features import (
     carried_columns,
     feature_columns,
 )
-from recurring_metrics.functions.numbers import growth
 from recurring_metrics.sources.io import materialize
 
 # Months of history the features of a future month reach back to.
@@ -32,17 +29,14 @@ REACH = 13
 
 @dataclass(frozen=True)
 class TreeModel:
-    """Boosting settings; `refit_every` test months share one fitted model.
-
-    Rounds and step size belong together: fewer rounds take larger steps.
-    """
+    """Boosting settings; `refit_every` test months share one fitted model."""
 
     name: str
-    rounds: int = 20
+    rounds: int = 200
     depth: int = 3
-    step_size: float = 0.3
+    step_size: float = 0.05
     row_share: float = 0.9
-    column_share: str = "0.9"
+    column_share: float = 0.9
     min_rows: int = 1
     seed: int = 42
     refit_every: int = 1
@@ -50,45 +44,20 @@ class TreeModel:
     def with_budget(self, rounds: int, refit_every: int) -> TreeModel:
         return replace(self, rounds=rounds, refit_every=refit_every)
 
+    def fit_before(self, month: dt.date | None) -> Fit:
+        """The fit of this model on the rows before a month, or on all."""
+        until = None if month is None else month.year * 12 + month.month - 1
+        return Fit(
+            self.name, until, self.rounds, self.depth, self.step_size, self.row_share, self.column_share,
+            self.min_rows, self.seed,
+        )
+
 
 GBT = TreeModel("gbt")
 GBT_MIN5 = TreeModel("gbt_min5", min_rows=5)
 TREE_MODELS = {m.name: m for m in (GBT, GBT_MIN5)}
 
 
-# Fits that run at the same time; each is a row of small jobs.
-FITS_AT_ONCE = 6
-ROWS_PER_TASK = 50_000
-
-
-def assembled(features: DataFrame, predictors: Sequence[str], series_keys: Sequence[str] = ()) -> DataFrame:
-    """(series, month, target, inputs) of the complete rows, written once for all fits.
-
-    Rows with any missing value are left out.
-    """
-    complete = features.dropna(subset=[*predictors, TARGET])
-    vectors = VectorAssembler(inputCols=list(predictors), outputCol="inputs").transform(complete)
-    stored = materialize(vectors.select(*series_keys, "month", TARGET, "inputs"))
-    return stored.coalesce(max(1, stored.count() // ROWS_PER_TASK)).persist()
-
-
-def fit(model: TreeModel, training: DataFrame) -> GBTRegressionModel:
-    """Fits on assembled rows."""
-    trees = GBTRegressor(
-        featuresCol="inputs",
-        labelCol=TARGET,
-        predictionCol="predicted",
-        maxIter=model.rounds,
-        maxDepth=model.depth,
-        stepSize=model.step_size,
-        subsamplingRate=model.row_share,
-        featureSubsetStrategy=model.column_share,
-        minInstancesPerNode=model.min_rows,
-        seed=model.seed,
-    )
-    return trees.fit(training)
-
-
 def complete_rows(
     features: DataFrame, predictors: Sequence[str], series_keys: Sequence[str]
 ) -> DataFrame:
@@ -111,44 +80,43 @@ def _add_months(month: dt.date, count: int) -> dt.date:
 
 def backtest_trees(
     features: DataFrame,
-    model: TreeModel,
+    models: TreeModel | Sequence[TreeModel],
     series_keys: Sequence[str] = (),
     test_months: int = TEST_MONTHS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(series, month, model_name, actual, predicted) for the last test_months.
 
     All series share one month spine. The model for a block of test months is
-    fitted on months strictly before the block, over all series together. The
-    fits run a few at a time over rows assembled once. Pass a materialised
-    feature table.
+    fitted on months strictly before the block, over all series together; rows
+    with any missing value are not learned from. The folds of all models are
+    grown together over rows that are binned once, by quantiles of the months
+    before the first tested one. Pass a materialised feature table.
     """
+    models = [models] if isinstance(models, TreeModel) else list(models)
     predictors = feature_columns(features, series_keys)
     last_month = features.agg(F.max("month")).first()[0]
     first_tested = _add_months(last_month, 1 - test_months)
-    training = assembled(features, predictors, series_keys)
+    training = features.dropna(subset=[*predictors, TARGET])
+    cuts = quantile_cuts(training.where(F.col("month") < F.lit(first_tested)), predictors)
+    blocks, count = blocks_of(training, predictors, TARGET, "month", [*series_keys, "month"], cuts, block_rows)
+
+    fits, spans = [], []
+    for model in models:
+        for offset in range(0, test_months, model.refit_every):
+            first = _add_months(first_tested, offset)
+            until = _add_months(first, min(model.refit_every, test_months - offset) - 1)
+            spans.append((model.name, first, until, len(fits)))
+            fits.append(model.fit_before(first))
+    forests = fit_forests(blocks, count, fits, block_rows)
+    # One row per fold and model.
+    folds = F.broadcast(
+        features.sparkSession.createDataFrame(spans, "model_name string, first_month date, until date, fold int")
+    )
     tested = complete_rows(features, predictors, series_keys).where(F.col("month") >= F.lit(first_tested))
-    tested = VectorAssembler(inputCols=list(predictors), outputCol="inputs").transform(tested)
-    tested = materialize(tested.select(*series_keys, "month", TARGET, "inputs"))
-
-    @inheritable_thread_target(features.sparkSession)
-    def block(offset: int) -> DataFrame:
-        first = _add_months(first_tested, offset)
-        until = _add_months(first, min(model.refit_every, test_months - offset) - 1)
-        fitted = fit(model, training.where(F.col("month") < F.lit(first)))
-        return fitted.transform(tested.where(F.col("month").between(F.lit(first), F.lit(until))))
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        blocks = list(pool.map(block, range(0, test_months, model.refit_every)))
-    training.unpersist()
-    result = blocks[0]
-    for block in blocks[1:]:
-        result = result.unionByName(block)
-    return result.select(
-        *series_keys,
-        "month",
-        F.lit(model.name).alias("model_name"),
-        F.col(TARGET).alias("actual"),
-        "predicted",
+    paired = tested.join(folds, F.col("month").between(F.col("first_month"), F.col("until")))
+    return predicted(paired, predictors, cuts, forests, "fold").select(
+        *series_keys, "month", "model_name", F.col(TARGET).alias("actual"), "predicted"
     )
 
 
@@ -192,17 +160,17 @@ def forecast_trees(
 ) -> DataFrame:
     """(series, model_name, step, forecast_month, predicted) for `horizon` months.
 
-    The model is fitted on `features`; the months ahead start from the row that
+    The model is fitted on the complete rows of `features`; the months ahead start from the row that
     `append_horizon` adds to `summary`. Each step rebuilds the revenue features
     from the values so far, its own forecasts included, and scores all series at
     once. A series is one row with its last values in an array, so the steps
-    need no further shuffle.
+    need no further shuffle; each is written before the next begins.
     """
     predictors = feature_columns(features, series_keys)
-    training = assembled(features, predictors, series_keys)
-    fitted = fit(model, training)
-    training.unpersist()
-    vectors = VectorAssembler(inputCols=list(predictors), outputCol="inputs")
+    training = features.dropna(subset=[*predictors, TARGET])
+    cuts = quantile_cuts(training, predictors)
+    blocks, count = blocks_of(training, predictors, TARGET, "month", [*series_keys, "month"], cuts)
+    forests = fit_forests(blocks, count, [model.fit_before(None)])
     newest = Window.partitionBy(*series_keys).orderBy(F.col("month").desc())
     carried = carried_columns(predictors)
     past = F.col("step") == 0
@@ -235,11 +203,15 @@ def forecast_trees(
             *[f"step_{s}" for s in range(1, step)],
             *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in made.items()],
         )
-        state = fitted.transform(vectors.transform(inputs)).select(
-            *kept,
-            F.concat("tail", F.array("predicted")).alias("tail"),
-            *[f"step_{s}" for s in range(1, step)],
-            F.col("predicted").alias(f"step_{step}"),
+        scored = predicted(inputs.withColumn("fold", F.lit(0)), predictors, cuts, forests, "fold")
+        # Written, as each step would repeat the expressions of all earlier ones.
+        state = materialize(
+            scored.select(
+                *kept,
+                F.concat("tail", F.array("predicted")).alias("tail"),
+                *[f"step_{s}" for s in range(1, step)],
+                F.col("predicted").alias(f"step_{step}"),
+            )
         )
         paths.append(F.col(f"step_{step}"))
     return state.select(

@@ -29,10 +29,17 @@ def _same_months(
     return None if features is None else features.join(series.select(*keys), keys, "left_semi")
 
 
+def _require_features(
+    models: Sequence[str], tree_models: Mapping[str, trees.TreeModel], features: DataFrame | None
+) -> None:
+    if features is None and any(m in tree_models for m in models):
+        raise ValueError("tree models need the feature table")
+
+
 def walk_forward(
     series: DataFrame,
     series_keys: Sequence[str] = (),
-    models: Sequence[str] = WINDOW_MODELS,
+    models: Sequence[str] = MODELS,
     features: DataFrame | None = None,
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
     test_months: int = baselines.TEST_MONTHS,
@@ -42,8 +49,9 @@ def walk_forward(
 
     A series begins with its first billed month; series too short for the test
     are left out (`baselines.eligible_series` lists them). Tree models also need
-    the materialised feature table.
+    the materialised feature table; `WINDOW_MODELS` do without.
     """
+    _require_features(models, tree_models, features)
     series = baselines.forecastable(series, series_keys, min_training)
     features = _same_months(features, series, series_keys)
     unknown = set(models) - set(MODELS)
@@ -56,11 +64,9 @@ def walk_forward(
     if baselines.SMOOTHING in models:
         history = baselines.series_history(series, series_keys)
         parts.append(baselines.backtest_smoothing(history, series_keys, test_months))
-    for name in models:
-        if name in tree_models:
-            parts.append(
-                trees.backtest_trees(features, tree_models[name], series_keys, test_months)
-            )
+    chosen = [tree_models[m] for m in models if m in tree_models]
+    if chosen:
+        parts.append(trees.backtest_trees(features, chosen, series_keys, test_months))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -70,7 +76,7 @@ def walk_forward(
 def future_points(
     series: DataFrame,
     series_keys: Sequence[str] = (),
-    models: Sequence[str] = WINDOW_MODELS,
+    models: Sequence[str] = MODELS,
     features: DataFrame | None = None,
     tree_models: Mapping[str, trees.TreeModel] = trees.TREE_MODELS,
     horizon: int = HORIZON,
@@ -80,6 +86,7 @@ def future_points(
 
     Tree models need `series` to be the whole summary, and the feature table.
     """
+    _require_features(models, tree_models, features)
     series = baselines.forecastable(series, series_keys, min_training)
     features = _same_months(features, series, series_keys)
     plain = [m for m in models if m in WINDOW_MODELS]

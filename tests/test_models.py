@@ -63,7 +63,7 @@ def test_no_leak_from_later_months(spark, make):
         table = features.build_features(wide(spark, make, values), KEYS)
         predictors = features.feature_columns(table, KEYS)
         made = make.series(values, name="A")
-        tests = forecasting.walk_forward(made, KEYS)
+        tests = forecasting.walk_forward(made, KEYS, forecasting.WINDOW_MODELS)
         return (
             rows(table.where(F.col("month") <= F.lit(before)), "month", *predictors),
             rows(tests.where(F.col("month") <= F.lit(before)), "month", "model_name", "predicted"),
@@ -89,7 +89,7 @@ def reference_holt(y, horizon):
 def test_every_fold_uses_only_the_months_before(make):
     got = {
         (r.model_name, r.month): r.predicted
-        for r in forecasting.walk_forward(make.series(WAVE, name="A"), KEYS).collect()
+        for r in forecasting.walk_forward(make.series(WAVE, name="A"), KEYS, forecasting.WINDOW_MODELS).collect()
     }
     assert len(got) == 5 * 12
     for i in range(28, 40):
@@ -107,7 +107,7 @@ def test_short_series_give_null_not_future_values(make):
     short = make.series([5, 7, 9], name="A")
     got = {
         (r.model_name, r.month.month): r.predicted
-        for r in forecasting.walk_forward(short, KEYS, min_training=None).collect()
+        for r in forecasting.walk_forward(short, KEYS, forecasting.WINDOW_MODELS, min_training=None).collect()
     }
     assert [got["naive", m] for m in (1, 2, 3)] == [None, 5, 7]
     assert [got["seasonal_naive", m] for m in (1, 2, 3)] == [None] * 3
@@ -125,7 +125,7 @@ def repeated(y, rule, horizon=6):
 
 
 def test_points_equal_repeating_the_one_step_rule(make):
-    points = forecasting.future_points(make.series(WAVE, name="A"), KEYS)
+    points = forecasting.future_points(make.series(WAVE, name="A"), KEYS, forecasting.WINDOW_MODELS)
     got = {}
     for r in points.orderBy("step").collect():
         got.setdefault(r.model_name, []).append(r.predicted)
@@ -145,7 +145,7 @@ def test_a_series_begins_with_its_first_billed_month(make):
     both = late.union(early).union(gap)
     got = {r["name"]: (r.months, r.eligible) for r in baselines.eligible_series(both, KEYS).collect()}
     assert got == {"late": (10, False), "early": (40, True), "gap": (36, True)}
-    tested = forecasting.walk_forward(both, KEYS)
+    tested = forecasting.walk_forward(both, KEYS, forecasting.WINDOW_MODELS)
     assert {r["name"] for r in tested.select("name").distinct().collect()} == {"early", "gap"}
     points = forecasting.future_points(both, KEYS, ["drift"]).where("name = 'gap' AND step = 1").first()
     assert points.predicted == pytest.approx(WAVE[31] + (WAVE[31] - 5) / 35)
@@ -186,9 +186,9 @@ def test_metrics_and_ranking(spark):
 @pytest.mark.parametrize("keys", [KEYS, []])
 def test_forecast_interval_and_growth(make, keys):
     series = make.series(WAVE, name="A").drop(*([] if keys else ["name"]))
-    tests = forecasting.walk_forward(series, keys)
+    tests = forecasting.walk_forward(series, keys, forecasting.WINDOW_MODELS)
     board = evaluate.leaderboard(tests, keys)
-    points = forecasting.future_points(series, keys)
+    points = forecasting.future_points(series, keys, forecasting.WINDOW_MODELS)
     got = forecast.revenue_forecast(points, board, series, keys).orderBy("forecast_month").collect()
     best = board.where("is_best").first()
     assert len(got) == 6 and {r.model_name for r in got} == {best.model_name}
