@@ -55,23 +55,36 @@ def fixed_spine(
     return series_list(customers, series_keys).select(*series_keys, months)
 
 
+def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _measures(block: DataFrame) -> list[str]:
+    return [c for c in block.columns if c not in ("customer_id", "month")]
+
+
 def _per_series(
-    block: DataFrame, series_of: DataFrame | None, series_keys: Sequence[str]
-) -> DataFrame:
-    """One block summed to series and month, by way of customer and month if it has them.
+    blocks: Sequence[DataFrame], series_of: DataFrame | None, series_keys: Sequence[str]
+) -> list[DataFrame]:
+    """The blocks summed to series and month: those with customers together, the others one by one.
 
-    Summing per customer first leaves the customer join a row per customer and
-    month at most, so a customer with a large share of all facts is no hot key.
+    Blocks with customers are stacked and summed once per customer and month before
+    the one join with the customers, so a customer with a large share of all facts
+    is no hot key.
     """
-    block = block.where(F.col("month").isNotNull())
-    measures = [c for c in block.columns if c not in ("customer_id", "month")]
-    if "customer_id" in block.columns:
-        block = block.groupBy("customer_id", "month").agg(
-            *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in measures]
+    dated = [block.where(F.col("month").isNotNull()) for block in blocks]
+    alone = [b for b in dated if "customer_id" not in b.columns]
+    owned = [b for b in dated if "customer_id" in b.columns]
+    if owned:
+        stacked = _stacked(owned)
+        summed = stacked.groupBy("customer_id", "month").agg(
+            *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in _measures(stacked)]
         )
-    if series_of is not None:
-        block = block.join(series_of, "customer_id")
-    return block.groupBy(*series_keys, "month").agg(*[F.sum(m).alias(m) for m in measures])
+        alone.append(summed if series_of is None else summed.join(series_of, "customer_id"))
+    return [
+        b.groupBy(*series_keys, "month").agg(*[F.sum(m).alias(m) for m in _measures(b) if m not in series_keys])
+        for b in alone
+    ]
 
 
 def roll_up(
@@ -82,9 +95,9 @@ def roll_up(
 ) -> DataFrame:
     """Sums all contribution blocks per series and month of the spine.
 
-    Every block is reduced to a row per series and month on its own, with
-    partial sums before each shuffle; only these small results are stacked and
-    brought together with the spine. Months without a contribution get zero;
+    Blocks are reduced to a row per series and month, with partial sums before
+    each shuffle; only these small results are stacked and brought together with
+    the spine. Months without a contribution get zero;
     months outside the spine only feed the running sums.
     """
     series_of = (
@@ -93,10 +106,7 @@ def roll_up(
         else None
     )
     marked = spine.select(*series_keys, "month", F.lit(True).alias("on_spine"))
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [*(_per_series(block, series_of, series_keys) for block in blocks), marked],
-    )
+    stacked = _stacked([*_per_series(blocks, series_of, series_keys), marked])
     measures = [c for c in stacked.columns if c not in (*series_keys, "month", "on_spine")]
     filled = stacked.groupBy(*series_keys, "month").agg(
         *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures],

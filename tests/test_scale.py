@@ -81,3 +81,9 @@ def test_attribution_keeps_one_row_per_customer_before_the_shuffle(make):
     subs = make.subscriptions(("S1", "C1", "2024-01-05", None, 1))
     revenue = make.revenue(("C1", "S1", "2024-01-05", 10, "New"))
     assert "WindowGroupLimit" in plan(attribute_revenue(revenue, subs))
+
+
+def test_customers_are_joined_once(spark, stored):
+    """The blocks of the summary meet the customers together, not one by one."""
+    made = monthly_summary(stored, ["segment", "region"])._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "customer_id" in line for line in made.splitlines()) == 1
