@@ -10,6 +10,10 @@ A shared band means that the window holds the template's smallest shingle under
 hash. So windows are built only around such shingles, of which there are at most `BANDS` per
 template; all others cannot share a band, and most documents end at that test.
 
+Templates of different licenses may share most of their words (the notices of the GNU
+licenses differ in a name or a number). Where found stretches of two licenses overlap, only
+the one with the larger containment is reported, or of equal ones the longer template.
+
 Everything is DataFrame functions. What is broadcast is made from the templates alone.
 """
 
@@ -28,7 +32,21 @@ MOST_TEMPLATES = 2_000
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0 preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "BSD-2-Clause terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    "BSD-3-Clause terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0 opening": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 deed": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0 preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "ISC terms": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense opening": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib terms": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
@@ -94,7 +112,8 @@ def scan(
 ) -> DataFrame:
     """The id, license, containment and first_word of every template found in every row.
 
-    containment is the largest share of the template's shingles in one window,
+    Of templates of different licenses (the name up to its first space) whose
+    stretches overlap, the best one stands. containment is the largest share of the template's shingles in one window,
     first_word the position of the first such window (among the words of
     `words`). Templates need five words at least. Null, empty and blank texts
     have none. Repeated ids are taken together; other columns are not read.
@@ -114,14 +133,12 @@ def scan(
     sets = F.broadcast(
         spark.createDataFrame([(r["license"], list(r["s"])) for r in known], "license string, template array<long>")
     )
-    anchors = F.array(*[F.lit(x).cast("long") for x in lowest])
-
     hashed = docs.select(
         column(id_col).alias("id"), F.transform(words(column(text_col)), lambda w: F.xxhash64(w)).alias("h")
     )
-    held = hashed.select("id", shingles(F.col("h")).alias("s")).where(F.arrays_overlap("s", anchors))
+    held = hashed.select("id", shingles(F.col("h")).alias("s")).where(F.exists("s", lambda x: x.isin(lowest)))
     places = F.filter(
-        F.transform("s", lambda x, i: F.when(F.array_contains(anchors, x), i)), lambda i: i.isNotNull()
+        F.transform("s", lambda x, i: F.when(x.isin(lowest), i)), lambda i: i.isNotNull()
     )
     around = held.select("id", "s", places.alias("places"))
     windows = F.flatten(F.array(*[_windows(n) for n in sizes]))
@@ -135,15 +152,39 @@ def scan(
         .agg(F.first("window").alias("window"))
     )
     share = F.size(F.array_intersect("window", "template")) / F.size("template")
-    verified = pairs.join(sets, "license").select("id", "license", "at", share.alias("share"))
+    verified = pairs.join(sets, "license").select(
+        "id", "license", "at", share.alias("share"), F.size("template").alias("n"), "window", "template"
+    )
     best = (
         verified.where(F.col("share") >= contained)
         .groupBy("id", "license")
-        .agg(F.max(F.struct("share", (-F.col("at")).alias("neg"))).alias("best"))
+        .agg(
+            F.max(F.struct("share", (-F.col("at")).alias("neg"))).alias("best"),
+            F.max_by(F.struct("n", "window", "template"), F.struct("share", (-F.col("at")).alias("neg"))).alias("of"),
+        )
     )
-    return best.select(
-        F.col("id").alias(id_col),
-        "license",
-        F.col("best.share").alias("containment"),
-        (-F.col("best.neg")).cast("long").alias("first_word"),
+    # Where the stretch begins and ends in its window; the window holds each shingle once, in order.
+    inside = F.transform("of.window", lambda x, i: F.when(F.array_contains("of.template", x), i))
+    start = -F.col("best.neg")
+    placed = best.select(
+        "id", "license", F.col("best.share").alias("share"), F.col("of.n").alias("n"), start.alias("at"),
+        (start + F.array_min(inside)).alias("first"), (start + F.array_max(inside)).alias("last"),
+        F.substring_index("license", " ", 1).alias("family"),
+    )
+    # One row per template and text at most, so the list is as long as the templates are many.
+    listed = placed.groupBy("id").agg(
+        F.collect_list(F.struct("license", "family", "share", "n", "at", "first", "last")).alias("found")
     )
+
+    def beaten(x: Column) -> Column:
+        return F.exists(
+            "found",
+            lambda y: (y["family"] != x["family"]) & (y["first"] <= x["last"]) & (x["first"] <= y["last"])
+            & (F.struct(y["share"], y["n"], y["family"]) > F.struct(x["share"], x["n"], x["family"])),
+        )
+
+    kept = listed.select("id", F.explode(F.filter("found", lambda x: ~beaten(x))).alias("x"))
+    return kept.select(
+        F.col("id").alias(id_col), "x.license", F.col("x.share").alias("containment"),
+        F.col("x.at").cast("long").alias("first_word"),
+    )

@@ -122,6 +122,8 @@ def test_scan_without_python(leaky, forest):
 
 
 def contained(text, template, width=5):
+    """The best window's share and place, and the first and last place of the template in it."""
+
     def words(t):
         return "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()
 
@@ -131,12 +133,27 @@ def contained(text, template, width=5):
     known, found = set(grams(words(template))), grams(words(text))
     n, best = len(known), None
     for at in range(0, max(len(found), 1), n):
-        share = len(known & set(found[at : at + 2 * n])) / n
-        if share >= 0.8 and (best is None or share > best[0]):
-            best = (share, at)
+        window = list(dict.fromkeys(found[at : at + 2 * n]))
+        places = [i for i, x in enumerate(window) if x in known]
+        if len(places) / n >= 0.8 and (best is None or len(places) / n > best[0]):
+            best = (len(places) / n, at, at + places[0], at + places[-1], n)
     return best
 
 
+def best_of(text, templates):
+    """The templates found in a text, without those that a better one of another license overlaps."""
+    found = {k: b for k, t in templates.items() if (b := contained(text, t)) is not None}
+
+    def beaten(k):
+        own, (share, _, first, last, n) = k.split(" ")[0], found[k]
+        return any(
+            o.split(" ")[0] != own and b[2] <= last and first <= b[3] and (b[0], b[4], o.split(" ")[0]) > (share, n, own)
+            for o, b in found.items()
+        )
+
+    return {k: b for k, b in found.items() if not beaten(k)}
+
+
 @pytest.fixture(scope="module")
 def licensed(table):
     known = license_scan.TEMPLATES
@@ -160,12 +177,37 @@ def test_licenses(licensed):
     }
     want = {}
     for row in licensed.collect():
-        for name, template in license_scan.TEMPLATES.items():
-            if (best := contained(row["text"], template)) is not None:
-                want[row["doc_id"], name] = (round(best[0], 9), best[1])
+        for name, best in best_of(row["text"], license_scan.TEMPLATES).items():
+            want[row["doc_id"], name] = (round(best[0], 9), best[1])
     assert got == want and len(want) > 40
 
 
+GNU = "This {kind} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+
+
+@pytest.mark.parametrize(
+    "family, text",
+    [
+        ("AGPL-3.0", GNU.format(kind="program", sign=":", name="Affero General Public License", comma=",", version=3)),
+        ("LGPL-3.0", GNU.format(kind="program", sign=":", name="Lesser General Public License", comma=",", version=3)),
+        ("GPL-3.0", GNU.format(kind="program", sign=":", name="General Public License", comma=",", version=3)),
+        ("GPL-2.0", GNU.format(kind="program", sign=";", name="General Public License", comma=";", version=2)),
+        ("LGPL-2.1", GNU.format(kind="library", sign=";", name="Lesser General Public License", comma=";", version="2.1")),
+        ("BSD-2-Clause", BSD + DISCLAIMER), ("BSD-3-Clause", BSD + THIRD + DISCLAIMER),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ],
+)
+def test_neighbouring_licenses(table, family, text):
+    docs = table((1, f"{prose(3, 30)}\n{text}\n{prose(4, 30)}"), (1, prose(9)), (2, text))
+    found = {(r["doc_id"], r["license"].split(" ")[0]) for r in license_scan.scan(docs).collect()}
+    assert found == {(1, family), (2, family)}
+
+
 def test_licenses_of_odd_texts(odd, empty, licensed):
     assert license_scan.scan(odd).count() == license_scan.scan(empty).count() == 0
     with pytest.raises(ValueError):
