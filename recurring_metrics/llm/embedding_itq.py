@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recurring_metrics.llm.common import column, components
 from recurring_metrics.sources.io import materialize
@@ -149,7 +150,9 @@ def learn_tables(
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length one; the largest component goes first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _matrix(values: pa.Array, dims: int) -> np.ndarray:
@@ -187,11 +190,14 @@ def _code(shared: object) -> object:
 def _compare(threshold: float) -> object:
     """Link counts and forests of sorted groups (label, dims, table, bucket, i, j)."""
 
-    def linked(ids, side, tables, vectors, keys, weights):
-        if side.min() == side.max():
+    def linked(alone, ids, side, tables, vectors, keys, weights):
+        """`alone`: the members of one block, not of a pair of blocks."""
+        if alone:
             x = y = np.arange(len(ids))
         else:
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return ids[:0], np.empty(0, dtype=np.int64), []
         unit = _unit(vectors)
         count = np.zeros(len(ids), dtype=np.int64)
         root = np.arange(len(ids))
@@ -230,7 +236,8 @@ def _compare(threshold: float) -> object:
             parts = [np.concatenate([h[k] for h in held]) for k in range(1, 7)]
             if len(parts[0]) < 2:
                 return None
-            ids, count, forest = linked(*parts)
+            alone = held[0][0][-2] == held[0][0][-1]
+            ids, count, forest = linked(alone, *parts)
             if not len(ids):
                 return None
             a = np.concatenate((ids, [p for p, _ in forest])).astype(np.int64)
@@ -277,7 +284,7 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of `vectors`: the id, n_links, component_id and kept.
 
-    Vectors of one label are linked from a cosine of `threshold` on; n_links
+    Vectors of one label (of any type that can be compared) are linked from a cosine of `threshold` on; n_links
     counts the other rows linked directly, component_id is the smallest id that
     links reach. Null and zero vectors, vectors with null or non-finite
     components, and rows with a null label or id are linked with nothing, nor are
@@ -289,9 +296,15 @@ def near_vectors(
     spark = vectors.sparkSession
     raw = vectors.select(
         column(id_col).cast("long").alias("id"),
-        column(label_col).cast("long").alias("label"),
+        column(label_col).alias("label"),
         column(vector_col).cast("array<double>").alias("vector"),
     )
+    if not isinstance(raw.schema["label"].dataType, (T.IntegralType, T.BooleanType)):
+        # Labels of other types get numbers; equal ones the same.
+        names = raw.select("label").where("label IS NOT NULL").distinct()
+        numbered = materialize(names.withColumn("number", F.monotonically_increasing_id()))
+        raw = materialize(raw.join(numbered, "label", "left").select("id", F.col("number").alias("label"), "vector"))
+    raw = raw.withColumn("label", F.col("label").cast("long"))
     sound = (
         F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -252,3 +252,22 @@ def test_vectors_of_several_lengths(spark):
     for block in (1024, 7):
         got = embedding_itq.near_vectors(table, block=block).collect()
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocks_with_an_empty_side(spark, block):
+    """Seven close vectors in blocks of one: some pairs of blocks have members on one side only."""
+    rows = [(i, [1.0, 0.001 * i, 0.002], 5) for i in range(7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_itq.near_vectors(table, block=block).collect()}
+    assert got == {i: (6, 0) for i in range(7)}
+
+
+def test_vectors_of_extreme_size_and_labels_of_text(spark):
+    rows = [
+        (1, [1e200, 2e200, 0.0], "a"), (2, [1e-200, 2e-200, 1e-210], "a"), (3, [1.0, 2.0, 0.0], "a"),
+        (4, [1.0, 2.0, 0.0], "b"), (5, [2.0, 4.0, 0.0], "b"), (6, [1.0, 2.0, 0.0], None), (7, [-1.0, -2.0, 0.0], "a"),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_itq.near_vectors(table).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
