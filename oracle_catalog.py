@@ -759,6 +759,10 @@ BODIES: dict[str, str] = {
     "feature_table": f"SELECT {S}, month, total_revenue, "
     + ", ".join(f"ROUND({c}, 6) AS {c}" if c in RATIOS else c for c in FEATURES)
     + " FROM feat",
+    "dq_feature_nulls": union(
+        f"SELECT 'ml_feature_table' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count FROM feat"
+        for c in ("segment", "region", "month", "total_revenue", *FEATURES)
+    ),
     "ffill_horizon": f"SELECT e.segment, e.region, step, "
     f"CAST(last_month + to_months(step) AS DATE) AS month, "
     f"CAST(month(last_month + to_months(step)) AS INTEGER) AS calendar_month, "

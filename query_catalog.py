@@ -143,6 +143,12 @@ def dq_null_counts(spark, folder):
     return quality.null_counts(star.raw_tables(spark, folder))
 
 
+@query
+def dq_feature_nulls(spark, folder):
+    """Nulls per column of the feature table, as a refresh reports them."""
+    return quality.null_counts({"ml_feature_table": _features(spark, folder)})
+
+
 @query
 def dq_duplicate_keys(spark, folder):
     raw = star.raw_tables(spark, folder)
