@@ -114,7 +114,8 @@ def fit(
     )
     marked = rows.withColumn("mark", F.xxhash64("text"))
     by_mark = Window.partitionBy("lang").orderBy("mark")
-    chosen = (
+    # Written, so that its small size is known and no text moves for the join.
+    chosen = materialize(
         marked.select("lang", "mark").distinct()
         .withColumn("place", F.row_number().over(by_mark))
         .where(F.col("place") <= per_language)
