@@ -85,12 +85,13 @@ def folded(node: str, path: list[tuple[str, str]]) -> str:
     return node
 
 
-def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+def _numbered(rows: DataFrame, order: Sequence[str], ranges: Sequence[str | Column]) -> DataFrame:
     """Adds `place`, from 0 within each `part` in this order, and `total`, the part's rows.
 
     Rows are sorted over ranges; a window sees one row per partition and part only.
+    `ranges` begin like `order` but may be shorter, as samples of them reach the driver.
     """
-    ordered = rows.repartitionByRange("part", *order).sortWithinPartitions("part", *order)
+    ordered = rows.repartitionByRange("part", *ranges).sortWithinPartitions("part", *order)
     marked = materialize(ordered.withColumn("mark", F.monotonically_increasing_id()))
     marked = marked.withColumn("run", F.shiftright("mark", 33))
     runs = marked.groupBy("part", "run").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -226,9 +227,9 @@ def manifest_with_check(
 
 def _proved(rows: DataFrame, id_col: str, width: int, levels: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
-    trees = Tree(materialize(_numbered(rows, ["id", "node"])), width, levels)
+    trees = Tree(materialize(_numbered(rows, ["id", "node"], ["id", F.substring("node", 1, 6)])), width, levels)
     roots = trees.tops().select(F.lit("").alias("part"), F.col("part").alias("name"), "node")
-    over = Tree(materialize(_numbered(roots, ["name"])), width, levels)
+    over = Tree(materialize(_numbered(roots, ["name"], ["name"])), width, levels)
 
     def name_paths(nodes: pd.DataFrame, top, ways: list) -> pd.DataFrame:
         lists = [[{"left": a, "right": b} for a, b in way] for way in ways]
