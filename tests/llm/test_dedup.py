@@ -271,3 +271,9 @@ def test_vectors_of_extreme_size_and_labels_of_text(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_itq.near_vectors(table).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_exact_dedup_without_python(odd):
+    for made in (exact_dedup.label_copies(odd), exact_dedup.drop_copies(odd)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
