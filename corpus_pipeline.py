@@ -16,7 +16,10 @@ from recurring_metrics.sources.io import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; those without letters go."""
+    """Documents in a recognised language; null texts and those without a letter go.
+
+    Without labelled rows no language is learned, and only those go.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.keep_known(docs, model)
 
@@ -27,13 +30,21 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates.
+
+    Texts without words, and rows with a null id, stay; rows that repeat an id go or
+    stay together.
+    """
     gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return without(docs, gone)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with credentials masked."""
+    """All documents, with credentials masked where they stand.
+
+    Null, empty and harmless texts stay as they are; a null length becomes that of
+    the text, if there is one.
+    """
     model = secret_forest.fit(secret_forest.sample_findings(spark))
     masked = secret_forest.mask(docs, model)
     if "n_chars" not in docs.columns:
@@ -43,7 +54,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training windows."""
+    """The pieces of the training windows.
+
+    A null or empty text gives its end mark alone; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
