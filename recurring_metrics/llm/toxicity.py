@@ -52,7 +52,7 @@ SECOND = frozenset(
     "you your yours yourself you're youre u ur du dich dir dein deine deinen ihr euch euer sie ihnen "
     "tu toi ton ta tes vous votre vos te tú ti tus usted ustedes vosotros vuestro".split()
 )
-_PLAIN = str.maketrans("013457@$!|+€", "oleastasilte")
+_PLAIN = str.maketrans("013457@$!|+€", "oieastasilte")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}@$*]+|[^\p{L}\p{N}@$*]+$")
 _HIDDEN = regex.compile(r"\p{L}[0-9@$*!|+#€]+\p{L}|\p{L}(?:[.\-_*]\p{L}){2,}")
 _STRETCHED = regex.compile(r"(\p{L})\1{2,}")
