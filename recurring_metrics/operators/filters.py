@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurring_metrics.functions.dates import month_floor
+from recurring_metrics.operators.split_join import heavy_keys, known_keys, owned_facts
 
 
 @dataclass(frozen=True)
@@ -40,30 +41,41 @@ def within_months(df: DataFrame, column: str, choice: DashboardFilter) -> DataFr
     return df.where(day.between(F.lit(choice.start_month), F.last_day(F.lit(choice.end_month))))
 
 
-def apply_filters(tables: Mapping[str, DataFrame], choice: DashboardFilter) -> dict[str, DataFrame]:
+def apply_filters(
+    tables: Mapping[str, DataFrame], choice: DashboardFilter, split: bool = True
+) -> dict[str, DataFrame]:
     """Filtered customers, plans, subscriptions, revenue and churn.
 
     Customers and plans restrict subscriptions, which restrict revenue and
     churn; a fact whose customer, plan or subscription is unknown drops out even
     when nothing is chosen. Dates restrict revenue and churn only. Semi-joins
-    never multiply rows; adaptive execution splits a hot key on the fact side.
+    never multiply rows. With `split`, a pass over the keys of subscriptions and revenue looks
+    for those that hold a large share of the rows (this runs a job each), and their rows
+    are dealt to many tasks; that is of no use where the facts are summed per subscription
+    and month already. A subscription churns once, so churn has no such keys.
     """
     customers = _only(tables["dim_customer"], "segment", choice.segments)
     customers = _only(customers, "region", choice.regions)
     plans = _only(tables["dim_product_plan"], "product_family", choice.families)
     customer_ids, plan_ids = customers.select("customer_id"), plans.select("plan_id")
 
-    subscriptions = (
-        tables["fact_subscription"]
-        .join(customer_ids, "customer_id", "left_semi")
-        .join(plan_ids, "plan_id", "left_semi")
-    )
+    def heavy(df: DataFrame, *columns: str) -> dict:
+        return heavy_keys(df, columns) if split else {}
+
+    subscriptions = tables["fact_subscription"]
+    parts = heavy(subscriptions, "customer_id", "plan_id")
+    for ids in (customer_ids, plan_ids):
+        key = ids.columns[0]
+        subscriptions = known_keys(subscriptions, ids, key, parts.get(key, {}))
     subscription_ids = subscriptions.select("subscription_id")
 
     def facts(name: str, day: str) -> DataFrame:
+        rows = within_months(tables[name], day, choice)
+        if split and name == "fact_revenue":
+            parts = heavy(rows, "subscription_id")["subscription_id"]
+            return owned_facts(rows, customer_ids, subscriptions, parts)
         return (
-            within_months(tables[name], day, choice)
-            .join(customer_ids, "customer_id", "left_semi")
+            rows.join(customer_ids, "customer_id", "left_semi")
             .join(subscription_ids, "subscription_id", "left_semi")
         )
 

@@ -43,7 +43,7 @@ def select_dashboard(tables: Mapping[str, DataFrame], choice: DashboardFilter) -
     frames = {name: tables[name] for name in needed}
     billed = within_months(tables["fact_revenue"], "revenue_date", choice)
     frames["fact_revenue"] = compact_revenue(billed)
-    return apply_filters(frames, choice)
+    return apply_filters(frames, choice, split=False)
 
 
 def monthly_series(selection: Mapping[str, DataFrame], choice: DashboardFilter) -> DataFrame:
