@@ -866,3 +866,5 @@ ORACLES |= {
         "holt": "holt_linear",
     }.items()
 }
+# Counted in two halves or at once, the summary is the same.
+ORACLES["incremental_summary"] = ORACLES["monthly_summary"]

@@ -63,6 +63,13 @@ def _measures(block: DataFrame) -> list[str]:
     return [c for c in block.columns if c not in ("customer_id", "month")]
 
 
+def sum_block(block: DataFrame) -> DataFrame:
+    """A block with customers as one row per customer and month; can be repeated on its own results."""
+    return block.groupBy("customer_id", "month").agg(
+        *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in _measures(block)]
+    )
+
+
 def _per_series(
     blocks: Sequence[DataFrame], series_of: DataFrame | None, series_keys: Sequence[str]
 ) -> list[DataFrame]:
@@ -76,10 +83,7 @@ def _per_series(
     alone = [b for b in dated if "customer_id" not in b.columns]
     owned = [b for b in dated if "customer_id" in b.columns]
     if owned:
-        stacked = _stacked(owned)
-        summed = stacked.groupBy("customer_id", "month").agg(
-            *[(F.max if m in ONCE_PER_CUSTOMER else F.sum)(m).alias(m) for m in _measures(stacked)]
-        )
+        summed = sum_block(_stacked(owned))
         alone.append(summed if series_of is None else summed.join(series_of, "customer_id"))
     return [
         b.groupBy(*series_keys, "month").agg(*[F.sum(m).alias(m) for m in _measures(b) if m not in series_keys])

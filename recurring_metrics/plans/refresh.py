@@ -13,6 +13,7 @@ from recurring_metrics.operators.features import build_features, strongest_corre
 from recurring_metrics.operators.revenue import attribute_revenue
 from recurring_metrics.plans.forecasting import MODELS, forecast_outputs
 from recurring_metrics.plans.summary import monthly_summary
+from recurring_metrics.sources import versions
 from recurring_metrics.sources.io import load_raw_tables, require_rows, write_table
 from recurring_metrics.sources.schema import RAW_TABLES
 
@@ -116,3 +117,16 @@ def refresh(
         store(name, df)
     store("check_status", spark.createDataFrame(status, "check string, status string"))
     return written
+
+
+def refresh_version(spark: SparkSession, source: str, root: str, **options) -> dict[str, int]:
+    """A refresh into a new version of `root`, which readers see once all of it is written.
+
+    Takes the options of `refresh`. A refresh that fails leaves the version before it
+    as it was; `versions.read_tables` reads the current one.
+    """
+    before = versions.current(spark, root)
+    folder = versions.new_folder("version")
+    written = refresh(spark, source, f"{root.rstrip('/')}/{folder}", **options)
+    versions.publish(spark, root, {"folder": folder, "tables": sorted(written)}, before)
+    return written

@@ -76,23 +76,34 @@ def opportunity_columns() -> list[Column]:
     ]
 
 
-def monthly_summary(tables: Tables, series_keys: Sequence[str] = ()) -> DataFrame:
+# Fact -> its contributions, which are sums of its rows alone; called with (rows, by_customer).
+FACT_BLOCKS = {
+    "fact_churn": churn_block,
+    "fact_customer_usage": lambda usage, by_customer: usage_block(usage),
+    "fact_sales_pipeline": opportunity_block,
+}
+
+
+def monthly_summary(
+    tables: Tables, series_keys: Sequence[str] = (), blocks: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """All monthly measures on the spine of billed months.
 
     With series_keys (customer attributes such as segment and region) there is
-    one row per series and month, otherwise one per month.
+    one row per series and month, otherwise one per month. `blocks` holds the
+    contributions of the FACT_BLOCKS by customer where they were made before.
     """
     split = bool(series_keys)
     subscriptions, revenue = tables["fact_subscription"], tables["fact_revenue"]
     customers = tables["dim_customer"] if split else None
+    if blocks is None:
+        blocks = {name: make(tables[name], split) for name, make in FACT_BLOCKS.items()}
     rolled = roll_up(
         [
             revenue_block(revenue, subscriptions, split),
-            churn_block(tables["fact_churn"], split),
             status_block(subscriptions, split),
             mrr_block(subscriptions, split),
-            usage_block(tables["fact_customer_usage"]),
-            opportunity_block(tables["fact_sales_pipeline"], split),
+            *blocks.values(),
         ],
         revenue_spine(revenue, customers, series_keys),
         customers,
