@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,50 @@ def date_ranges(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _stack(r for r in (one(n, df) for n, df in tables.items()) if r is not None)
 
 
+def profile_measures(df: DataFrame) -> list[Column]:
+    """Aggregates of a load profile: rows, nulls per column, first and last date of DATE columns.
+
+    All of them are kept as partial results per task, so they can be observed while
+    the rows are written. Columns are numbered, as their names may hold anything.
+    """
+    measures = [F.count(F.lit(1)).alias("rows")]
+    for i, field in enumerate(df.schema):
+        column = F.col(f"`{field.name}`")
+        measures.append(F.count_if(column.isNull()).alias(f"nulls_{i}"))
+        if isinstance(field.dataType, T.DateType):
+            measures += [F.min(column).alias(f"first_{i}"), F.max(column).alias(f"last_{i}")]
+    return measures
+
+
+def profile_reports(
+    spark: SparkSession, schemas: Mapping[str, T.StructType], profiles: Mapping[str, Mapping], loaded: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Counts, nulls and date ranges from profiles taken while the tables were written.
+
+    The rows seen by the writer stand for the source; the stored tables are counted, which
+    Parquet answers from its footers. The reports equal `reconcile_counts`,
+    `null_counts` and `date_ranges`, and hold a row per table or column.
+    """
+    counts, nulls, dates = [], [], []
+    for name, schema in schemas.items():
+        seen = profiles[name]
+        counts.append((name, seen["rows"]))
+        for i, field in enumerate(schema):
+            nulls.append((name, field.name, seen[f"nulls_{i}"]))
+            if f"first_{i}" in seen:
+                dates.append((name, field.name, seen[f"first_{i}"], seen[f"last_{i}"]))
+    source = spark.createDataFrame(counts, "table_name string, source_rows long")
+    status = F.when(F.col("source_rows") == F.col("loaded_rows"), "OK").otherwise("FAIL")
+    stored = row_counts({name: loaded[name] for name in schemas}).withColumnRenamed("row_count", "loaded_rows")
+    return {
+        "row_counts": source.join(stored, "table_name").withColumn("status", status),
+        "null_counts": spark.createDataFrame(nulls, "table_name string, column_name string, null_count long"),
+        "date_ranges": spark.createDataFrame(
+            dates, "table_name string, column_name string, first_date date, last_date date"
+        ),
+    }
+
+
 def reconcile_revenue(attributed: DataFrame, revenue: DataFrame) -> DataFrame:
     """Attributed against billed revenue per month, and in total (month NULL).
 

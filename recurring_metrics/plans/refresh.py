@@ -14,7 +14,7 @@ from recurring_metrics.operators.revenue import attribute_revenue
 from recurring_metrics.plans.forecasting import MODELS, forecast_outputs
 from recurring_metrics.plans.summary import monthly_summary
 from recurring_metrics.sources import versions
-from recurring_metrics.sources.io import load_raw_tables, require_rows, write_table
+from recurring_metrics.sources.io import load_raw_tables, require_rows, write_observed, write_table
 from recurring_metrics.sources.schema import RAW_TABLES
 
 
@@ -28,18 +28,19 @@ def _store(spark: SparkSession, df: DataFrame, folder: str, name: str) -> tuple[
 def load_and_check(
     spark: SparkSession, source: str, target: str
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Loads the CSV folder into raw tables; returns them and the load reports."""
+    """Loads the CSV folder into raw tables; returns them and the load reports.
+
+    Rows, nulls and date ranges are counted while the tables are written, so a source
+    file is read once and a stored table only for its keys.
+    """
     files = load_raw_tables(spark, source)
-    raw = {name: _store(spark, df, target, name)[0] for name, df in files.items()}
-    reports = {
-        "row_counts": quality.reconcile_counts(files, raw),
-        "null_counts": quality.null_counts(raw),
-        "duplicate_keys": quality.duplicate_keys(
-            {name: (raw[name], RAW_TABLES[name].key) for name in raw}
-        ),
-        "orphans": quality.orphans(raw),
-        "date_ranges": quality.date_ranges(raw),
-    }
+    paths = {name: f"{target.rstrip('/')}/{name}" for name in files}
+    profiles = {name: write_observed(df, paths[name], quality.profile_measures(df)) for name, df in files.items()}
+    raw = {name: spark.read.schema(df.schema).parquet(paths[name]) for name, df in files.items()}
+    schemas = {name: df.schema for name, df in files.items()}
+    reports = quality.profile_reports(spark, schemas, profiles, raw)
+    reports["duplicate_keys"] = quality.duplicate_keys({name: (raw[name], RAW_TABLES[name].key) for name in raw})
+    reports["orphans"] = quality.orphans(raw)
     return raw, reports
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recurring_metrics.sources.schema import RAW_TABLES, RawTable
@@ -66,9 +66,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
     The count is taken while writing, so the input is computed once.
     """
+    return write_observed(df, path, [F.count(F.lit(1)).alias("rows")], mode)["rows"]
+
+
+def write_observed(df: DataFrame, path: str, measures: Sequence[Column], mode: str = "overwrite") -> dict:
+    """Writes a Parquet table and returns aggregates of its rows, taken while writing."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    return seen.get["rows"]
+    df.observe(seen, *measures).write.mode(mode).parquet(path)
+    return seen.get
 
 
 def append_rows(df: DataFrame, path: str) -> int:

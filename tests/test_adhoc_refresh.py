@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.errors import ParseException
 
-from recurring_metrics.operators import trees
+from recurring_metrics.operators import quality, trees
 from recurring_metrics.plans import adhoc
 from recurring_metrics.plans.refresh import LoadCheckError, load_and_check, refresh
+from recurring_metrics.sources.io import load_raw_tables, write_observed
 from tests.conftest import rows
 
 
@@ -154,6 +155,26 @@ def test_load_reports(spark, source, tmp_path):
     assert all(r.duplicate_keys == 0 for r in reports["duplicate_keys"].collect())
 
 
+def test_load_profile_equals_the_separate_reports(spark, source, tmp_path):
+    """Counts, nulls and dates come from the write; afterwards only footers are read for them."""
+    raw, reports = load_and_check(spark, str(source), str(tmp_path / "out"))
+    assert rows(reports["row_counts"]) == rows(quality.reconcile_counts(load_raw_tables(spark, str(source)), raw))
+    assert rows(reports["null_counts"]) == rows(quality.null_counts(raw))
+    assert rows(reports["date_ranges"]) == rows(quality.date_ranges(raw))
+    for name in ("null_counts", "date_ranges"):
+        assert not reports[name].inputFiles()
+    plan = reports["row_counts"]._jdf.queryExecution().executedPlan().toString()
+    assert ".csv" not in plan and plan.count("ReadSchema: struct<>") >= len(raw)
+
+
+def test_a_profile_of_odd_tables(spark, tmp_path):
+    odd = spark.createDataFrame([(None, None), (None, 1)], "`a.b` date, `Rows` int")
+    seen = write_observed(odd, str(tmp_path / "odd"), quality.profile_measures(odd))
+    assert seen == {"rows": 2, "nulls_0": 2, "first_0": None, "last_0": None, "nulls_1": 1}
+    none = odd.where("false")
+    assert write_observed(none, str(tmp_path / "none"), quality.profile_measures(none))["rows"] == 0
+
+
 def test_refresh_builds_every_table(spark, source, tmp_path):
     target = str(tmp_path / "out")
     small = {m.name: m.with_budget(2, 12) for m in (trees.GBT, trees.GBT_MIN5)}
