@@ -55,7 +55,8 @@ SUBQUERIES: dict[str, str] = {
                mrr, CAST(mrr * 12 AS DECIMAL(12,2)) AS arr
         FROM order_terms LEFT JOIN order_plan ON subscription_id = l_orderkey""",
     "rev_parts": """
-        SELECT o_custkey AS customer_id, l.l_orderkey AS subscription_id,
+        SELECT concat_ws('-', l.l_orderkey, l_linenumber) AS revenue_id,
+               o_custkey AS customer_id, l.l_orderkey AS subscription_id,
                CAST(l_shipdate AS DATE) AS revenue_date,
                CAST(l_extendedprice AS DECIMAL(12,2)) AS gross_revenue,
                CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))
@@ -69,7 +70,7 @@ SUBQUERIES: dict[str, str] = {
         FROM lineitem l LEFT JOIN orders ON l.l_orderkey = o_orderkey
         LEFT JOIN order_plan p ON p.l_orderkey = l.l_orderkey""",
     "rev": """
-        SELECT customer_id, subscription_id, revenue_date, gross_revenue, discount, refund,
+        SELECT revenue_id, customer_id, subscription_id, revenue_date, gross_revenue, discount, refund,
                CAST(gross_revenue - discount - refund AS DECIMAL(12,2)) AS net_revenue,
                revenue_type, CAST(date_trunc('month', revenue_date) AS DATE) AS month
         FROM rev_parts""",
@@ -313,7 +314,7 @@ RAW_COLUMNS: dict[str, tuple[str, str]] = {
     ),
     "raw_fact_revenue": (
         "rev",
-        "customer_id subscription_id revenue_date gross_revenue discount refund net_revenue "
+        "revenue_id customer_id subscription_id revenue_date gross_revenue discount refund net_revenue "
         "revenue_type",
     ),
     "raw_fact_customer_usage": (
@@ -349,7 +350,7 @@ KEYS = {
     "raw_fact_churn": ("churn", "subscription_id"),
     "raw_fact_sales_pipeline": ("deal", "opportunity_id"),
     "raw_fact_support_ticket": ("ticket", "ticket_id"),
-    "lineitem": ("lineitem", "l_orderkey, l_linenumber"),
+    "raw_fact_revenue": ("rev", "revenue_id"),
 }
 FOREIGN_KEYS = (
     ("raw_fact_subscription", "sub", "customer_id", "raw_dim_customer", "raw_customer", "customer_id"),
@@ -561,8 +562,8 @@ BODIES: dict[str, str] = {
     "csv_roundtrip": union(
         f"SELECT '{raw}' AS table_name, concat_ws('|', "
         + ", ".join(
-            ("'-'" if c == "revenue_id" else f"coalesce(CAST({c} AS VARCHAR), '-')")
-            for c in (["revenue_id"] if raw == "raw_fact_revenue" else []) + columns.split()
+            f"coalesce(CAST({c} AS VARCHAR), '-')"
+            for c in columns.split()
         )
         + f") AS line FROM {name}"
         for raw, (name, columns) in RAW_COLUMNS.items()
@@ -642,7 +643,7 @@ BODIES: dict[str, str] = {
         SELECT subscription_id, customer_id, plan_id, start_date, end_date, renewal_date, status,
                mrr, arr FROM sub""",
     "conform_revenue": """
-        SELECT customer_id, subscription_id, revenue_date, gross_revenue, discount, refund,
+        SELECT revenue_id, customer_id, subscription_id, revenue_date, gross_revenue, discount, refund,
                net_revenue, revenue_type FROM rev""",
     "conform_usage": """
         SELECT customer_id, usage_date, active_users, login_count, session_count, feature_usage,

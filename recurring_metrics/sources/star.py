@@ -125,8 +125,9 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def revenue(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line item; an order's first ship month bills as 'New'."""
+    """One row per line item, its number within the order in its id; an order's first ship month bills as 'New'."""
     lines = source(spark, folder, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("revenue_id"),
         F.col("l_orderkey").alias("subscription_id"),
         F.col("l_shipdate").cast("date").alias("revenue_date"),
         F.col("l_extendedprice").cast(MONEY).alias("gross_revenue"),
@@ -148,6 +149,7 @@ def revenue(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines.join(owner.join(first_month, "subscription_id", "left"), "subscription_id", "left")
         .select(
+            "revenue_id",
             "customer_id",
             "subscription_id",
             "revenue_date",
