@@ -217,18 +217,16 @@ def keep_known(
     """The rows of `docs` whose language is recognised (with a score over `min_score`).
 
     Without a model no language can be told: then only null texts and those
-    without a letter go.
+    without a letter go. Python gets the text alone and gives back a mark, so documents
+    are not held there, nor on their way there and back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if shared.value is None:
-                keep = [bool(_LETTER.search(t.as_py() or "")) for t in batch[text_col]]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-                continue
-            judged = [_judge(shared.value, t.as_py()) for t in batch[text_col]]
-            keep = [lang != UNKNOWN and score > min_score for lang, score in judged]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        if shared.value is None:
+            return pa.array([bool(_LETTER.search(t.as_py() or "")) for t in texts], pa.bool_())
+        judged = (_judge(shared.value, t.as_py()) for t in texts)
+        return pa.array([lang != UNKNOWN and score > min_score for lang, score in judged], pa.bool_())
+
+    return docs.where(known(column(text_col)))
