@@ -30,7 +30,7 @@ def test_rows_at_the_customers_are_as_wide_as_one_block(make):
 
 
 def test_only_what_is_counted_once_is_summed_by_customer(make):
-    """Before, all blocks were summed per customer and month in one wide aggregate."""
+    """An aggregate by customer and month has to hold a measure that is counted once."""
     optimized = monthly_summary(summary_tables(make), list(KEYS))._jdf.queryExecution().optimizedPlan()
     by_customer = [
         n.toString() for n in nodes(optimized)
